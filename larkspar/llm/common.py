@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: The words of a text are its runs of bytes that are not ASCII white space.
 SPACE_BYTES = np.zeros(256, dtype=bool)
@@ -131,3 +132,17 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, longest: int) -> list[tuple[str, int]]:
+    """Texts and labels to fit a classifier on: at most ``per_class`` rows of each class, by hashed id.
+
+    ``learn`` tells the rows of labels that may be learned from.  Documents of over ``longest`` bytes
+    are not learned from, which bounds what comes to the driver.
+    """
+    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"), F.row_number().over(order).alias("_n"))
+    picked = F.broadcast(picked.filter(F.col("_n") <= per_class).select("doc_id", "_label"))  # 2 * per_class rows at most
+    texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    rows = texts.join(picked, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_label").collect()
+    return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

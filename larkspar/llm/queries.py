@@ -1,9 +1,22 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from larkspar.llm.op01_exact_dedup import OP1_SQL, op1_exact_dedup
+from larkspar.llm.op05_quality import op5_quality
 from larkspar.llm.op07_sentencepiece import op7_sentencepiece
+from larkspar.llm.op08_topk import OP8_SQL, op8_topk
+from larkspar.llm.op09_mixing import op9_mixing
+from larkspar.llm.op10_language import op10_language
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_quality": op5_quality,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_topk": op8_topk,
+    "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
+    "op8_topk": OP8_SQL,
+}
