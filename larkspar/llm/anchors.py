@@ -106,9 +106,9 @@ def recurring(found: DataFrame) -> DataFrame:
 
 
 def crowded(contents: DataFrame) -> DataFrame:
-    """Keys with more than GROUP_LIMIT different contents (key, d1, d2)."""
-    different = contents.groupBy("key", "d1", "d2").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"))
-    return different.filter(F.col("n") > GROUP_LIMIT).select("key")
+    """Keys with more than GROUP_LIMIT different contents (key, d1, d2), and how many these are."""
+    different = contents.groupBy("key", "d1", "d2").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("different"))
+    return different.filter(F.col("different") > GROUP_LIMIT)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -288,7 +288,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     contents = contents.withColumns({"class_low": F.lit(0), "class_high": F.lit(grain.choices - 1)})
     spans = None
     while True:
-        hot = stored(crowded(contents), "crowded")
+        hot = stored(crowded(contents).select("key"), "crowded")
         split = not hot.isEmpty()
         calm = contents.join(hot, "key", "left_anti") if split else contents
         repeats = repeats_in_shards(calm, length)

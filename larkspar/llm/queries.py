@@ -2,6 +2,7 @@
 
 from larkspar.llm.op01_exact_dedup import OP1_SQL, op1_exact_dedup
 from larkspar.llm.op02_suffix_array import op2_suffix_array
+from larkspar.llm.op04_phrases import op4_phrases
 from larkspar.llm.op05_quality import op5_quality
 from larkspar.llm.op07_sentencepiece import op7_sentencepiece
 from larkspar.llm.op08_topk import OP8_SQL, op8_topk
@@ -11,6 +12,7 @@ from larkspar.llm.op10_language import op10_language
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_array": op2_suffix_array,
+    "op4_phrases": op4_phrases,
     "op5_quality": op5_quality,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_topk": op8_topk,
