@@ -1,0 +1,39 @@
+"""Connected components of a graph given as a DataFrame of edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkspar.llm.common import stored
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v (long). Returns node, component for all nodes with edges: the smallest node reachable.
+
+    Alternates stars: every node's larger neighbours move to its smallest neighbour, then its smaller
+    ones do.  The number of rounds grows with the logarithm of the longest path; the edges stay on the
+    executors and are written after each round.
+    """
+    bigger = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    edges = stored(edges.filter("u <> v").select(*bigger).distinct(), "edges")
+    seen = fingerprint(edges)
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").select(*bigger).distinct()
+        edges = stored(small, "edges")
+        now = fingerprint(edges)
+        if now == seen:
+            break
+        seen = now
+    roots = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    own = roots.select(F.col("component").alias("node"), "component").distinct()
+    return roots.unionByName(own)

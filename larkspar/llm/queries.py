@@ -4,6 +4,7 @@ from larkspar.llm.op01_exact_dedup import OP1_SQL, op1_exact_dedup
 from larkspar.llm.op02_suffix_array import op2_suffix_array
 from larkspar.llm.op04_phrases import op4_phrases
 from larkspar.llm.op05_quality import op5_quality
+from larkspar.llm.op06_jaccard import op6_jaccard
 from larkspar.llm.op07_sentencepiece import op7_sentencepiece
 from larkspar.llm.op08_topk import OP8_SQL, op8_topk
 from larkspar.llm.op09_mixing import op9_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_suffix_array": op2_suffix_array,
     "op4_phrases": op4_phrases,
     "op5_quality": op5_quality,
+    "op6_jaccard": op6_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
