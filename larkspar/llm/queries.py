@@ -2,6 +2,7 @@
 
 from larkspar.llm.op01_exact_dedup import OP1_SQL, op1_exact_dedup
 from larkspar.llm.op02_suffix_array import op2_suffix_array
+from larkspar.llm.op03_toxicity import op3_toxicity
 from larkspar.llm.op04_phrases import op4_phrases
 from larkspar.llm.op05_quality import op5_quality
 from larkspar.llm.op06_jaccard import op6_jaccard
@@ -13,6 +14,7 @@ from larkspar.llm.op10_language import op10_language
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_array": op2_suffix_array,
+    "op3_toxicity": op3_toxicity,
     "op4_phrases": op4_phrases,
     "op5_quality": op5_quality,
     "op6_jaccard": op6_jaccard,
