@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from larkspar.storage import shared_dir, stored
+
+__all__ = ["shared_dir", "stored"]
 
 #: The words of a text are its runs of bytes that are not ASCII white space.
 SPACE_BYTES = np.zeros(256, dtype=bool)
@@ -22,22 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests on one machine) a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="larkspar-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/larkspar/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the fold; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -140,9 +126,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     ``learn`` tells the rows of labels that may be learned from.  Documents of over ``longest`` bytes
     are not learned from, which bounds what comes to the driver.
     """
-    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"), F.row_number().over(order).alias("_n"))
-    picked = F.broadcast(picked.filter(F.col("_n") <= per_class).select("doc_id", "_label"))  # 2 * per_class rows at most
+    # Ranked in 16 parts per class: no class meets in one task, and each task sends only its first rows.
+    part = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(16))
+    order = W.partitionBy("_label", "_part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"), part.alias("_part"))
+    picked = picked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= -(-per_class // 16))
+    picked = F.broadcast(picked.select("doc_id", "_label"))  # 2 * per_class rows, rounded up
     texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
     rows = texts.join(picked, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_label").collect()
     return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

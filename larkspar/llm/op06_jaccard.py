@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import BASES, blocks, mixed, prefix_hash, range_hash, ranges, stored, table, with_row_key, word_spans
-from larkspar.llm.components import components
+from larkspar.operators.components import components
 
 SHINGLE, PERCENT = 3, 90
 BLOCK_BYTES = 2_000_000

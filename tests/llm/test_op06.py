@@ -4,7 +4,7 @@ import re
 import pytest
 
 from larkspar.llm import op06_jaccard
-from larkspar.llm.components import components
+from larkspar.operators.components import components
 from larkspar.llm.op06_jaccard import jaccard_components, one_of_each
 
 SCHEMA = "doc_id long, text string"
