@@ -2,7 +2,7 @@
 
 Two dictionaries are trained on labelled text: one on the words of ordinary documents, one on the
 passages of toxic documents that ordinary ones do not hold.  A text is cut into windows of whole words;
-each is compressed on the background of ordinary text, with and without the toxic passages before it.
+each is compressed on the background of ordinary text, with and without the toxic passages behind that.
 How much shorter the second is, is the window's gain: without toxic passages there is next to none.  The
 largest gain, the sum of gains over a calibrated threshold and their number make the score, by a
 logistic unit fitted on labelled documents that the dictionaries have not seen.
@@ -30,7 +30,7 @@ SAMPLE_DOCS, SAMPLE_LONGEST = 2_500, 16_000
 #: The part of the sample that dictionaries are trained on; the rest calibrates.
 TRAINED = 0.6
 WINDOW = 64
-GRAM, GRAM_LEAST, GRAM_ODDS = 5, 6, 3.0
+GRAM, GRAM_LEAST, GRAM_ODDS = 5, 6, 3.6
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 3_072
 LEVEL = 3
 BLOCK_BYTES = 2_000_000
@@ -112,7 +112,7 @@ class Classifier:
         if self._pair is None:
             p = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=1 << 16, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
             made = []
-            for data in (self.ordinary, self.toxic + self.ordinary):
+            for data in (self.ordinary, self.ordinary + self.toxic):
                 d = zstandard.ZstdCompressionDict(data or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=p)
                 made.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
