@@ -14,14 +14,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import BASES, mixed, powers
 
-#: A group of more contents than this is split by a longer common core.
-GROUP_LIMIT = 1_000
-
 
 @dataclass(frozen=True)
 class Grain:
@@ -105,10 +102,10 @@ def recurring(found: DataFrame) -> DataFrame:
     return kept.groupBy("_row").agg(F.collect_list(F.struct("key", "anchor", "first", "last")).alias("segments"))
 
 
-def crowded(contents: DataFrame) -> DataFrame:
-    """Keys with more than GROUP_LIMIT different contents (key, d1, d2), and how many these are."""
-    different = contents.groupBy("key", "d1", "d2").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("different"))
-    return different.filter(F.col("different") > GROUP_LIMIT)
+def crowded(contents: DataFrame, size: Column, limit: int) -> DataFrame:
+    """Keys whose different contents (key, d1, d2) come to more than ``limit`` in total size, and that total."""
+    different = contents.groupBy("key", "d1", "d2").agg(F.max(size).alias("size"))
+    return different.groupBy("key").agg(F.sum("size").alias("total")).filter(F.col("total") > limit)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,8 +32,9 @@ from larkspar.llm.common import BASES, blocks, prefix_hash, ranges, stored, tabl
 
 LENGTH, GRAM = 400, 32
 BLOCK_BYTES = 1_500_000
-#: Bytes of contents that one transform is built of, about; two more such pieces fit into 21 bits.
-SHARD_BYTES = 700_000
+#: Bytes of contents that one transform is built of, about; and a group of more bytes than GROUP_BYTES is split.
+#: Together they stay below 2 ** 21, so that three ranks fit into one key and a task holds some 200 MB.
+SHARD_BYTES, GROUP_BYTES = 600_000, 1_400_000
 #: Symbols (9 bits each) that make the first key of a suffix.
 PACKED = 7
 
@@ -286,22 +287,31 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     contents = occurrences.filter("content IS NOT NULL").select("key", "d1", "d2", "windows", "low", "high", "anchor", "content", "n")
     places = occurrences.select("_row", "first", "key", "d1", "d2")
     contents = contents.withColumns({"class_low": F.lit(0), "class_high": F.lit(grain.choices - 1)})
-    spans = None
+    base = ["base_key", "base1", "base2"]
+    links = repeats = None  # links: of the parts of split contents, where they stand in these
     while True:
-        hot = stored(crowded(contents).select("key"), "crowded")
+        hot = stored(crowded(contents, F.col("windows") + (length - 1), GROUP_BYTES).select("key"), "crowded")
         split = not hot.isEmpty()
-        calm = contents.join(hot, "key", "left_anti") if split else contents
-        repeats = repeats_in_shards(calm, length)
-        part = places.join(repeats, ["key", "d1", "d2"]).select("_row", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") + (length - 1)).alias("end"))
-        spans = part if spans is None else spans.unionByName(part)
+        found = repeats_in_shards(contents.join(hot, "key", "left_anti") if split else contents, length)
+        if links is None:
+            found = found.toDF(*base, "begin", "end")
+        else:
+            found = links.join(found, ["key", "d1", "d2"]).select(*base, (F.col("begin") + F.col("skip")).alias("begin"), (F.col("end") + F.col("skip")).alias("end"))
+        repeats = found if repeats is None else repeats.unionByName(found)
         if not split:
             break
-        # The crowded groups in finer classes: the occurrences of their contents become occurrences of the parts.
+        # The crowded groups in finer classes; their contents are few beside the occurrences, which stay where they are.
         parts = stored(split_classes(contents.join(hot, "key"), length), "parts")
         contents = parts.select(*contents.columns)
-        of = parts.select("parent_key", "parent1", "parent2", "skip", "key", "d1", "d2").distinct()
-        fine = places.select("_row", "first", F.col("key").alias("parent_key"), F.col("d1").alias("parent1"), F.col("d2").alias("parent2"))
-        places = fine.join(of, ["parent_key", "parent1", "parent2"]).select("_row", (F.col("first") + F.col("skip")).alias("first"), "key", "d1", "d2")
+        of = parts.select("parent_key", "parent1", "parent2", F.col("skip").alias("more"), "key", "d1", "d2").distinct()
+        if links is None:
+            links = of.select(F.col("parent_key").alias("base_key"), F.col("parent1").alias("base1"), F.col("parent2").alias("base2"), F.col("more").alias("skip"), "key", "d1", "d2")
+        else:
+            above = links.withColumnsRenamed({"key": "parent_key", "d1": "parent1", "d2": "parent2"})
+            links = above.join(of, ["parent_key", "parent1", "parent2"]).select(*base, (F.col("skip") + F.col("more")).alias("skip"), "key", "d1", "d2")
+        links = stored(links, "links")
+    places = places.withColumnsRenamed({"key": "base_key", "d1": "base1", "d2": "base2"})
+    spans = places.join(repeats, base).select("_row", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") + (length - 1)).alias("end"))
     return spans.groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 

@@ -31,8 +31,8 @@ from larkspar.llm.common import BASES, blocks, flat, prefix_hash, range_hash, ra
 
 LENGTH, GRAM = 35, 8
 BLOCK_BYTES = 2_000_000
-#: Contents that are compiled and streamed at once.
-BATCH_CONTENTS = 4_000
+#: Contents that are compiled and streamed at once; an anchor with more different ones is counted over all tasks.
+BATCH_CONTENTS, GROUP_CONTENTS = 4_000, 1_000
 #: Words become characters from here on: above the code points that may not stand alone.
 FIRST_CHARACTER = 0xE000
 
@@ -228,7 +228,7 @@ def located(passages: DataFrame, found: DataFrame, hot: DataFrame, grain: Grain)
         if rows:
             yield out(list(match(wanted, rows)))
 
-    crowd = hot.select("key", F.ceil(F.col("different") / BATCH_CONTENTS).cast("int").alias("shards"))
+    crowd = hot.select("key", F.ceil(F.col("total") / BATCH_CONTENTS).cast("int").alias("shards"))
     shards = F.coalesce("shards", F.lit(1))
     nothing = F.lit(None).cast("long")
     dealt_patterns = found.join(crowd, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), shards - 1)))
@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = stored(find_segments(docs, grain), "segments")
     occurrences = stored(cut_contents(docs.join(recurring(found), "_row"), grain), "occurrences")
     contents = occurrences.filter("content IS NOT NULL").select("key", "d1", "d2", "windows", "content", "n")
-    hot = stored(crowded(contents), "crowded")
+    hot = stored(crowded(contents, F.lit(1), GROUP_CONTENTS), "crowded")
     passages = stored(confirmed(contents, hot, grain), "passages")
     spans = located(passages, patterns(passages, grain), hot, grain)
     places = occurrences.select("_row", "first", "key", "d1", "d2").join(spans, ["key", "d1", "d2"])

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from larkspar.llm import anchors
+from larkspar.llm import op02_suffix_array
 from larkspar.llm.op02_suffix_array import long_common_prefixes, remove_repeats
 
 SCHEMA = "doc_id long, text string"
@@ -41,7 +41,7 @@ def test_matches_counting_every_string(spark, length):
 
 
 def test_crowded_anchors_are_split_and_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(anchors, "GROUP_LIMIT", 4)
+    monkeypatch.setattr(op02_suffix_array, "GROUP_BYTES", 400)
     r = random.Random(5)
     passage = "".join(r.choice("abcdefgh") for _ in range(70))
     tails = ["".join(r.choice("xyz") for _ in range(30)) for _ in range(3)]

@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from larkspar.llm import anchors
+from larkspar.llm import op04_phrases
 from larkspar.llm.op04_phrases import remove_phrases
 
 SCHEMA = "doc_id long, text string"
@@ -38,7 +38,7 @@ def test_matches_counting_every_window(spark):
 
 
 def test_crowded_anchors(spark, monkeypatch):
-    monkeypatch.setattr(anchors, "GROUP_LIMIT", 3)
+    monkeypatch.setattr(op04_phrases, "GROUP_CONTENTS", 3)
     r = random.Random(4)
     passage = " ".join(f"w{r.randint(0, 50)}" for _ in range(20))
     texts = [" ".join([*(f"p{r.randint(0, 9)}" for _ in range(r.randint(1, 9))), passage, *(f"q{r.randint(0, 1)}" for _ in range(9))]) for _ in range(70)]
