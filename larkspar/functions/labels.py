@@ -63,7 +63,7 @@ def effective(category: Column, label: Column, confidence: Column, applied: Colu
     """A struct (category, species, confidence) that holds: the prior label where the run left it in place."""
     kept = (applied == "kept-existing") & (F.trim(F.coalesce(prior_category, F.lit(""))) != "")
     parts = F.split(F.coalesce(prior_label, F.lit("")), ";")
-    prior = F.element_at(F.filter(F.transform(parts, parse_label), lambda p: p.isNotNull()), 1)
+    prior = F.get(F.filter(F.transform(parts, parse_label), lambda p: p.isNotNull()), F.lit(0))
     own = F.struct(F.lower(F.trim(category)).alias("category"), empty_to_null(F.lower(F.trim(label))).alias("species"), F.coalesce(confidence.try_cast("double"), F.lit(0.0)).alias("confidence"))
     old = F.struct(F.lower(F.trim(prior_category)).alias("category"), prior["english"].alias("species"), prior["confidence"].alias("confidence"))
     return F.when(F.coalesce(kept, F.lit(False)), old).otherwise(own)
