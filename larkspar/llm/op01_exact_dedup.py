@@ -18,6 +18,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspar.llm.common import shared_dir, stored, table, with_row_key
 
@@ -66,7 +67,7 @@ def keep_in_state(arrivals: DataFrame, folder: str) -> DataFrame:
     with settings(spark, STATE_STORE):
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(changed).start()
         query.awaitTermination()
-    rows = spark.read.schema(state.schema.add("batch", "long")).parquet(f"{folder}/state")
+    rows = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/state")
     newest = F.max(F.struct("batch", "keep", "group_size")).alias("newest")
     return rows.groupBy("digest").agg(newest).select("digest", "newest.keep", "newest.group_size")
 
