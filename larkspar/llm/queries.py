@@ -10,6 +10,7 @@ from larkspar.llm.op07_sentencepiece import op7_sentencepiece
 from larkspar.llm.op08_topk import OP8_SQL, op8_topk
 from larkspar.llm.op09_mixing import op9_mixing
 from larkspar.llm.op10_language import op10_language
+from larkspar.llm.oracle import OP2_SQL, OP4_SQL, OP6_SQL
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -26,5 +27,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op2_suffix_array": OP2_SQL,
+    "op4_phrases": OP4_SQL,
+    "op6_jaccard": OP6_SQL,
     "op8_topk": OP8_SQL,
 }
