@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     candidates = rows.select("row", "vec_id", "v", "d", spread(blocks).alias("cb"), everywhere(query_blocks).alias("qb"))
 
     # The interval of each query: from low to below high, in BINS bins at most of the width step.
-    bound = F.ceil(F.col("norm") * longest * (1 + 1e-9)) + 1
+    bound = F.ceil(F.least(F.col("norm") * longest * (1 + 1e-9), F.lit(4e18))) + 1
     state = rows.filter("q").select("row", "vec_id", "v", "d", (-bound).cast("long").alias("low"), (bound + 1).cast("long").alias("high"), F.ceil((2 * bound + 1) / BINS).cast("long").alias("step"), F.lit(0).cast("long").alias("above"))
     while state.filter("step >= 1").limit(1).count():
         # A query whose kth score is known has step 0 and takes no part in further rounds.
