@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts that go to a Python worker at once: Spark's default of 10,000 would hold tens of MB twice.
+TEXTS_PER_BATCH = 1_000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches kept small: texts are long, and executors' memory outside the heap is not."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
+        conf.set(key, str(TEXTS_PER_BATCH))
+    return docs
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the fold; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm.anchors import Grain, crowded, digests, recurring, runs, segments
-from larkspar.llm.common import BASES, blocks, prefix_hash, ranges, stored, table, with_row_key
+from larkspar.llm.common import BASES, blocks, prefix_hash, ranges, small_batches, stored, table, with_row_key
 
 LENGTH, GRAM = 400, 32
 BLOCK_BYTES = 1_500_000
@@ -350,7 +350,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, keep_text: bool = False) ->
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """docs without text, with what the removal of repeated strings of ``length`` bytes leaves of it."""
-    keyed = with_row_key(docs)
+    keyed = with_row_key(small_batches(docs))
     return without_spans(keyed, repeated_spans(keyed.select("_row", "text"), length), keep_text)
 
 

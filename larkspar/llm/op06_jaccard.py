@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import BASES, blocks, mixed, prefix_hash, range_hash, ranges, stored, table, with_row_key, word_spans
+from larkspar.llm.common import BASES, blocks, mixed, prefix_hash, range_hash, ranges, small_batches, stored, table, with_row_key, word_spans
 from larkspar.operators.components import components
 
 SHINGLE, PERCENT = 3, 90
@@ -277,7 +277,7 @@ def linked(clusters: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: _row, doc_id, n_shingles, component (a _row), component_id, n_links (with other documents)."""
-    texts = with_row_key(docs.select(F.col("doc_id").cast("long"), "text"))
+    texts = with_row_key(small_batches(docs).select(F.col("doc_id").cast("long"), "text"))
     frequent = np.zeros(0, np.uint64)
     for _ in range(ROUNDS):
         parts = stored(first_parts(texts, k, percent, frequent), "parts")

@@ -22,13 +22,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspar.llm.common import blocks, table
+from larkspar.llm.common import blocks, small_batches, table
 
 SPACE = "▁"
 #: A word of more symbols is merged with a heap: rounds would take time by the square of its length.
 LONG_WORD = 400
 #: Words that a worker keeps at most; beyond that it starts anew.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 250_000
 BLOCK_BYTES = 4_000_000
 
 
@@ -165,6 +165,10 @@ class Merger:
         parts = [self.spelled(names[s], []) if s >= self.piece_count and self.byte is None else (",".join(str(self.byte[b]) for b in names[s].encode()), names[s]) if s >= self.piece_count else (str(s), self.text[s]) for s in symbols]
         return ",".join(p[0] for p in parts), "".join(p[1] for p in parts)
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.chunks.clear()
+
     def learn(self, words: list[str]) -> None:
         """Encodes words into the table."""
         code, short = self.symbols, []
@@ -235,8 +239,9 @@ def encode(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
                 columns.append(pa.array([[int(i) for i in x.split(",")] if x else [] for x, _ in done], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        m.forget()  # an idle worker should not hold memory that the next stage needs
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def public_model() -> str:
