@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from larkspar.llm.common import blocks, flat, held_out, ranges, table
+from larkspar.llm.common import blocks, flat, held_out, ranges, small_batches, table
 
 #: What is learned from: documents per language at most, their length at most, and bytes per language.
 SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_BYTES = 100, 8_000, 24_000
 STRETCH = 2_048
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 UNKNOWN = "und"
 
 LETTER = np.zeros(256, bool)
@@ -37,12 +37,12 @@ LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def letters(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of lower-cased text with each run of other bytes as one space, none at the start."""
+    """Rows of lower-cased text with each run of other bytes before a letter as one space."""
     is_letter = LETTER[raw]
     keep = is_letter.copy()
     keep[:-1] |= is_letter[1:]  # the last byte before a letter stands for the run
-    first = at[:-1][at[:-1] < at[1:]]
-    keep[first] = is_letter[first]
+    last = at[1:][at[:-1] < at[1:]] - 1
+    keep[last] = is_letter[last]
     out = np.where(is_letter, raw, 0x20).astype(np.uint8)[keep]
     return out, np.r_[0, np.cumsum(keep)][at]
 
@@ -87,7 +87,7 @@ class Languages:
     names: list[str]
     code: np.ndarray
     width: int
-    roots: np.ndarray
+    starts: np.ndarray
     steps: np.ndarray
     bits: np.ndarray
 
@@ -98,7 +98,7 @@ class Languages:
         code = np.full(256, len(seen))
         code[seen] = range(len(seen))
         width = len(seen) + 1  # the last symbol occurs in no sample
-        tables, roots = [], []
+        tables, starts = [], []
         for name in names:
             edges = automaton(samples[name])
             root = sum(len(t) for t in tables)
@@ -106,14 +106,15 @@ class Languages:
             for state, out in enumerate(edges):
                 for c, target in out.items():
                     steps[state, code[c]] = 2 * (root + target)
-            fresh = np.where(steps[0] >= 0, steps[0], 2 * root) | 1
-            unseen = steps[0] < 0
+            # One more state stands before each text and behind a symbol without transitions: there every symbol begins a phrase.
+            start = root + len(edges)
+            fresh = np.where(steps[0] >= 0, steps[0], 2 * start) | 1
             steps = np.where(steps < 0, fresh[None, :], steps)
-            steps[:, unseen] = 2 * root + 1
+            steps = np.concatenate([steps, fresh[None, :]])
             tables.append(steps.astype(np.int32))
-            roots.append(root)
+            starts.append(start)
         bits = np.array([math.log2(len(samples[n]) + 2) for n in names])
-        return cls(names, code.astype(np.uint8), width, np.array(roots), np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), bits)
+        return cls(names, code.astype(np.uint8), width, np.array(starts), np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), bits)
 
     def entropies(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Cross entropy in bits per symbol of each row (lower-cased UTF-8) for each language; NaN without letters."""
@@ -125,9 +126,9 @@ class Languages:
         length = np.minimum(at[row + 1] - begin, STRETCH)
         order = np.argsort(-length, kind="stable")
         begin, length, row = begin[order], length[order], row[order]
-        symbols = self.code[text].astype(np.int64)
-        state = np.repeat(self.roots[:, None], len(row), 1)
-        phrases = np.repeat((length > 0)[None, :], len(self.names), 0).astype(np.int64)
+        symbols = self.code[text]
+        state = np.repeat(self.starts[:, None], len(row), 1)
+        phrases = np.zeros((len(self.names), len(row)), np.int64)
         active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
         for t, n in enumerate(active.tolist()):
             x = self.steps[state[:, :n] * self.width + symbols[begin[:n] + t][None, :]]
@@ -188,7 +189,7 @@ def identify(docs: DataFrame, languages: Languages, carry_text: bool = True) ->
             yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c not in ("_lower", "_letter")), "lang_pred", "score"])
 
     text = F.coalesce("text", F.lit(""))
-    made = docs.withColumns({"_lower": F.lower(text), "_letter": text.rlike(r"\p{L}")})
+    made = small_batches(docs).withColumns({"_lower": F.lower(text), "_letter": text.rlike(r"\p{L}")})
     return (made if carry_text else made.drop("text")).mapInArrow(run, schema)
 
 
