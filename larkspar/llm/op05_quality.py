@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspar.llm.common import blocks, held_out, labelled_sample, ranges, table
+from larkspar.llm.common import blocks, held_out, labelled_sample, ranges, small_batches, table
 
 WIDTH, STRIDE, FILTERS = 8, 4, 16
 #: Chunks start every CHUNK - OVERLAP bytes; both are multiples of STRIDE.
@@ -110,16 +110,21 @@ class Network:
         return [g, to_top.sum(0), (x * d[:, None]).sum(0), np.array([d.sum()])]
 
     @classmethod
-    def fit(cls, examples: list[tuple[str, int]], seed: int = 7) -> Network:
-        """Adam over mini-batches; classes count alike."""
+    def fit(cls, examples: list[tuple[str, int]], prior: float = 0.5, seed: int = 7) -> Network:
+        """Adam over mini-batches; together the examples of label 1 count as the part ``prior`` of all.
+
+        A short excerpt of each example is learned from as well, so that short texts are not strange.
+        """
         net, r = cls.fresh(seed), np.random.default_rng(seed)
+        starts = [int(r.integers(0, max(1, len(t) - 30))) for t, _ in examples]
+        examples = [*examples, *((t[i : i + int(r.integers(10, 250))], y) for i, (t, y) in zip(starts, examples, strict=True) if len(t) > 60)]
         texts = [np.frombuffer(t.encode(), np.uint8) for t, _ in examples]
         y = np.array([label for _, label in examples], np.float32)
         if not len(y) or y.min() == y.max():
             net.weights[:] = 0
             net.offset[:] = 0 if not len(y) else (4 if y[0] else -4)
             return net
-        share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+        share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())).astype(np.float32)
         values = [net.filters, net.bias, net.weights, net.offset]
         mean, square = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
         step, steps = 0, EPOCHS * -(-len(y) // BATCH)
@@ -147,12 +152,15 @@ def scored(docs: DataFrame, score, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for batch, raw, at in blocks(batches, block_bytes):
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(shared.value(raw, at), pa.float64())], [*(f.name for f in rest), "score"])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*rest, T.StructField("score", T.DoubleType())]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted. Learns labels.quality outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(F.col("doc_id"), 3, 1)
-    net = Network.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~out, SAMPLE_DOCS, SAMPLE_LONGEST))
+    labels = table(spark, sf_dir, "labels")
+    # The share of label 1 among all rows that may be learned from: short texts say little, and lean to what is usual.
+    prior = labels.filter(~out & F.col("quality").isin(0, 1)).agg(F.coalesce(F.avg("quality"), F.lit(0.5))).first()[0]
+    net = Network.fit(labelled_sample(docs, labels, "quality", ~out, SAMPLE_DOCS, SAMPLE_LONGEST), prior)
     return scored(docs, net.score).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
