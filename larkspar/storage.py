@@ -17,8 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/larkspar/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, files_per_core: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    ``files_per_core`` bounds the number of files where a result is small beside its number of partitions: on
+    some file systems each file costs a call of another program.
+    """
+    if files_per_core:
+        df = df.coalesce(files_per_core * max(1, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
