@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm.anchors import Grain, Segments, crowded, digests, recurring, runs, segments
-from larkspar.llm.common import BASES, blocks, flat, prefix_hash, range_hash, ranges, stored, table, with_row_key, word_spans
+from larkspar.llm.common import BASES, blocks, flat, prefix_hash, range_hash, ranges, small_batches, stored, table, with_row_key, word_spans
 
 LENGTH, GRAM = 35, 8
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Contents that are compiled and streamed at once; an anchor with more different ones is counted over all tasks.
-BATCH_CONTENTS, GROUP_CONTENTS = 4_000, 1_000
+BATCH_CONTENTS, GROUP_CONTENTS = 2_000, 1_000
+#: Files of the operator's own tables.
+FILES_PER_CORE = 4
 #: Words become characters from here on: above the code points that may not stand alone.
 FIRST_CHARACTER = 0xE000
 
@@ -242,11 +244,11 @@ def located(passages: DataFrame, found: DataFrame, hot: DataFrame, grain: Grain)
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """docs: _row, text. For each _row with repeats the list ``spans`` of covered (begin, end) words, which may overlap."""
     grain = Grain(length, min(GRAM, 1 << (length // 2).bit_length() - 1))
-    found = stored(find_segments(docs, grain), "segments")
-    occurrences = stored(cut_contents(docs.join(recurring(found), "_row"), grain), "occurrences")
+    found = stored(find_segments(docs, grain), "segments", FILES_PER_CORE)
+    occurrences = stored(cut_contents(docs.join(recurring(found), "_row"), grain), "occurrences", FILES_PER_CORE)
     contents = occurrences.filter("content IS NOT NULL").select("key", "d1", "d2", "windows", "content", "n")
-    hot = stored(crowded(contents, F.lit(1), GROUP_CONTENTS), "crowded")
-    passages = stored(confirmed(contents, hot, grain), "passages")
+    hot = stored(crowded(contents, F.lit(1), GROUP_CONTENTS), "crowded", FILES_PER_CORE)
+    passages = stored(confirmed(contents, hot, grain), "passages", FILES_PER_CORE)
     spans = located(passages, patterns(passages, grain), hot, grain)
     places = occurrences.select("_row", "first", "key", "d1", "d2").join(spans, ["key", "d1", "d2"])
     places = places.select("_row", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
@@ -292,7 +294,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, keep_text: bool = False) ->
 
 def remove_phrases(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """docs without text, with what the removal of repeated windows of ``length`` words leaves of it."""
-    keyed = with_row_key(docs)
+    keyed = with_row_key(small_batches(docs))
     return without_spans(keyed, repeated_spans(keyed.select("_row", "text"), length), keep_text)
 
 
