@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspar.functions.names import trip_date
 from larkspar.operators.order import numbered, orbit
@@ -46,14 +50,30 @@ def conflicts(frames: DataFrame) -> DataFrame:
 
 
 def range_conflicts(ranges: DataFrame) -> DataFrame:
-    """ranges (group, pos, code, low, high): per trip the last position before it with an overlapping counter range.
+    """ranges (group, pos, code, low, high; one row per code of a trip): per trip the last position before it from
+    which on its code's envelope, the smallest low to the largest high of all trips in between, overlaps its own range.
 
-    Trips of a group and code whose ranges overlap share a point; the ranges are cut into the pieces between all
-    bounds, so the join is by equality.
+    An envelope from q on reaches up to the trip if q is no later than the last trip with a high enough end, and down
+    to it likewise; the earlier of the two is the conflict.  Either is found on the way along the trips, by bisection
+    in the ends that no later trip exceeds.
     """
-    bounds = ranges.select("group", "code", F.col("low").alias("bound")).union(ranges.select("group", "code", F.col("high").alias("bound"))).distinct()
-    pieces = ranges.join(bounds, ["group", "code"]).filter("bound BETWEEN low AND high").select("group", "pos", F.concat_ws("/", "code", F.col("bound").cast("string")).alias("key"))
-    return conflicts(pieces)
+
+    def last_of(trips: pd.DataFrame) -> pd.DataFrame:
+        trips = trips.sort_values("pos", ignore_index=True)
+        highs, high_at, lows, low_at, out = [], [], [], [], []  # ascending: ends as negative highs, begins as lows
+        for pos, low, high in zip(trips["pos"].tolist(), trips["low"].tolist(), trips["high"].tolist(), strict=True):
+            a, b = bisect_right(highs, -low), bisect_right(lows, high)
+            out.append(min(high_at[a - 1], low_at[b - 1]) if a and b else None)
+            while highs and highs[-1] >= -high:
+                highs.pop(), high_at.pop()
+            while lows and lows[-1] >= low:
+                lows.pop(), low_at.pop()
+            highs.append(-high), high_at.append(pos), lows.append(low), low_at.append(pos)
+        return trips[["group", "pos"]].assign(last=pd.array(out, "Int64"))
+
+    schema = T.StructType([ranges.schema["group"], T.StructField("pos", T.LongType()), T.StructField("last", T.LongType())])
+    each = ranges.select("group", F.col("pos").cast("long").alias("pos"), "code", "low", "high").groupBy("group", "code").applyInPandas(last_of, schema)
+    return each.groupBy("group", "pos").agg(F.max("last").alias("last"))
 
 
 def segments(last: DataFrame) -> DataFrame:

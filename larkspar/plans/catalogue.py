@@ -410,8 +410,8 @@ def segments(t):
 
 @query
 def segments_strict(t):
-    """Ranges of numbers per code, narrowed to a hundredth so that not every trip meets every other."""
-    ranges = frames(t).groupBy("group", "pos", "code").agg(F.min("num").alias("low")).withColumn("high", F.col("low") + 25)
+    """Cut where a trip's range of numbers meets the range that its segment has covered so far, per code."""
+    ranges = frames(t).groupBy("group", "pos", "code").agg(F.min("num").alias("low"), F.max("num").alias("high"))
     return timeline.segments(timeline.range_conflicts(ranges))
 
 
