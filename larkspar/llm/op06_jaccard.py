@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import BASES, blocks, mixed, prefix_hash, range_hash, ranges, small_batches, stored, table, with_row_key, word_spans
-from larkspar.operators.components import components
+from larkspar.operators.components import components, forest
 
 SHINGLE, PERCENT = 3, 90
 BLOCK_BYTES = 2_000_000
@@ -106,23 +106,6 @@ def first_parts(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) ->
     return docs.mapInArrow(run, "_row long, doc_id long, size long, d1 long, d2 long, firsts array<long>, bitmap binary")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each of n nodes' component, given edges a - b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while not np.array_equal(label, up := label[label]):
-            label = up
-        if np.array_equal(label, before):
-            break
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
-
-
 def maybe_similar(bucket_rows: DataFrame, percent: int) -> DataFrame:
     """Edges u, v of a spanning forest of sets that share a first shingle and may be similar.
 

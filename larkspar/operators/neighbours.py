@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspar.operators.components import components
+from larkspar.operators.components import components, forest
 from larkspar.storage import stored
 
 BLOCK = 4_096
@@ -57,19 +57,46 @@ def scored(nearest_one: DataFrame, labels: DataFrame, frequent: int) -> DataFram
     )
 
 
+def within(vectors: DataFrame, radius: float) -> DataFrame:
+    """vectors (key, v): edges u, v that join the same vectors as all pairs at a distance within the radius do.
+
+    All blocks of keys meet in pairs; of the pairs of two blocks a task keeps a spanning forest only.
+    """
+
+    def joined(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("key", ignore_index=True)
+        v = np.stack(t["v"].to_numpy())
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        label = np.arange(len(v))
+        for at in range(0, len(v), 512):
+            c = np.round(v[at : at + 512] @ v[at:].T, 12)
+            i, j = np.nonzero(np.sqrt(np.maximum(0.0, 2 - 2 * c)) <= radius)
+            a, b = label[i + at], label[j + at]
+            open_ = a != b
+            if open_.any():
+                label = forest(len(v), a[open_], b[open_])[label]
+        key = t["key"].to_numpy()
+        moved = np.flatnonzero(label != np.arange(len(v)))
+        return pd.DataFrame({"u": key[moved], "v": key[label[moved]]})
+
+    blocks = max(1, -(-vectors.count() // BLOCK))
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    met = vectors.select("key", "v", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    return met.groupBy(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).applyInPandas(joined, "u long, v long")
+
+
 def density_clusters(vectors: DataFrame, min_samples: int, radius: float, min_cluster_size: int) -> DataFrame:
     """One cut of the density hierarchy: key, cluster_id (smallest key; -1 is noise), core_distance.
 
     The core distance of a vector is the distance to its ``min_samples``-th neighbour.  Vectors whose core
-    distance is within the radius are joined with neighbours as dense as themselves at a mutual
-    reachability within the radius; components of enough vectors are clusters.  Two dense vectors within the radius that
-    are not among each other's neighbours share dense neighbours between them or stay apart.
+    distance is within the radius are joined with all others as dense as themselves at a mutual
+    reachability within the radius; components of enough vectors are clusters.
     """
     near = stored(nearest(vectors, min_samples).withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine")))), "near")
     core = near.groupBy("key").agg(F.max("distance").alias("core_distance"))
-    dense = core.filter(F.col("core_distance") <= radius).select("key")
-    edges = near.filter(F.col("distance") <= radius).join(dense, "key").join(dense.withColumnRenamed("key", "other"), "other")
-    found = components(edges.select(F.col("key").alias("u"), F.col("other").alias("v")))
+    dense = stored(vectors.join(core.filter(F.col("core_distance") <= radius), "key", "left_semi").select("key", "v"), "dense")
+    joined = components(within(dense, radius)).withColumnRenamed("node", "key")
+    found = dense.select("key").join(joined, "key", "left").select(F.col("key").alias("node"), F.coalesce("component", "key").alias("component"))
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= min_cluster_size)
     members = found.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("cluster_id"))
     rows = vectors.select("key").join(core, "key", "left").join(members, "key", "left")
