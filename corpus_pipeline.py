@@ -19,6 +19,8 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told (null, empty, without letters), learning from docs.lang."""
     languages = op10_language.Languages.learn(op10_language.sample(docs, F.lit(True)))
+    if not languages.names:  # no text has a known language
+        return docs.filter(op10_language.has_letter(F.col("text")))
     found = op10_language.identify(docs, languages)
     return found.filter(F.col("lang_pred") != op10_language.UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
 

@@ -26,8 +26,10 @@ from pyspark.sql import Window as W
 
 from larkspar.llm.common import blocks, flat, held_out, ranges, small_batches, table
 
-#: What is learned from: documents per language at most, their length at most, and bytes per language.
+#: What is learned from: documents per language at most, their bytes before excerpts are taken, and bytes per language.
 SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_BYTES = 100, 8_000, 24_000
+#: Excerpts of a longer document, evenly spread.
+EXCERPTS = 4
 STRETCH = 2_048
 BLOCK_BYTES = 3_000_000
 UNKNOWN = "und"
@@ -139,12 +141,21 @@ class Languages:
             return total * self.bits[None, :] / sizes[:, None]
 
 
+def excerpt(text: Column) -> Column:
+    """The text, or of one over SAMPLE_LONGEST bytes evenly spread parts; ASCII other than letters is one space there."""
+    part = SAMPLE_LONGEST // EXCERPTS // 4  # characters have 4 bytes at most
+    plain = F.trim(F.regexp_replace(text, r"[\x00-\x7F&&[^A-Za-z]]+", " "))
+    apart = F.greatest(F.lit(0), F.length(plain) - part) / (EXCERPTS - 1)
+    parts = [F.substring(plain, (apart * i).cast("int") + 1, F.lit(part)) for i in range(EXCERPTS)]
+    return F.when(F.octet_length(text) <= SAMPLE_LONGEST, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def sample(docs: DataFrame, learn: Column) -> dict[str, bytes]:
-    """A bounded sample of text per value of lang."""
-    fit = docs.filter(learn & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_LONGEST))
+    """A bounded sample of text per value of lang; of long texts excerpts."""
+    fit = docs.filter(learn & F.col("lang").isNotNull() & has_letter(F.col("text")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = fit.select("doc_id", "lang", F.row_number().over(order).alias("n")).filter(F.col("n") <= SAMPLE_DOCS)
-    rows = fit.join(ids.select("doc_id", "lang"), ["doc_id", "lang"]).select("doc_id", "lang", F.lower("text").alias("text")).collect()
+    rows = fit.join(ids.select("doc_id", "lang"), ["doc_id", "lang"]).select("doc_id", "lang", F.lower(excerpt(F.col("text"))).alias("text")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], hash_order(r["doc_id"]), r["text"])):
         if len(out.get(r["lang"], b"")) < SAMPLE_BYTES:
@@ -153,6 +164,10 @@ def sample(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     return {k: v for k, v in out.items() if v.strip()}
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(r"\p{L}")
+
+
 def hash_order(doc_id: int) -> int:
     """A fixed scrambled order of ids."""
     return doc_id * 0x9E3779B97F4A7C15 % (1 << 64)
@@ -189,7 +204,7 @@ def identify(docs: DataFrame, languages: Languages, carry_text: bool = True) ->
             yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c not in ("_lower", "_letter")), "lang_pred", "score"])
 
     text = F.coalesce("text", F.lit(""))
-    made = small_batches(docs).withColumns({"_lower": F.lower(text), "_letter": text.rlike(r"\p{L}")})
+    made = small_batches(docs).withColumns({"_lower": F.lower(text), "_letter": has_letter(text)})
     return (made if carry_text else made.drop("text")).mapInArrow(run, schema)
 
 
