@@ -36,8 +36,8 @@ BLOCK_BYTES = 2_000_000
 FREQUENT, MOST_FREQUENT, ROUNDS = 256, 200_000, 3
 #: Sets that meet in one block because of one shingle, and pairs that are compared at once.
 BUCKET_BLOCK, PAIRS_AT_ONCE = 1_024, 400_000
-#: Shingles of one block of a cluster, about, and columns that are multiplied at once.
-CLUSTER_BLOCK, COLUMNS = 150_000, 4_096
+#: Shingles and sets of one block of a cluster, about, and columns that are multiplied at once.
+CLUSTER_BLOCK, CLUSTER_ROWS, COLUMNS = 150_000, 1_000, 4_096
 #: Bits of a bitmap: the power of two next to the set's size, within these.
 LEAST_BITS, MOST_BITS = 512, 4_096
 
@@ -213,7 +213,7 @@ def overlaps(values: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
         place = np.full(n, -1)
         place[active] = np.arange(len(active))
         inside = place[owner[a:b]] >= 0
-        block = np.zeros((len(active), COLUMNS), np.float32)
+        block = np.zeros((len(active), min(COLUMNS, int(column[-1]) + 1 - first)), np.float32)
         block[place[owner[a:b]][inside], column[a:b][inside] - first] = 1
         overlap[np.ix_(active, active)] += block @ block.T
         rest -= np.bincount(owner[a:b], minlength=n)
@@ -288,8 +288,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     clusters = components(maybe_similar(held, percent))
 
     members = clusters.join(classes.select("node", "size", "copies"), "node")
-    weights = members.groupBy("component").agg(F.sum("size").alias("shingles"))
-    members = stored(members.join(weights, "component").select("node", "component", "copies", F.ceil(F.col("shingles") / CLUSTER_BLOCK).cast("int").alias("blocks")), "members")
+    weights = members.groupBy("component").agg(F.sum("size").alias("shingles"), F.count("*").alias("sets"))
+    least_blocks = F.ceil(F.greatest(F.col("shingles") / CLUSTER_BLOCK, F.col("sets") / CLUSTER_ROWS)).cast("int")
+    members = stored(members.join(weights, "component").select("node", "component", "copies", least_blocks.alias("blocks")), "members")
     links = stored(linked(members, texts, k, percent), "links")
     joined = components(links.select("u", "v"))
     degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
