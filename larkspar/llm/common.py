@@ -42,7 +42,14 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def with_row_key(docs: DataFrame, key: str = "_row") -> DataFrame:
-    """A key for each row, so that null and repeated ids stay apart: file scans give a row the same key each time."""
+    """A key for each row, so that null and repeated ids stay apart: file scans give a row the same key each time.
+
+    Spark splits files by how many cores live at each scan; the session's first number is kept, so that the splits,
+    and with them the keys, stay as they are when executors are lost or join.
+    """
+    spark, cores = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(cores, None) is None:
+        spark.conf.set(cores, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
     return docs.withColumn(key, F.monotonically_increasing_id())
 
 
