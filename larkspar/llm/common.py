@@ -139,11 +139,19 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
+def excerpts(text: Column, longest: int, parts: int = 4) -> Column:
+    """The text, or of one over ``longest`` bytes evenly spread parts of so many bytes at most together."""
+    size = longest // parts // 4  # characters have 4 bytes at most
+    apart = F.greatest(F.lit(0), F.length(text) - size) / (parts - 1)
+    cut = F.concat_ws(" ", *(F.substring(text, (apart * i).cast("int") + 1, F.lit(size)) for i in range(parts)))
+    return F.when(F.octet_length(text) <= longest, text).otherwise(cut)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, longest: int) -> list[tuple[str, int]]:
     """Texts and labels to fit a classifier on: at most ``per_class`` rows of each class, by hashed id.
 
-    ``learn`` tells the rows of labels that may be learned from.  Documents of over ``longest`` bytes
-    are not learned from, which bounds what comes to the driver.
+    ``learn`` tells the rows of labels that may be learned from.  Of documents of over ``longest`` bytes
+    excerpts are learned from, which bounds what comes to the driver.
     """
     # Ranked in 16 parts per class: no class meets in one task, and each task sends only its first rows.
     part = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(16))
@@ -151,6 +159,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     picked = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"), part.alias("_part"))
     picked = picked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= -(-per_class // 16))
     picked = F.broadcast(picked.select("doc_id", "_label"))  # 2 * per_class rows, rounded up
-    texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
-    rows = texts.join(picked, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_label").collect()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", excerpts(text, longest).alias("text"), "_label").collect()
     return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
