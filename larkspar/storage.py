@@ -4,27 +4,80 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings inside of the block; afterwards they are what they were."""
+    before = {k: spark.conf.getAll.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests on one machine) a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new folder below spark.checkpoint.dir; where that is unset, a local one on a single machine, else an error."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="larkspar-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/larkspar/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, files_per_core: int | None = None) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
+#: The table that is written is all that is left of its plan: its shuffles need no room any longer.
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{folder or shared_dir(spark)}/{name}"
+    with settings(spark, FREED):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one operator that are deleted together when the block ends; what outlasts it is stored() outside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, shared_dir(spark), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return stored(df, f"{self.count}-{name}", self.folder)
+
+    def drop(self, table: DataFrame) -> None:
+        """Deletes one of its tables that is superseded."""
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            delete(self.spark, folder)
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.folder)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
 
-    ``files_per_core`` bounds the number of files where a result is small beside its number of partitions: on
-    some file systems each file costs a call of another program.
-    """
-    if files_per_core:
-        df = df.coalesce(files_per_core * max(1, df.sparkSession.sparkContext.defaultParallelism))
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
