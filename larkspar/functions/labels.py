@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The categories of a label, now and in an earlier generation, and the marker of a batch.
-CATEGORIES = ("bird", "animal", "plant", "people", "scenery", "other")
-EARLY_CATEGORIES = ("birds", "animals", "plants", "person", "landscape")
-BATCH_MARKER = "_nb"
+# The categories of a label, now and in the earliest generation, the marker of a photo without bird, the
+# ending of a machine's label, and the beginning of a label that was written by hand.
+CATEGORIES = ("bird", "animal", "people", "scenery")
+EARLY_CATEGORIES = ("People", "Unknown")
+NO_BIRD_MARKER = "_nb"
+CONFIDENCE_ENDING = r"^_?.+\(\d{1,3}%\)$"
+HAND_WRITTEN = r"^[A-Za-z]+-\s*[^-]*[一-鿿]"
 LABEL = r"^([^-]+)-([^-]+)-(.+)\((\d+)%\)$"
 
 
@@ -37,10 +40,13 @@ def make_label(category: Column, english: Column, native: Column, initials: Colu
 
 
 def is_machine_keyword(word: Column, keywords: Column) -> Column:
-    """Whether a keyword was written by a labelling run: a category, a marker, or a label of either generation."""
-    hand = word.rlike(r"^[A-Z][a-z]+ [a-z]+$")
-    has_category = F.exists(keywords, lambda k: k.isin(*CATEGORIES))
-    return word.isin(*CATEGORIES, *EARLY_CATEGORIES, BATCH_MARKER) | word.rlike(r"^_?.+\(\d{1,3}%\)$") | (has_category & word.contains(" ") & ~hand)
+    """Whether a keyword was written by a labelling run: a category, the marker, or a label of any generation.
+
+    The earliest labels have no ending: beside a category, a phrase that was not written by hand is one.
+    """
+    text = F.trim(word)
+    has_category = F.exists(keywords, lambda k: k.isin(*CATEGORIES, *EARLY_CATEGORIES))
+    return text.isin(*CATEGORIES, *EARLY_CATEGORIES, NO_BIRD_MARKER) | text.rlike(CONFIDENCE_ENDING) | (has_category & text.contains(" ") & ~text.rlike(HAND_WRITTEN))
 
 
 def split_keywords(keywords: Column) -> tuple[Column, Column]:
@@ -59,6 +65,32 @@ def merge_paths(existing: Column, ours: Column, new: Column) -> Column:
     return F.concat(kept, F.filter(new, lambda p: ~F.array_contains(kept, p)))
 
 
+def existing_category(keywords: Column) -> Column:
+    """The first of the keywords that is a category; empty if none is."""
+    return F.coalesce(F.get(F.filter(keywords, lambda k: F.trim(k).isin(*CATEGORIES, *EARLY_CATEGORIES)), F.lit(0)), F.lit(""))
+
+
+def prior_labels(keywords: Column) -> Column:
+    """What earlier runs left among the keywords, as a struct (category, label): the rest of theirs is joined by ;."""
+    ours, _ = split_keywords(keywords)
+    category = existing_category(ours)
+    return F.struct(category.alias("category"), F.array_join(F.filter(ours, lambda k: k != category), ";").alias("label"))
+
+
+def effective_keyword(label: Column, native: Column, initials: Column, confidence: Column, applied: Column, prior_category: Column, prior_label: Column) -> Column:
+    """The keyword that holds for a label row: the prior label as it stands where the run left it in place, else its own.
+
+    Null without a label, with a confidence that is no number, or where no part of the prior label has the form of one.
+    """
+    kept = (applied == "kept-existing") & (F.coalesce(prior_category, F.lit("")) != "")
+    prior = F.get(F.filter(F.transform(F.split(F.coalesce(prior_label, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p.rlike(LABEL)), F.lit(0))
+    english, own = F.lower(F.trim(F.coalesce(label, F.lit("")))), F.trim(F.coalesce(native, F.lit("")))
+    number = F.when(F.coalesce(confidence, F.lit("")) == "", F.lit(0.0)).otherwise(confidence.try_cast("double"))
+    body = F.when(own == "", english).otherwise(F.concat(initials, F.lit("-"), own, F.lit("-"), english))
+    made = F.when((english != "") & number.isNotNull(), F.concat(body, F.lit("("), percent(number).cast("string"), F.lit("%)")))
+    return F.when(F.coalesce(kept, F.lit(False)), prior).otherwise(made)
+
+
 def effective(category: Column, label: Column, confidence: Column, applied: Column, prior_category: Column, prior_label: Column) -> Column:
     """A struct (category, species, confidence) that holds: the prior label where the run left it in place."""
     kept = (applied == "kept-existing") & (F.trim(F.coalesce(prior_category, F.lit(""))) != "")

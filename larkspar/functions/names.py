@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FRAME = r"^(?:\d{4}-\d{2}-\d{2}[-_ ])?_?([A-Za-z]\w*?|)_?(\d{3,})(?:-\d+)?(?: \(\d+\))?$"
+# Fixed value: a camera's file name. A date that was put before it, an underscore, the body's code, a counter of four
+# digits at least, the number of a virtual copy, and what a file synchronisation added.
+FRAME = r"^(?:\d{8}-)?_?([A-Za-z0-9_]*?)(\d{4,})(?:-\d+)?(?:_.*)?$"
 RENDER = r"-(?:Enhanced-NR|Enhanced|Panorama|Pano|HDR)(?:-\d+)?$"
 TRIP = r"^(\d{4})-(\d{2})(?:-(\d{2}))?(?:\D|$)"
 

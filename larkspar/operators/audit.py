@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# What identifies a person or place in a line of text.
+# What identifies a person or place in a line of text, and how a report's own lines begin.
 IDENTIFYING = {
-    "trip": r"\d{4}-\d{2}-\d{2}[-~_]\S+",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    "gps": r"-?\d{1,3}\.\d{4,}\s*,\s*-?\d{1,3}\.\d{4,}",
-    "home": r"/(?:home|Users)/[A-Za-z0-9_.-]+",
-    "serial": r"\b\d{15,16}\b",
-    "han": r"[一-鿿]+",
+    "trip folder name": r"\b(?:19|20)\d{2}-\d{2}-\d{2}(?:[~-]\d{2})?\s+[A-Z\x{4e00}-\x{9fff}]\S*",
+    "image key or path": r"(?i)\bPhotos-\d{2}\b|\b\w[\w-]*\.(?:jpg|jpeg|xmp|nef|arw|cr3|dng)\b",
+    "GPS": r"\b\d{1,3},\d{1,2}\.\d+[NSEW]\b|\bGPS(?:Latitude|Longitude)\b|\b-?\d{1,3}\.\d{4,}\s*,\s*-?\d{1,3}\.\d{4,}\b",
+    "camera serial": r"(?i)\b(?:BodySerialNumber|SerialNumber|serial)\b\W{0,3}([\w-]{4,})",
+    "home directory path": r"/home/[^/\s`\"']+|/Users/[^/\s`\"']+",
+    "CJK text": r"[\x{4e00}-\x{9fff}]+",
 }
+OWN_LINES = ("Generated by ", "No timestamp:")
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def rollup(rows: DataFrame, group: str, *aggregates: Column) -> DataFrame:
@@ -35,20 +36,46 @@ def most_common(rows: DataFrame, name: str, k: int) -> DataFrame:
     return rows.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(k)
 
 
-def vocabulary(labels: Column) -> Column:
-    """The names of a ;-joined list of labels that are specific: more than one word, 4 to 59 characters."""
-    parts = F.transform(F.split(labels, ";"), lambda p: F.lower(F.trim(F.regexp_replace(F.element_at(F.split(p, "-"), -1), r"\(\d+%\)$", ""))))
-    return F.filter(parts, lambda p: p.contains(" ") & F.length(p).between(4, 59))
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """The different names (name) in label and prior_label of bird rows that are specific.
+
+    rows: category, prior_category, label, prior_label (a list joined by ;).  A row is a bird's if either category says so;
+    a name has more than one word and 4 to 59 characters.
+    """
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    birds = rows.filter((plain(F.col("category")) == "bird") | (plain(F.col("prior_category")) == "bird"))
+    part = F.explode(F.concat(F.split(plain(F.col("label")), ";"), F.split(plain(F.col("prior_label")), ";")))
+    shape = r"^[^-]+-[^-]+-(.+?)\(\d+%\)$"
+    parts = birds.select(part.alias("part")).select(F.trim("part").alias("part")).select(F.when(F.col("part").rlike(shape), F.regexp_extract("part", shape, 1)).otherwise(F.col("part")).alias("part"))
+    names = parts.select(F.trim(F.regexp_replace("part", r"\(\d+%\)$", "")).alias("name"))
+    return names.filter(F.col("name").contains(" ") & F.length("name").between(4, 59)).distinct()
+
+
+def around_spaces(text: Column) -> Column:
+    """The three characters around each space inside of a text."""
+    at = F.filter(F.sequence(F.lit(2), F.greatest(F.length(text), F.lit(2))), lambda i: F.substring(text, i, F.lit(1)) == " ")
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i - 1, F.lit(3))))
 
 
-def identifying(rows: DataFrame, text: str, *keys: str, per_key: int | None = None) -> DataFrame:
-    """Findings (keys, line, kind, found): the first match of each kind in each line of a text.
+def identifying(rows: DataFrame, text: str, *keys: str, user: str | None = None, names: DataFrame | None = None, per_key: int | None = None) -> DataFrame:
+    """Findings (keys, line, kind, found): the first match of each kind in each line (from 1) of a text.
 
-    ``per_key`` keeps so many findings of a kind per key; the cap is a reader's convenience.
+    ``user``: a person's name, found in any case; ``names`` (name): a vocabulary, of which the first name in order is found.  A
+    name meets the lines that have the characters around its first space.  ``per_key`` keeps so many findings of a
+    kind per key; the cap is a reader's convenience.
     """
-    lines = rows.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line", "_text"))
-    kinds = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("_text", f"({p})", 1).alias("found")) for k, p in IDENTIFYING.items()]), lambda x: x["found"] != "")
-    found = lines.select(*keys, "line", F.explode(kinds).alias("x")).select(*keys, "line", "x.kind", "x.found")
+    lines = rows.select(*keys, F.posexplode(F.split(F.col(text), LINE_ENDS)).alias("line", "_text")).withColumn("line", F.col("line") + 1)
+    for own in OWN_LINES:
+        lines = lines.filter(~F.col("_text").startswith(own))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_substr("_text", F.lit(f"(?U){p}"))).alias("found")) for k, p in IDENTIFYING.items()]
+    if user:
+        kinds.append(F.struct(F.lit("photographer's name").alias("kind"), F.when(F.lower("_text").contains(user.lower()), F.lit(user)).alias("found")))
+    found = lines.select(*keys, "line", F.explode(F.filter(F.array(*kinds), lambda x: x["found"].isNotNull())).alias("x")).select(*keys, "line", "x.kind", "x.found")
+    if names is not None:
+        low = F.lower("_text")
+        heads = names.select("name", F.substring("name", F.instr("name", " ") - 1, F.lit(3)).alias("around"))
+        near = lines.select(*keys, "line", low.alias("_low"), F.explode(around_spaces(low)).alias("around")).join(heads, "around").filter(F.col("_low").contains(F.col("name")))
+        found = found.unionByName(near.groupBy(*keys, "line").agg(F.min("name").alias("found")).withColumn("kind", F.lit("species name")))
     if per_key is None:
         return found
     return found.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "kind").orderBy("line"))).filter(F.col("_n") <= per_key).drop("_n")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspar.functions.vectors import distance, dot
 from larkspar.operators.clusters import centroids
 from larkspar.operators.order import neighbour, numbered, orbit
+from larkspar.storage import stored
 
 
 def tile_matrix(vectors: DataFrame, tiles: int) -> DataFrame:
@@ -71,10 +73,33 @@ def boundary_steps(gaps: DataFrame) -> DataFrame:
     return means.join(hits)
 
 
-def rolling_median(rows: DataFrame, group: str, value: str, window: int, *order: Column | str) -> DataFrame:
-    """rows with the median of the values around them in their group's order: window // 2 before, the rest after."""
-    frame = W.partitionBy(group).orderBy(*order).rowsBetween(-(window // 2), window - window // 2 - 1)
-    return rows.withColumn("median", F.percentile(value, F.lit(0.5)).over(frame))
+def rolling_median(rows: DataFrame, value: str, least: int = 200, part: int = 50_000) -> DataFrame:
+    """rows (position from 1, value) with the median of the values around them; null for no more than ``least`` rows.
+
+    The window is the 200th part of the rows, five at least: half of it before, the row and the rest behind it; beyond the
+    ends the first and the last value go on.  Ranges of positions are dealt with what their windows reach into.
+    """
+    n = rows.count()
+    if n <= least:
+        return rows.withColumn("median", F.lit(None).cast("double"))
+    k = max(5, n // 200)
+    before, after = k // 2, k - k // 2 - 1
+    part = max(part, 4 * k)
+
+    def medians(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("position", ignore_index=True)
+        x = t["value"].to_numpy()
+        x = np.concatenate([np.repeat(x[0], before if t["position"][0] == 1 else 0), x, np.repeat(x[-1], after if t["position"].iloc[-1] == n else 0)])
+        first = t["position"][0] + (0 if t["position"][0] == 1 else before)
+        m = pd.Series(x).rolling(k).median().to_numpy()[k - 1 :]
+        found = pd.DataFrame({"position": np.arange(first, first + len(m)), "median": m})
+        return found[(found["position"] - 1) // part == t["part"][0]]
+
+    p = F.col("position") - 1
+    reach = F.sequence(F.floor(F.greatest(p - after, F.lit(0)) / part), F.floor(F.least(p + before, F.lit(n - 1)) / part))
+    dealt = rows.select(F.col("position").cast("long").alias("position"), F.col(value).cast("double").alias("value"), F.explode(reach).alias("part"))
+    found = dealt.groupBy("part").applyInPandas(medians, "position long, median double")
+    return rows.join(found, "position")
 
 
 def date_slots(groups: DataFrame, per_day: int = 1_440) -> DataFrame:
@@ -93,29 +118,39 @@ def running(rows: DataFrame, value: str, name: str, part: int = 50_000) -> DataF
     return parts.join(totals, "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before")
 
 
+# The colours that groups of one bin alternate in.
+COLOURS = ("Red", "Blue")
+
+
 def next_fit(groups: DataFrame, capacity: int) -> DataFrame:
-    """groups (position, size) packed in order into bins: position, size, bin (from 1), offset of the group in its bin.
+    """groups (position from 1, without gaps; size) packed in order into bins: position, size, bin (from 1), offset in it, colour.
 
-    A group goes to the open bin if it fits, else to a new one; a group above the capacity has a bin of its own
-    and what is left open behind it is not used.  Where a bin that begins at a group ends is known for every
+    A group goes to the open bin if it fits, else to a new one.  A group above the capacity begins an empty bin, fills as
+    many as it needs, and leaves the last one open.  Where what begins with an empty bin ends is known for every
     group at once, and the begins are what is reached from the first.
     """
     sums = running(groups.withColumn("size", F.col("size").cast("long")), "size", "before").withColumn("upto", F.col("before") + F.col("size"))
-    # The first group that no longer fits after a begin at s: the first with upto > before(s) + capacity, and s + 1 at least.
-    begins = sums.select("position", (F.col("before") + capacity).alias("value"), F.lit(1).alias("ask"), F.lit(None).cast("long").alias("end"))
+    # The first group that no longer fits after a begin at s, with the bins that s itself fills: s + 1 at least.
+    filled = F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0)
+    begins = sums.select("position", (F.col("before") + capacity * (filled + 1)).alias("value"), F.lit(1).alias("ask"), F.lit(None).cast("long").alias("end"))
     ends = sums.select(F.lit(None).cast("long").alias("position"), F.col("upto").alias("value"), F.lit(0).alias("ask"), F.col("position").alias("end"))
     line = numbered(begins.unionByName(ends), "line", "value", "ask", "end", "position")
     # The next end in line: all ends behind an asking row have a larger sum.
-    filled = next_known(line, "line", "end")
-    jumps = filled.filter("ask = 1").select(F.lit(0).alias("group"), F.col("position").alias("at"), F.when(F.col("found").isNotNull(), F.greatest("found", F.col("position") + 1)).alias("next"))
+    found = next_known(line, "line", "end").filter("ask = 1")
+    jumps = found.select(F.lit(0).alias("group"), F.col("position").alias("at"), F.when(F.col("found").isNotNull(), F.greatest("found", F.col("position") + 1)).alias("next"))
     first = groups.agg(F.min("position").alias("at")).select(F.lit(0).alias("group"), "at").filter("at IS NOT NULL")
     last = groups.agg(F.max("position")).first()[0]
-    jumps = jumps.filter(F.col("next") <= F.lit(last))
-    heads = orbit(jumps, first).select(F.col("at").alias("position"), F.lit(1).alias("head"))
-    marked = sums.join(heads, "position", "left").withColumn("head", F.coalesce("head", F.lit(0)))
-    in_bin = running(marked, "head", "heads").withColumn("bin", F.col("heads") + F.col("head"))
-    base = in_bin.filter("head = 1").select("bin", F.col("before").alias("base"))
-    return in_bin.join(base, "bin").select("position", "size", "bin", (F.col("before") - F.col("base")).alias("offset"))
+    jumps = stored(jumps.filter(F.col("next") <= F.lit(last)), "jumps")
+    heads = stored(orbit(jumps, first).select(F.col("at").alias("position"), F.lit(1).alias("head")), "heads")
+    # What a begin fills until the next one does so much to the bins' numbers there.
+    at = sums.select(F.col("position").alias("at"), F.col("before").alias("low"))
+    to = sums.select(F.col("position").alias("next"), F.col("before").alias("high"))
+    full = jumps.join(heads.select(F.col("position").alias("at")), "at").join(at, "at").join(to, "next").select(F.col("next").alias("position"), F.ceil((F.col("high") - F.col("low")) / capacity).alias("more"))
+    marked = sums.join(heads, "position", "left").join(full, "position", "left").fillna(0, ["head", "more"])
+    in_run = running(running(marked, "head", "heads"), "more", "bins").withColumn("run", F.col("heads") + F.col("head"))
+    base = in_run.filter("head = 1").select("run", F.col("before").alias("base"), (F.col("bins") + F.col("more") + 1).alias("bin"))
+    inside = F.col("before") - F.col("base")
+    return in_run.join(base, "run").select("position", "size", (F.col("bin") + F.floor(inside / capacity)).cast("long").alias("bin"), (inside % capacity).alias("offset"), F.when(F.col("position") % 2 == 1, COLOURS[0]).otherwise(COLOURS[1]).alias("colour"))
 
 
 def next_known(rows: DataFrame, line: str, value: str, part: int = 50_000) -> DataFrame:

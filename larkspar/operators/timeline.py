@@ -37,9 +37,15 @@ def collisions(frames: DataFrame, window: int) -> DataFrame:
 
 
 def digest(frames: DataFrame) -> DataFrame:
-    """frames (group, trip, key, code, num): per trip its files, distinct keys, keys that repeat, and the counter range."""
-    keys = frames.groupBy("group", "trip", "key").agg(F.count("*").alias("n"), F.min("num").alias("low"), F.max("num").alias("high"))
-    return keys.groupBy("group", "trip").agg(F.sum("n").alias("files"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.min("low").alias("first_num"), F.max("high").alias("last_num"))
+    """frames (group, trip, key, code, num): per trip its files, distinct keys, keys that repeat, and each code's counter range.
+
+    ranges: code:low-high of every code, in order, joined by a comma.
+    """
+    keys = frames.groupBy("group", "trip", "code", "key").agg(F.count("*").alias("n"), F.min("num").alias("low"), F.max("num").alias("high"))
+    codes = keys.groupBy("group", "trip", "code").agg(F.sum("n").alias("files"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.min("low").alias("low"), F.max("high").alias("high"))
+    span = F.struct("code", F.concat_ws("", "code", F.lit(":"), F.col("low").cast("string"), F.lit("-"), F.col("high").cast("string")).alias("text"))
+    ranges = F.array_join(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["text"]), ",")
+    return codes.groupBy("group", "trip").agg(F.sum("files").alias("files"), F.sum("keys").alias("keys"), F.sum("repeated").alias("repeated"), ranges.alias("ranges"))
 
 
 def conflicts(frames: DataFrame) -> DataFrame:

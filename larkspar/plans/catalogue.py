@@ -142,8 +142,10 @@ def parse_label_strings(t):
 
 @query
 def split_keywords(t):
-    hand, category = F.lit("Family trip"), F.when(F.col("p_partkey") % 2 == 0, "bird").otherwise("my birds")
-    words = F.array(category, F.col("text"), F.col("p_name"), hand, F.lit("_nb"), F.col("p_type"))
+    """Keywords of parts: a category of either generation or none, labels, phrases, and some written by hand."""
+    hand = F.concat(F.lit("xs-小隼 "), F.col("p_name"))
+    category = F.when(F.col("p_partkey") % 3 == 0, "bird").when(F.col("p_partkey") % 3 == 1, " Unknown").otherwise("my_birds")
+    words = F.array(category, F.col("text"), F.col("p_name"), hand, F.lit("_nb"), F.col("p_type"), F.when(F.col("p_partkey") % 5 == 0, "People").otherwise("Family"))
     rows = part_labels(t).withColumn("words", words)
     ours, theirs = L.split_keywords(F.col("words"))
     paths = F.array(F.concat(F.lit("animals|"), F.col("text")), F.concat(F.lit("places|"), F.col("p_type")))
@@ -154,6 +156,22 @@ def split_keywords(t):
     )
 
 
+@query
+def prior_labels(t):
+    """What earlier runs left among a part's keywords."""
+    category = F.when(F.col("p_partkey") % 3 == 0, "bird").when(F.col("p_partkey") % 3 == 1, "Unknown").otherwise("my_birds")
+    x = L.prior_labels(F.array(F.col("p_name"), category, F.col("text"), F.lit("_nb")))
+    return part_labels(t).select("p_partkey", x["category"].alias("category"), x["label"].alias("label"))
+
+
+@query
+def effective_keyword(t):
+    """The keyword that holds for a label row, with and without a native name."""
+    rows = label_rows(t).withColumn("native", F.when(F.col("doc_id") % 4 == 0, " ").when(F.col("doc_id") % 4 == 1, "小隼"))
+    made = L.effective_keyword(*[F.col(c) for c in ("label", "native")], F.lit("xs"), *[F.col(c) for c in ("confidence", "applied", "prior_category", "prior_label")])
+    return rows.select("doc_id", made.alias("keyword"))
+
+
 @query
 def format_label(t):
     """Account balances in hundredths as confidences: quarters of a percent, so that halves are exact."""
@@ -168,7 +186,7 @@ def format_label(t):
 @query
 def frame_identity(t):
     k = F.col("p_partkey")
-    stem = F.concat(F.when(k % 3 == 0, "2019-05-01-").otherwise(""), F.when(k % 4 == 0, "_").otherwise(""), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("D"), (k % 9).cast("string"), F.lit("S"))), F.lpad(k.cast("string"), 4, "0"), F.when(k % 7 == 0, "-2").when(k % 7 == 1, "-Enhanced-NR").when(k % 7 == 2, "-Pano-3").otherwise(""))
+    stem = F.concat(F.when(k % 3 == 0, "20190501-").otherwise(""), F.when(k % 4 == 0, "_").otherwise(""), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("D"), (k % 9).cast("string"), F.lit("S"))), F.lpad(k.cast("string"), 5 - (k % 11 == 0).cast("int") * 2, "0"), F.when(k % 7 == 0, "-2").when(k % 7 == 1, "-Enhanced-NR").when(k % 7 == 2, "-Pano-3").when(k % 7 == 3, "_host_1_Conflict").otherwise(""))
     x = N.frame_identity(F.col("stem"))
     return t("part").select("p_partkey", stem.alias("stem")).select("p_partkey", "stem", x["code"].alias("code"), x["num"].alias("num"), N.sidecar_stem(F.col("stem")).alias("sidecar"), N.is_virtual_copy(F.col("stem")).alias("is_copy"))
 
@@ -363,7 +381,9 @@ def boundary_steps(t):
 
 @query
 def rolling_median(t):
-    return layout.rolling_median(t("events"), "user_id", "value", 5, "ts", "event_id").select("event_id", F.round("median", 4).alias("median"))
+    """The values of all events in time, smoothed."""
+    rows = order.numbered(t("events").select("event_id", "ts", "value"), "position", "ts", "event_id")
+    return layout.rolling_median(rows, "value", part=2_000).select("event_id", F.round("median", 4).alias("median"))
 
 
 @query
@@ -434,7 +454,8 @@ def date_slots(t):
 
 @query
 def next_fit(t):
-    return layout.next_fit(groups(t), 300)
+    """Bins that some users' events exceed by themselves."""
+    return layout.next_fit(groups(t), 60)
 
 
 @query
@@ -455,12 +476,15 @@ def species_top(t):
 
 @query
 def pii_scan(t):
-    return audit.identifying(t("documents"), "text", "doc_id")
+    """Findings in documents; the vocabulary is what benchmark passages begin with."""
+    words = F.split("text", " ")
+    names = t("benchmark").select(F.lower(F.concat_ws(" ", words[0], words[1])).alias("name")).filter(F.length("name").between(4, 59)).distinct()
+    return audit.identifying(t("documents"), "text", "doc_id", user="Maria", names=names)
 
 
 @query
 def species_vocabulary(t):
-    return label_rows(t).select(F.explode(audit.vocabulary(F.col("prior_label"))).alias("name")).distinct()
+    return audit.vocabulary(label_rows(t))
 
 
 @query

@@ -68,19 +68,29 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id FROM x WHERE coalesce(coalesce(nullif(c, ''), n) = 'animal', false) OR coalesce(TRY_CAST(confidence AS DOUBLE), 1) < 0.3""",
     "parse_label_strings": f"""WITH {PARTS}, x AS (SELECT *, p_partkey % 13 > 1 AS ok FROM p)
       SELECT p_partkey, CASE WHEN ok THEN replace(p_brand, '#', '') END AS initials, CASE WHEN ok THEN p_type END AS native, CASE WHEN ok THEN lower(p_name) END AS english, CASE WHEN ok THEN p_size / 100 END AS confidence FROM x""",
-    "split_keywords": rf"""WITH {PARTS}, w AS (SELECT p_partkey, p_name, p_type, text, CASE WHEN p_partkey % 2 = 0 THEN 'bird' ELSE 'my birds' END AS c, p_partkey % 2 = 0 OR p_partkey % 13 = 1 AS has, [CASE WHEN p_partkey % 2 = 0 THEN 'bird' ELSE 'my birds' END, text, p_name, 'Family trip', '_nb', p_type] AS ws FROM p),
-      m AS (SELECT *, list_filter(ws, lambda k: k IN ('bird', '_nb') OR regexp_matches(k, '^_?.+\([0-9]{{1,3}}%\)$') OR (has AND contains(k, ' ') AND NOT regexp_matches(k, '^[A-Z][a-z]+ [a-z]+$'))) AS ours FROM w),
+    "split_keywords": rf"""WITH {PARTS}, w AS (SELECT p_partkey, p_name, p_type, text, [CASE p_partkey % 3 WHEN 0 THEN 'bird' WHEN 1 THEN ' Unknown' ELSE 'my_birds' END, text, p_name, 'xs-小隼 ' || p_name, '_nb', p_type, CASE WHEN p_partkey % 5 = 0 THEN 'People' ELSE 'Family' END] AS ws FROM p),
+      h AS (SELECT *, p_partkey % 3 = 0 OR p_partkey % 5 = 0 OR p_partkey % 13 = 1 AS has FROM w),
+      m AS (SELECT *, list_filter(ws, lambda k: trim(k) IN ('bird', 'animal', 'people', 'scenery', 'People', 'Unknown', '_nb') OR regexp_matches(trim(k), '^_?.+\([0-9]{{1,3}}%\)$') OR (has AND contains(trim(k), ' ') AND NOT regexp_matches(trim(k), '^[A-Za-z]+-\s*[^-]*[\x{{4e00}}-\x{{9fff}}]'))) AS ours FROM h),
       n AS (SELECT *, list_filter(ws, lambda k: NOT list_contains(ours, k)) AS theirs FROM m),
       z AS (SELECT *, list_concat(CASE WHEN list_contains(ours, text) THEN [] ELSE ['animals|' || text] END, CASE WHEN list_contains(ours, p_type) THEN [] ELSE ['places|' || p_type] END) AS paths FROM n)
       SELECT p_partkey, array_to_string(ours, ';') AS ours, array_to_string(theirs, ';') AS theirs, array_to_string(list_concat(theirs, list_filter(['bird', p_type], lambda k: NOT list_contains(theirs, k))), ';') AS merged,
       array_to_string(list_concat(paths, list_filter(['birds|' || p_name], lambda k: NOT list_contains(paths, k))), ';') AS paths FROM z""",
+    "prior_labels": rf"""WITH {PARTS}, w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'bird' WHEN 1 THEN 'Unknown' END AS c, p_name, text FROM p)
+      SELECT p_partkey, coalesce(c, CASE WHEN text = 'bird' THEN 'bird' END, '') AS category, concat_ws(';', CASE WHEN c IS NOT NULL OR text = 'bird' THEN CASE WHEN contains(p_name, ' ') THEN p_name END END,
+        CASE WHEN text <> coalesce(c, CASE WHEN text = 'bird' THEN 'bird' END, '') AND (text IN ('bird') OR regexp_matches(text, '\([0-9]+%\)$') OR ((c IS NOT NULL OR text = 'bird') AND contains(text, ' '))) THEN text END, '_nb') AS label FROM w""",
+    "effective_keyword": f"""WITH {LABELS}, w AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 'xs-小隼-' ELSE '' END AS front, round_even((doc_id % 100) / 100 * 100, 0) AS pct FROM r)
+      SELECT doc_id, CASE WHEN applied = 'kept-existing' AND prior_category <> '' THEN CASE WHEN doc_id % 5 <> 0 THEN 'xx-yy-' || source || ' bird(' || (doc_id % 101) || '%)' END
+        WHEN label IS NULL OR confidence = 'n/a' THEN NULL ELSE front || lower(label) || '(' || CAST(pct AS INTEGER) || '%)' END AS keyword FROM w""",
     "format_label": """WITH x AS (SELECT *, floor((s_acctbal + 1000) / 30) / 400 AS c FROM supplier), y AS (SELECT *, '(' || CAST(round_even(c * 100, 0) AS INTEGER) || '%)' AS pct FROM x)
       SELECT s_suppkey, CASE WHEN c <= 0.2 THEN '_' ELSE '' END || CASE WHEN s_suppkey % 3 < 2 AND s_suppkey % 4 <> 0 THEN 'c-cn-' ELSE '' END || lower(s_name) || pct AS label,
       CASE WHEN s_nationkey = 0 THEN '-' ELSE printf('%.2f', s_suppkey * 100 / s_nationkey) || '%' END AS share, 'sp-' || substr(sha256(s_name), 1, 4) AS digest FROM y""",
-    "frame_identity": """WITH x AS (SELECT p_partkey, p_partkey AS k, lpad(CAST(p_partkey AS VARCHAR), 4, '0') AS num, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'D' || (p_partkey % 9) || 'S' END AS code FROM part),
-      y AS (SELECT *, CASE WHEN k % 3 = 0 THEN '2019-05-01-' ELSE '' END || CASE WHEN k % 4 = 0 THEN '_' ELSE '' END || code || num AS body, CASE k % 7 WHEN 0 THEN '-2' WHEN 1 THEN '-Enhanced-NR' WHEN 2 THEN '-Pano-3' ELSE '' END AS tail FROM x)
-      SELECT p_partkey, body || tail AS stem, CASE WHEN k % 7 IN (1, 2) THEN NULL ELSE code END AS code, CASE WHEN k % 7 IN (1, 2) THEN NULL ELSE num END AS num,
-      body || CASE WHEN k % 7 = 0 THEN tail ELSE '' END AS sidecar, k % 7 IN (0, 2) OR (k % 7 > 2 AND k % 3 = 0 AND k % 5 = 0 AND k % 4 <> 0) AS is_copy FROM y""",
+    "frame_identity": r"""WITH x AS (SELECT p_partkey, p_partkey AS k, lpad(CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 11 = 0 THEN 3 ELSE 5 END, '0') AS num, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'D' || (p_partkey % 9) || 'S' END AS code FROM part),
+      y AS (SELECT *, CASE WHEN k % 3 = 0 THEN '20190501-' ELSE '' END || CASE WHEN k % 4 = 0 THEN '_' ELSE '' END || code || num AS body, CASE k % 7 WHEN 0 THEN '-2' WHEN 1 THEN '-Enhanced-NR' WHEN 2 THEN '-Pano-3' WHEN 3 THEN '_host_1_Conflict' ELSE '' END AS tail FROM x),
+      z AS (SELECT *, regexp_matches(body || tail, '^([0-9]{8}-)?_?[A-Za-z0-9_]*[0-9]{4,}(-[0-9]+)?(_.*)?$') AS frame,
+        -- without four digits behind the code, the date is what is left: its digits count, the rest is a copy's number
+        len(num) < 4 AS short FROM y)
+      SELECT p_partkey, body || tail AS stem, CASE WHEN NOT frame THEN NULL WHEN short THEN '' ELSE code END AS code, CASE WHEN NOT frame THEN NULL WHEN short THEN '20190501' ELSE num END AS num,
+      body || CASE WHEN k % 7 IN (0, 3) THEN tail ELSE '' END AS sidecar, k % 7 IN (0, 2) OR (k % 7 > 3 AND k % 3 = 0 AND k % 5 = 0 AND k % 4 <> 0) AS is_copy FROM z""",
     "trip_dates": f"WITH {TRIPS} SELECT o_orderkey, trip, CAST(d AS VARCHAR) AS date, prec AS precision, days_off, strftime(captured, '%Y-%m-%d') || 'T10:11:12' AS taken FROM q",
     "misfiled": f"""WITH {TRIPS}, u AS (SELECT *, days_off > 2 AS off FROM q WHERE days_off IS NOT NULL), g AS (SELECT trip, count(*) AS n, count(*) FILTER (off) AS outliers, min(captured) AS first, max(captured) AS last FROM u GROUP BY trip)
       SELECT 'trip' AS kind, trip, NULL AS key, outliers, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last FROM g WHERE outliers * 2 > n UNION ALL SELECT 'stray', trip, o_orderkey, 1, CAST(captured AS VARCHAR), CAST(captured AS VARCHAR) FROM u JOIN g USING (trip) WHERE off AND outliers * 2 <= n""",
@@ -129,24 +139,31 @@ ORACLE_SQL: dict[str, str] = {
       SELECT position, p.key, p.cluster, round(sqrt(sum(power(list_inner_product(bv, v.v) - list_inner_product(av, v.v), 2))), 6) AS gap, boundary FROM p, v GROUP BY position, p.key, p.cluster, boundary""",
     "boundary_steps": f"""WITH {V}, {ORDERED}, x AS (SELECT *, lead(v) OVER w AS nv, lead(cluster) OVER w AS nc FROM o WINDOW w AS (ORDER BY position)), g AS (SELECT position, round(1 - list_inner_product(v, nv), 6) AS gap, CAST(cluster <> nc AS INTEGER) AS b FROM x WHERE nv IS NOT NULL),
       k AS (SELECT *, row_number() OVER (ORDER BY gap DESC, position) AS n FROM g) SELECT CAST(sum(b) AS BIGINT) AS boundaries, round(avg(gap) FILTER (b = 1), 6) AS at_boundaries, round(avg(gap) FILTER (b = 0), 6) AS elsewhere, CAST(sum(b) FILTER (n <= (SELECT sum(b) FROM g)) AS BIGINT) AS largest_that_are_boundaries FROM k""",
-    "rolling_median": "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS median FROM events",
+    "rolling_median": """WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) AS p, count(*) OVER () AS n FROM events), k AS (SELECT max(n) AS n, greatest(5, max(n) // 200) AS k FROM e),
+      s AS (SELECT e.event_id, unnest(range(p - k // 2, p + k - k // 2)) AS q FROM e, k WHERE k.n > 200), v AS (SELECT s.event_id, e.value FROM s, k, e WHERE e.p = least(greatest(q, 1), k.n))
+      SELECT e.event_id, round(m, 4) AS median FROM e LEFT JOIN (SELECT event_id, median(value) AS m FROM v GROUP BY event_id) USING (event_id)""",
     "timeline_rank": f"WITH {TRIPS}, d AS (SELECT DISTINCT trip AS name, d AS date FROM t) SELECT name, CAST(date AS VARCHAR) AS date, CASE WHEN date IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY date IS NULL ORDER BY date, name) - 1 END AS rank FROM d",
     "timeline_neighbours": f"""WITH {TRIPS}, d AS (SELECT *, row_number() OVER (ORDER BY date, name) AS rank FROM (SELECT DISTINCT trip AS name, d AS date FROM t) WHERE date IS NOT NULL)
       SELECT a.name, b.name AS later, b.rank - a.rank AS apart, date_diff('day', a.date, b.date) AS days FROM d a JOIN d b ON b.rank - a.rank BETWEEN 1 AND 2""",
     "frame_collisions": f'WITH {FRAMES}, x AS (SELECT *, lag(pos) OVER (PARTITION BY "group", key ORDER BY pos) AS before FROM (SELECT DISTINCT "group", key, pos FROM f)) SELECT "group", key, before, pos FROM x WHERE pos - before <= 3',
-    "trip_digest": f'WITH {FRAMES}, k AS (SELECT "group", trip, key, count(*) AS n FROM f GROUP BY ALL) SELECT "group", trip, CAST(sum(n) AS BIGINT) AS files, count(*) AS keys, count(*) FILTER (n > 1) AS repeated, (SELECT min(num) FROM f WHERE f."group" = k."group" AND f.trip = k.trip) AS first_num, (SELECT max(num) FROM f WHERE f."group" = k."group" AND f.trip = k.trip) AS last_num FROM k GROUP BY ALL',
+    "trip_digest": f"""WITH {FRAMES}, k AS (SELECT "group", trip, key, count(*) AS n FROM f GROUP BY ALL), r AS (SELECT "group", trip, code, code || ':' || min(num) || '-' || max(num) AS x FROM f GROUP BY "group", trip, code),
+      s AS (SELECT "group", trip, string_agg(x, ',' ORDER BY code) AS ranges FROM r GROUP BY "group", trip)
+      SELECT k."group", k.trip, CAST(sum(n) AS BIGINT) AS files, count(*) AS keys, count(*) FILTER (n > 1) AS repeated, any_value(ranges) AS ranges FROM k JOIN s ON k."group" = s."group" AND k.trip = s.trip GROUP BY k."group", k.trip""",
     "segments": f"WITH RECURSIVE {FRAMES}, {CONFLICTS}, {WALK} SELECT * FROM seg",
-    "segments_strict": f"""WITH RECURSIVE {FRAMES}, r AS (SELECT "group", pos, code, min(num) AS low, min(num) + 25 AS high FROM f GROUP BY ALL),
-      c AS (SELECT a."group", a.pos, max(b.pos) AS last FROM r a LEFT JOIN r b ON a."group" = b."group" AND a.code = b.code AND b.pos < a.pos AND b.low <= a.high AND a.low <= b.high GROUP BY ALL), {WALK} SELECT * FROM seg""",
+    # A trip meets the envelope of all trips from q on if q is no later than one that ends high enough and one that begins low enough.
+    "segments_strict": f"""WITH RECURSIVE {FRAMES}, r AS (SELECT "group", pos, code, min(num) AS low, max(num) AS high FROM f GROUP BY ALL),
+      e AS (SELECT a."group", a.pos, a.code, max(b.pos) FILTER (b.high >= a.low) AS over, max(b.pos) FILTER (b.low <= a.high) AS under FROM r a LEFT JOIN r b ON a."group" = b."group" AND a.code = b.code AND b.pos < a.pos GROUP BY ALL),
+      c AS (SELECT "group", pos, max(CASE WHEN over IS NOT NULL AND under IS NOT NULL THEN least(over, under) END) AS last FROM e GROUP BY ALL), {WALK} SELECT * FROM seg""",
     "segment_verify": f"""WITH RECURSIVE {FRAMES}, {CONFLICTS}, {WALK}, k AS (SELECT f."group", segment, key, count(*) AS n, count(DISTINCT f.pos) AS t, min(f.pos) AS a, max(f.pos) AS b FROM f JOIN seg ON f."group" = seg."group" AND f.pos = seg.pos GROUP BY ALL)
       SELECT "group", segment, min(a) AS first_pos, max(b) AS last_pos, CAST(sum(n) AS BIGINT) AS files, count(*) AS keys, count(*) FILTER (t > 1) AS crossing FROM k GROUP BY ALL""",
     "date_slots": f"WITH {USERS}, d AS (SELECT *, greatest(1, CAST(ceil(size / 24) AS BIGINT)) AS days FROM u) SELECT position, size, days, CAST(coalesce(sum(days) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_day FROM d",
-    "next_fit": f"""WITH RECURSIVE {USERS}, w AS (SELECT position, size, 1 AS bin, CAST(0 AS BIGINT) AS "offset" FROM u WHERE position = 1
-      UNION ALL SELECT u.position, u.size, CASE WHEN w."offset" + w.size + u.size <= 300 THEN w.bin ELSE w.bin + 1 END, CASE WHEN w."offset" + w.size + u.size <= 300 THEN w."offset" + w.size ELSE 0 END FROM w JOIN u ON u.position = w.position + 1) SELECT * FROM w""",
+    "next_fit": f"""WITH RECURSIVE {USERS}, w AS (SELECT position, size, CAST(1 AS BIGINT) AS bin, CAST(0 AS BIGINT) AS "offset", CAST(1 + size // 60 AS BIGINT) AS day, CAST(size % 60 AS BIGINT) AS used FROM u WHERE position = 1
+      UNION ALL SELECT position, size, d, o, d + (o + size) // 60, (o + size) % 60 FROM (SELECT u.position, u.size, w.day + CAST(w.used > 0 AND w.used + u.size > 60 AS BIGINT) AS d, CASE WHEN w.used + u.size > 60 THEN 0 ELSE w.used END AS o FROM w JOIN u ON u.position = w.position + 1))
+      SELECT position, size, bin, "offset", CASE WHEN position % 2 = 1 THEN 'Red' ELSE 'Blue' END AS colour FROM w""",
     "audit_rollup": "SELECT CASE WHEN grouping(y) = 1 THEN '(all)' ELSE y END AS year, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (starts_with(o_orderpriority, '1')) AS urgent, round(sum(o_totalprice), 2) AS total FROM (SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders) GROUP BY ROLLUP (y)",
     "species_tail": "SELECT count(*) AS names, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n >= 5) AS at_least_5, count(*) FILTER (n >= 20) AS at_least_20, count(*) FILTER (n >= 50) AS at_least_50, count(*) FILTER (n >= 100) AS at_least_100 FROM (SELECT count(*) AS n FROM part GROUP BY p_name)",
     "species_top": "SELECT p_name, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, p_name LIMIT 30",
-    "species_vocabulary": "SELECT DISTINCT lower(source) || ' bird' AS name FROM documents WHERE doc_id % 5 <> 0 UNION SELECT 'no label' FROM documents WHERE doc_id % 5 = 0",
+    "species_vocabulary": f"WITH {LABELS} SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN 'no label' ELSE lower(source) || ' bird' END AS name FROM r WHERE lower(trim(category)) = 'bird' OR prior_category = 'bird'",
     "anonymise_digest": "SELECT p_partkey, 'sp-' || substr(sha256(p_name), 1, 4) AS tag FROM part",
     "mark_state": "WITH x AS (SELECT n_nationkey, CAST(n_nationkey * 3 % 32 AS INTEGER) AS s FROM nation) SELECT n_nationkey, 'C_' || to_hex(s) AS mark, s AS state, s & 3 = 3 AS ready, 'C_' || to_hex(s | 4) AS next_mark, s & ~7 AS unknown FROM x",
     "report_parse": r"""WITH x AS (SELECT *, last_value(CASE WHEN role = 'user' THEN 'reason ' || (turn % 4) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS reason FROM conversations),
@@ -158,16 +175,19 @@ ORACLE_SQL: dict[str, str] = {
 }
 # Findings are the first match of each kind in each line.
 ORACLE_SQL["pii_scan"] = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)
-""" + " UNION ALL ".join(
-    rf"SELECT doc_id, CAST(line AS INTEGER) AS line, '{kind}' AS kind, regexp_extract(t, '({pattern})', 1) AS found FROM l WHERE regexp_matches(t, '{pattern}')"
+WITH d AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS a FROM documents),
+l AS (SELECT * FROM (SELECT doc_id, unnest(a) AS t, unnest(range(1, len(a) + 1)) AS line FROM d) WHERE NOT starts_with(t, 'Generated by ') AND NOT starts_with(t, 'No timestamp:')),
+n AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS name FROM benchmark)
+SELECT doc_id, CAST(line AS INTEGER) AS line, 'photographer''s name' AS kind, 'Maria' AS found FROM l WHERE contains(lower(t), 'maria')
+UNION ALL SELECT doc_id, CAST(line AS INTEGER), 'species name', min(name) FROM l JOIN n ON contains(lower(t), name) WHERE len(name) BETWEEN 4 AND 59 GROUP BY ALL
+UNION ALL """ + " UNION ALL ".join(
+    rf"SELECT doc_id, CAST(line AS INTEGER) AS line, '{kind}' AS kind, regexp_extract(t, '{pattern}', 0) AS found FROM l WHERE regexp_matches(t, '{pattern}')"
     for kind, pattern in {
-        "trip": r"\d{4}-\d{2}-\d{2}[-~_]\S+",
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-        "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-        "gps": r"-?\d{1,3}\.\d{4,}\s*,\s*-?\d{1,3}\.\d{4,}",
-        "home": r"/(?:home|Users)/[A-Za-z0-9_.-]+",
-        "serial": r"\b\d{15,16}\b",
-        "han": r"[\x{4e00}-\x{9fff}]+",
+        "trip folder name": r"\b(?:19|20)\d{2}-\d{2}-\d{2}(?:[~-]\d{2})?\s+[A-Z\x{4e00}-\x{9fff}]\S*",
+        "image key or path": r"(?i)\bPhotos-\d{2}\b|\b\w[\w-]*\.(?:jpg|jpeg|xmp|nef|arw|cr3|dng)\b",
+        "GPS": r"\b\d{1,3},\d{1,2}\.\d+[NSEW]\b|\bGPS(?:Latitude|Longitude)\b|\b-?\d{1,3}\.\d{4,}\s*,\s*-?\d{1,3}\.\d{4,}\b",
+        "camera serial": r"(?i)\b(?:BodySerialNumber|SerialNumber|serial)\b\W{0,3}([\w-]{4,})",
+        "home directory path": r"""/home/[^/\s`\"'']+|/Users/[^/\s`\"'']+""",
+        "CJK text": r"[\x{4e00}-\x{9fff}]+",
     }.items()
 )

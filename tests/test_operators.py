@@ -32,8 +32,9 @@ def test_percent_rounds_halves_to_even(spark):
 
 
 def test_frames_and_trips(spark):
-    got = column(spark, ["_D8S0025", "D8S0026-2", "2019-05-01-_D8S0027", "20181229", "holiday-snap", "IMG", "D8S0028 (1)"], N.frame_identity)
-    assert [(r.code, r.num) if r else None for r in got] == [("D8S", "0025"), ("D8S", "0026"), ("D8S", "0027"), ("", "20181229"), None, None, ("D8S", "0028")]
+    stems = ["_D8S7785", "_D8S7785-2", "20181229-_D8S7785", "20181229-_D8S7785-2", "20190113-_D8S0025_host_123_Conflict", "holiday-snap", "IMG", "_D8S025"]
+    got = column(spark, stems, N.frame_identity)
+    assert [(r.code, r.num) if r else None for r in got] == [("D8S", "7785")] * 4 + [("D8S", "0025"), None, None, None]
     assert list(map(str, column(spark, ["2019-05-01 lake", "2019-05", "2019-13", "0000-test", "湖 2019-05-01"], N.trip_date))) == ["2019-05-01", "2019-05-01", "None", "None", "None"]
     assert column(spark, ["a-Enhanced-NR", "a-Pano-2", "a-HDR", "a-2"], N.sidecar_stem) == ["a", "a", "a", "a-2"]
     assert column(spark, ["2019-05-01 10:11:12.50+08:00", " 2019-05-01T10:11:12Z", " x "], N.normalise_datetime) == ["2019-05-01T10:11:12"] * 2 + ["x"]
@@ -100,15 +101,15 @@ def test_segments_are_greedy(spark):
 
 def test_next_fit_packs_in_order(spark):
     r = random.Random(4)
-    sizes = [r.choice([1, 5, 30, 60, 99, 100, 130]) for _ in range(50)]
-    bins, room, n = [], 0, 0
-    for s in sizes:
-        if s > room:
-            n, room = n + 1, 100
-        room = room - s if s <= room else 0
-        bins.append(n)
+    sizes = [r.choice([1, 5, 30, 60, 99, 100, 130, 200, 250]) for _ in range(50)]
+    want, day, used = [], 0, 0
+    for i, size in enumerate(sizes):
+        if used and used + size > 100:
+            day, used = day + 1, 0
+        want.append((day + 1, used, "Red" if i % 2 == 0 else "Blue"))
+        day, used = day + (used + size) // 100, (used + size) % 100
     got = layout.next_fit(spark.createDataFrame(list(enumerate(sizes, 1)), "position long, size long"), 100)
-    assert [x.bin for x in got.orderBy("position").collect()] == bins
+    assert [(x.bin, x.offset, x.colour) for x in got.orderBy("position").collect()] == want
 
 
 def test_numbered_and_orbit(spark):
