@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspar.storage import shared_dir, stored
+from larkspar.storage import Scratch, settings, shared_dir, stored
 
-__all__ = ["shared_dir", "stored"]
+__all__ = ["Scratch", "settings", "shared_dir", "stored"]
 
 #: The words of a text are its runs of bytes that are not ASCII white space.
 SPACE_BYTES = np.zeros(256, dtype=bool)
@@ -29,7 +30,10 @@ TEXTS_PER_BATCH = 1_000
 
 
 def small_batches(docs: DataFrame) -> DataFrame:
-    """docs, with the session's Arrow batches kept small: texts are long, and executors' memory outside the heap is not."""
+    """docs, with Arrow batches kept small: texts are long, and executors' memory outside the heap is not.
+
+    A plan reads this setting when it runs, which is after the operator has returned it: the setting stays.
+    """
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
         conf.set(key, str(TEXTS_PER_BATCH))
@@ -41,16 +45,27 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def with_row_key(docs: DataFrame, key: str = "_row") -> DataFrame:
-    """A key for each row, so that null and repeated ids stay apart: file scans give a row the same key each time.
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until docs has no such column (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(docs: DataFrame, *made: str) -> list[T.StructField]:
+    """The fields of docs but its text and those that an operator makes itself: what it makes replaces them."""
+    gone = {"text", *(m.lower() for m in made)}
+    return [f for f in docs.schema.fields if f.name.lower() not in gone]
+
+
+def with_row_key(docs: DataFrame, key: str, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """docs with a key for each row, so that null and repeated ids stay apart.
 
-    Spark splits files by how many cores live at each scan; the session's first number is kept, so that the splits,
-    and with them the keys, stay as they are when executors are lost or join.
+    Keys differ from one evaluation to the next where an input is not a file, or is split anew; they are
+    therefore written once with the rows, and all that is later joined by them reads the same table.
     """
-    spark, cores = docs.sparkSession, "spark.sql.files.minPartitionNum"
-    if spark.conf.get(cores, None) is None:
-        spark.conf.set(cores, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
-    return docs.withColumn(key, F.monotonically_increasing_id())
+    return keep(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,17 +163,19 @@ def excerpts(text: Column, longest: int, parts: int = 4) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, longest: int) -> list[tuple[str, int]]:
-    """Texts and labels to fit a classifier on: at most ``per_class`` rows of each class, by hashed id.
+    """Texts and labels to fit a classifier on: at most ``per_class`` rows of each class (rounded up to 16), by hashed id.
 
     ``learn`` tells the rows of labels that may be learned from.  Of documents of over ``longest`` bytes
-    excerpts are learned from, which bounds what comes to the driver.
+    excerpts are learned from, which bounds what comes to the driver.  An id that stands in several rows of
+    either table is learned from once: with its smallest label and its smallest text.
     """
     # Ranked in 16 parts per class: no class meets in one task, and each task sends only its first rows.
     part = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(16))
     order = W.partitionBy("_label", "_part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"), part.alias("_part"))
+    usable = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    picked = usable.groupBy("doc_id").agg(F.min(label).alias("_label")).withColumn("_part", part)
     picked = picked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= -(-per_class // 16))
     picked = F.broadcast(picked.select("doc_id", "_label"))  # 2 * per_class rows, rounded up
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", excerpts(text, longest).alias("text"), "_label").collect()
-    return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    text = excerpts(F.coalesce("text", F.lit("")), longest)
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min(text).alias("text"), F.min("_label").alias("_label")).collect()
+    return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
