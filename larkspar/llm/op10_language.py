@@ -3,12 +3,14 @@
 For each language a suffix automaton of a bounded sample of its text is built; as a table of
 transitions it recognises every substring of the sample.  A text is parsed greedily into the longest
 phrases that occur in the sample; phrases times log2 of the sample's length, per symbol of the text, is
-the cross entropy, and the language with the lowest wins.  Texts are parsed whole, in stretches of a
-fixed number of symbols, many stretches and all languages in step.
+the cross entropy, and the language with the lowest wins.  Texts are parsed whole.  Stretches of a
+fixed number of symbols are parsed in step, in all languages; then each stretch is begun again with the phrase that
+the one before ended in, until both ways begin a phrase at one place, from where on they are the same.
 
 Symbols are the bytes of the lower-cased letters; whatever is no letter counts as one space.  A text
 that is null or has no letter is ``und`` with score 0; so is every text where nothing can be learned.
-Ties go to the language that sorts first.  Other columns are carried through.
+Ties go to the language that sorts first; repeated rows are texts of their own; an empty table has an empty
+result.  Other columns are carried through; columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from larkspar.llm.common import blocks, flat, held_out, ranges, small_batches, table
+from larkspar.llm.common import blocks, flat, fresh, held_out, ranges, small_batches, table
 
 #: What is learned from: documents per language at most, their bytes before excerpts are taken, and bytes per language.
 SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_BYTES = 100, 8_000, 24_000
@@ -136,11 +138,31 @@ class Languages:
             x = self.steps[state[:, :n] * self.width + symbols[begin[:n] + t][None, :]]
             phrases[:, :n] += x & 1
             state[:, :n] = x >> 1
+        place = np.empty(len(row), np.int64)
+        place[order] = np.arange(len(row))  # where each stretch, in order of the text, stands
+        first = np.cumsum(cuts) - cuts
+        for j in range(1, int(cuts.max(initial=1))):
+            self.go_on(place[first[cuts > j] + j], place[first[cuts > j] + j - 1], symbols, begin, length, state, phrases)
         total = np.stack([np.bincount(row, p, len(sizes)) for p in phrases], 1)
         with np.errstate(invalid="ignore", divide="ignore"):
             return total * self.bits[None, :] / sizes[:, None]
 
 
+    def go_on(self, own: np.ndarray, before: np.ndarray, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, phrases: np.ndarray) -> None:
+        """Corrects stretches ``own`` (phrases, last state) as those that follow on ``before``."""
+        carried, fresh = state[:, before], np.repeat(self.starts[:, None], len(own), 1)
+        for t in range(int(length[own].max())):
+            on = np.flatnonzero((carried != fresh).any(0) & (t < length[own]))
+            if not len(on):
+                break
+            x = symbols[begin[own[on]] + t][None, :]
+            a, b = self.steps[carried[:, on] * self.width + x], self.steps[fresh[:, on] * self.width + x]
+            phrases[:, own[on]] += (a & 1) - (b & 1)
+            carried[:, on], fresh[:, on] = a >> 1, b >> 1
+        apart = carried != fresh
+        state[:, own] = np.where(apart, carried, state[:, own])
+
+
 def excerpt(text: Column) -> Column:
     """The text, or of one over SAMPLE_LONGEST bytes evenly spread parts; ASCII other than letters is one space there."""
     part = SAMPLE_LONGEST // EXCERPTS // 4  # characters have 4 bytes at most
@@ -154,10 +176,12 @@ def sample(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     """A bounded sample of text per value of lang; of long texts excerpts."""
     fit = docs.filter(learn & F.col("lang").isNotNull() & has_letter(F.col("text")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fit.select("doc_id", "lang", F.row_number().over(order).alias("n")).filter(F.col("n") <= SAMPLE_DOCS)
-    rows = fit.join(ids.select("doc_id", "lang"), ["doc_id", "lang"]).select("doc_id", "lang", F.lower(excerpt(F.col("text"))).alias("text")).collect()
+    ids = fit.select("doc_id", "lang").distinct().select("doc_id", "lang", F.row_number().over(order).alias("n")).filter(F.col("n") <= SAMPLE_DOCS)
+    picked = F.broadcast(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")))  # SAMPLE_DOCS for each language
+    # An id that stands in several rows is learned from once, with its smallest text.
+    rows = fit.join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l"))).groupBy("doc_id", "lang").agg(F.min(F.lower(excerpt(F.col("text")))).alias("text")).collect()
     out: dict[str, bytes] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], hash_order(r["doc_id"]), r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], hash_order(r["doc_id"] or 0), r["text"])):
         if len(out.get(r["lang"], b"")) < SAMPLE_BYTES:
             text, _ = letters(*flat(pa.array([r["text"]])))
             out[r["lang"]] = (out.get(r["lang"], b"") + b" " + text.tobytes())[: SAMPLE_BYTES + SAMPLE_LONGEST]
@@ -180,14 +204,14 @@ def identify(docs: DataFrame, languages: Languages, carry_text: bool = True) ->
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(languages)  # bounded by SAMPLE_BYTES and the number of languages
-    schema = T.StructType([*(f for f in docs.schema.fields if carry_text or f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    lower, letter = fresh(docs, "_lower"), fresh(docs, "_letter")
+    rest = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score") and (carry_text or f.name != "text")]
+    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Languages = shared.value
-        for batch, raw, _ in blocks(batches, BLOCK_BYTES, "_lower"):
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("_lower", "_letter")]
-            _, at = flat(batch.column("_lower"))
-            is_text = np.array(batch.column("_letter").to_pylist(), bool)
+        for batch, raw, at in blocks(batches, BLOCK_BYTES, lower):
+            is_text = np.array(batch.column(letter).to_pylist(), bool)
             pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             if model.names:
                 e = model.entropies(raw, at)
@@ -201,11 +225,11 @@ def identify(docs: DataFrame, languages: Languages, carry_text: bool = True) ->
                     margin = np.where(np.isinf(second), 1.0, second / (low + second))
                 known = is_text & np.isfinite(low)
                 pred[known], score[known] = np.array(model.names, object)[first[known]], margin[known]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c not in ("_lower", "_letter")), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in rest), "lang_pred", "score"])
 
     text = F.coalesce("text", F.lit(""))
-    made = small_batches(docs).withColumns({"_lower": F.lower(text), "_letter": has_letter(text)})
-    return (made if carry_text else made.drop("text")).mapInArrow(run, schema)
+    made = small_batches(docs).withColumns({lower: F.lower(text), letter: has_letter(text)})
+    return made.select(*[F.col(f"`{f.name}`") for f in rest], lower, letter).mapInArrow(run, schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
