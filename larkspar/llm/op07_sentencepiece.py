@@ -6,13 +6,15 @@ are not yet known are laid out in flat arrays of symbols; each round finds, per
 of a neighbouring pair and merges its leftmost occurrences at once, then compacts the arrays, until no
 pair is left.  Words met before come from a bounded table of each Python worker.
 
-Null and empty texts have no tokens and decode to the empty text.
+Null and empty texts have no tokens and decode to the empty text.  Words of any length go through the same
+rounds: of a word of many thousand symbols each round takes all places of one pair.  Equal texts have equal ids; repeated rows
+are encoded each; an empty table has an empty result.  Other columns are carried through; those that are named as a
+result's are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspar.llm.common import blocks, small_batches, table
+from larkspar.llm.common import blocks, others, small_batches, table
 
 SPACE = "▁"
-#: A word of more symbols is merged with a heap: rounds would take time by the square of its length.
-LONG_WORD = 400
 #: Words that a worker keeps at most; beyond that it starts anew.
 KEPT_WORDS = 250_000
 BLOCK_BYTES = 4_000_000
@@ -133,25 +135,6 @@ class Merger:
         order = np.argsort(np.concatenate(done_words), kind="stable")
         return np.concatenate(done_symbols)[order], np.concatenate(done_words)[order]
 
-    def long_word(self, symbols: list[int]) -> list[int]:
-        """The same merges for one very long word, with a heap of its pairs."""
-        n = len(symbols)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(self.rank[made], i, symbols[i], symbols[i + 1], made) for i in range(n - 1) if (made := self.pairs.get(symbols[i] * self.width + symbols[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = right[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j], right[i] = made, -1, right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (more := self.pairs.get(symbols[x] * self.width + symbols[y])) is not None:
-                    heapq.heappush(heap, (self.rank[more], x, symbols[x], symbols[y], more))
-        return [s for s in symbols if s >= 0]
-
     def spelled(self, word: str, symbols: list[int]) -> tuple[str, str]:
         """Ids of a word's symbols joined by commas, and what they decode to."""
         if len(word) == 1 and word not in self.symbols:
@@ -175,8 +158,6 @@ class Merger:
         for w in words:
             if len(w) == 1:
                 self.cache[w] = self.spelled(w, [code.get(w, -1)])
-            elif len(w) > LONG_WORD:
-                self.cache[w] = self.spelled(w, self.long_word([code[c] for c in w]))
             else:
                 short.append(w)
         if not short:
@@ -223,8 +204,8 @@ def encode(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
     ``model`` is the path of a SentencePiece BPE model, which each executor has.
     """
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), fields])
+    rest = others(docs, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids)
+    schema = T.StructType([*rest, *T.StructType.fromDDL(fields).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
@@ -241,7 +222,7 @@ def encode(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
         m.forget()  # an idle worker should not hold memory that the next stage needs
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).select("text", *[F.col(f"`{f.name}`") for f in rest]).mapInArrow(run, schema)
 
 
 def public_model() -> str:

@@ -1,7 +1,6 @@
 import hashlib
 import random
 
-import pytest
 import sentencepiece
 
 from larkspar.llm import op07_sentencepiece as op
@@ -27,12 +26,17 @@ def test_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("limit", [3, 10_000])
-def test_rounds_and_heap_agree(monkeypatch, limit):
-    monkeypatch.setattr(op, "LONG_WORD", limit)
+def test_long_words_go_through_the_rounds():
+    r = random.Random(3)
+    long = ["a" * 30_001, "".join(r.choice("etaoinshr") for _ in range(4_000)), "".join(r.choice(["the", "ing", "straw", "0"]) for _ in range(2_500)), "é😀" * 500]
     m = op.Merger(op.public_model())
-    some = [t for t in texts() if t][:400]
-    assert [a for a, _ in m.encode(some)] == [",".join(map(str, sp.encode(t))) for t in some]
+    assert [a for a, _ in m.encode(long)] == [",".join(map(str, sp.encode(t))) for t in long]
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([("the cat", 5, 7, "x")], "text string, n_tokens long, IDS long, row string")
+    got = op.encode(docs, op.public_model(), ids=True)
+    assert got.columns == ["row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and got.first().ids == sp.encode("the cat")
 
 
 def test_empty_table(spark):
