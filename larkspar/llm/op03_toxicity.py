@@ -7,7 +7,9 @@ How much shorter the second is, is the window's gain: without toxic passages the
 largest gain, the sum of gains over a calibrated threshold and their number make the score, by a
 logistic unit fitted on labelled documents that the dictionaries have not seen.
 
-The whole text is scored.  Null counts as empty; a text without words has no gain.
+The whole text is scored.  Null counts as empty; a text without words has no gain.  Equal texts have equal scores;
+repeated rows are scored each.  Without labels to learn from, or with one label only, all scores are the same; an empty table
+has an empty result.  Other columns are carried through; one named score is replaced.
 """
 
 from __future__ import annotations

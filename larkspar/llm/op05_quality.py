@@ -5,7 +5,9 @@ bytes run along each chunk; each filter's responses are max-pooled within the ch
 combined by their maximum and their mean, and a logistic unit makes one probability of them.  The
 filters are kept as one table per byte position, so that a convolution is a sum of table rows.
 
-Null counts as empty; an empty text is scored as one chunk of padding.
+Null counts as empty; an empty text is scored as one chunk of padding.  A text of any length is scored whole, in strips of
+chunks.  Equal texts have equal scores; repeated rows are scored each.  Without labels to learn from, or with one label only,
+all scores are the same; an empty table has an empty result.  Other columns are carried through; one named score is replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspar.llm.common import blocks, held_out, labelled_sample, ranges, small_batches, table
+from larkspar.llm.common import blocks, held_out, labelled_sample, others, ranges, small_batches, table
 
 WIDTH, STRIDE, FILTERS = 8, 4, 16
 #: Chunks start every CHUNK - OVERLAP bytes; both are multiples of STRIDE.
 CHUNK, OVERLAP = 512, 64
+#: Bytes of a long text that are taken at once: whole chunks.
+STRIP = 2_000 * (CHUNK - OVERLAP) + OVERLAP
 #: Documents per class that are learned from at most, and their bytes at most.
 SAMPLE_DOCS, SAMPLE_LONGEST = 1_200, 16_000
 EPOCHS, BATCH, RATE = 6, 24, 0.02
@@ -72,12 +76,22 @@ class Network:
         return row, place, end, heads, places, padded, response
 
     def features(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        row, _, _, heads, _, _, response = self.pooled(raw, at)
-        top = np.maximum(np.maximum.reduceat(response, heads, axis=0), 0)
+        """Of each row the largest and the mean of its chunks' maxima; texts beyond a strip are taken strip by strip."""
+        if len(at) == 2 and at[1] - at[0] > STRIP:
+            step = STRIP - OVERLAP
+            cuts = [raw[at[0] + i : min(at[1], at[0] + i + STRIP)] for i in range(0, int(at[1] - at[0] - OVERLAP), step)]
+            tops = [self.chunk_tops(cut, np.array([0, len(cut)]))[1] for cut in cuts]
+            top, row = np.concatenate(tops), np.zeros(sum(map(len, tops)), np.int64)
+        else:
+            row, top = self.chunk_tops(raw, at)
         first = np.searchsorted(row, np.arange(len(at) - 1))
         chunks = np.diff(np.r_[first, len(row)])[:, None]
         return np.concatenate([np.maximum.reduceat(top, first, axis=0), np.add.reduceat(top, first, axis=0) / chunks], 1)
 
+    def chunk_tops(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, _, _, heads, _, _, response = self.pooled(raw, at)
+        return row, np.maximum(np.maximum.reduceat(response, heads, axis=0), 0)
+
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         if len(at) < 2:
             return np.zeros(0)
@@ -146,13 +160,13 @@ class Network:
 def scored(docs: DataFrame, score, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without text, with score: ``score(raw, at)`` of a block of texts, shipped to the executors once."""
     shared = docs.sparkSession.sparkContext.broadcast(score)  # a fitted model: its size does not depend on the data
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    rest = others(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, at in blocks(batches, block_bytes):
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(shared.value(raw, at), pa.float64())], [*(f.name for f in rest), "score"])
 
-    return small_batches(docs).mapInArrow(run, T.StructType([*rest, T.StructField("score", T.DoubleType())]))
+    return small_batches(docs).select("text", *[F.col(f"`{f.name}`") for f in rest]).mapInArrow(run, T.StructType([*rest, T.StructField("score", T.DoubleType())]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
