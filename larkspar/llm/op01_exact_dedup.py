@@ -3,24 +3,29 @@
 A stream of (digest, stable id, content locator) keeps one state row per digest in RocksDB, on the
 executors' disks and in the checkpoint, without expiry: the id and locator of the row that stays and
 the size of the group.  Partial aggregation before the shuffle makes one row of a hot text per task.
-Every hit (a digest seen more than once) is then compared by its full bytes; digests whose texts
-differ, should there be any, are told apart by the texts themselves.
+On a hit (a digest that more than one row has) the content that the state's locator names is fetched, and
+its full bytes are compared with each different text of the hits; digests whose texts differ, should there be
+any, are told apart by the texts themselves.
+
+With a state folder of the caller's, contents, log and checkpoint stay there: a later call goes on where the
+last one stopped, and its rows meet those of all calls before.
 
 Null texts count as empty, and equal each other.  Of equal texts the row with the largest doc_id
 stays; a null doc_id is smaller than any other, and of repeated rows one stays.  An empty table has an
-empty result.  Other columns are carried through by ``kept_rows``.
+empty result.  Other columns, whatever their names, are ignored by ``deduplicate`` and carried through by ``kept_rows``.
+A text of any length is one row, compared whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspar.llm.common import shared_dir, stored, table, with_row_key
+from larkspar.llm.common import fresh, settings, shared_dir, stored, table
+from larkspar.storage import exists
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,21 +41,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def keep_in_state(arrivals: DataFrame, folder: str) -> DataFrame:
     """Runs the stream ``arrivals`` (digest, id, locator) until its present input is used up.
 
@@ -72,38 +62,52 @@ def keep_in_state(arrivals: DataFrame, folder: str) -> DataFrame:
     return rows.groupBy("digest").agg(newest).select("digest", "newest.keep", "newest.group_size")
 
 
-def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 10_000) -> DataFrame:
-    """One row per row of docs: _row (its locator), doc_id, keep_id, keep_row, group_size, kept."""
+def grouped(docs: DataFrame, digest: Callable[[Column], Column], files_per_batch: int, folder: str | None) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as they are kept, with their number ``key``, and of each: key, id, digest, keep, group_size."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/dedup"
-    text = F.coalesce("text", F.lit("")).alias("text")
-    rows = with_row_key(docs.select("doc_id", text)).withColumn("digest", digest(F.col("text")))
-    log = rows.select("digest", F.col("doc_id").alias("id"), F.col("_row").alias("locator"))
-    log.write.parquet(f"{folder}/log")
+    folder = folder or f"{shared_dir(spark)}/dedup"
+    key, call, mark = (fresh(docs, name) for name in ("_row", "_call", "_digest"))
+    text = F.coalesce("text", F.lit(""))
+    number = spark.read.parquet(f"{folder}/content").agg(F.max(call)).first()[0] + 1 if exists(spark, f"{folder}/content") else 0
+    made = docs.withColumn(key, F.monotonically_increasing_id()).withColumn(mark, digest(text))
+    made.write.option("compression", "zstd").parquet(f"{folder}/content/{call}={number}")
+    content = spark.read.schema(T.StructType([*made.schema.fields, T.StructField(call, T.IntegerType())])).parquet(f"{folder}/content")
+    plain = content.select(F.col(mark).alias("digest"), F.col("doc_id").alias("id"), F.struct(F.col(call).alias("call"), F.col(key).alias("row")).alias("locator"), text.alias("text"))
+    own = plain.filter(F.col("locator.call") == number)
+    log = own.select("digest", "id", "locator")
+    log.write.mode("append").parquet(f"{folder}/log")
     arrivals = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/log")
     state = stored(keep_in_state(arrivals, folder), "state")
 
-    hits = rows.join(state.filter("group_size > 1").select("digest"), "digest")
-    texts = hits.groupBy("digest", "text").agg(F.count("*").alias("n"))
-    clashing = stored(texts.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "clashing")
-    log = spark.read.schema(log.schema).parquet(f"{folder}/log")
+    # Each different text of the hits of this call against the content that the state's locator names.
+    hits = own.join(state.filter("group_size > 1"), "digest").groupBy("digest", "text").agg(F.count("*").alias("n"))
+    named = state.filter("group_size > 1").select("keep.locator", "digest")
+    fetched = plain.select("locator", F.col("text").alias("kept_text")).join(named, "locator").select("digest", "kept_text")
+    clashing = stored(hits.join(fetched, "digest").filter(F.col("text") != F.col("kept_text")).select("digest").distinct(), "clashing")
     if clashing.isEmpty():
         found = log.join(state, "digest")
     else:
-        groups = rows.join(clashing, "digest").groupBy("digest", "text").agg(F.max(F.struct(F.col("doc_id").alias("id"), F.col("_row").alias("locator"))).alias("keep"), F.count("*").alias("group_size"))
-        apart = rows.join(clashing, "digest").join(groups, ["digest", "text"]).select("digest", F.col("doc_id").alias("id"), F.col("_row").alias("locator"), "keep", "group_size")
+        told = plain.join(clashing, "digest").groupBy("digest", "text").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count("*").alias("group_size"))
+        apart = own.join(clashing, "digest").join(told, ["digest", "text"]).select("digest", "id", "locator", "keep", "group_size")
         found = log.join(state, "digest").join(clashing, "digest", "left_anti").unionByName(apart)
-    return found.select(
-        F.col("locator").alias("_row"), F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("keep.locator").alias("keep_row"),
-        "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"), "digest",
-    )
+    return content.filter(F.col(call) == number), found.withColumn("key", F.col("locator.row"))
+
+
+def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 10_000, folder: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
+
+    ``folder``, in storage that all executors share, holds the state between calls; docs are the rows that
+    are new, and what they are compared with are all rows of that folder so far.
+    """
+    _, found = grouped(docs.select("doc_id", "text"), digest, files_per_batch, folder)
+    return found.select(F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"), "digest")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = deduplicate(docs).filter("kept").select(F.col("_row").alias("_stays"))
-    keyed = with_row_key(docs, "_stays_row")
-    return keyed.join(stay, keyed["_stays_row"] == stay["_stays"], "left_semi").select(*[keyed[f"`{c}`"] for c in docs.columns])
+    key = fresh(docs, "_row")
+    rows, found = grouped(docs, sha256, 10_000, None)
+    return rows.join(found.filter(F.col("locator") == F.col("keep.locator")).select(F.col("key").alias(key)), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
