@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     languages = op10_language.Languages.learn(op10_language.sample(docs, F.lit(True)))
     if not languages.names:  # no text has a known language
         return docs.filter(op10_language.has_letter(F.col("text")))
-    found = op10_language.identify(docs, languages)
-    return found.filter(F.col("lang_pred") != op10_language.UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = op10_language.identify(whole, languages, carry_text=False).filter(F.col("lang_pred") != op10_language.UNKNOWN)
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
