@@ -79,3 +79,11 @@ def identifying(rows: DataFrame, text: str, *keys: str, user: str | None = None,
     if per_key is None:
         return found
     return found.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "kind").orderBy("line"))).filter(F.col("_n") <= per_key).drop("_n")
+
+
+def movers(deltas: DataFrame, k: int) -> DataFrame:
+    """deltas (label, delta): the k labels that gained most and the k that lost most, with their rank; no change is neither."""
+    side = lambda kind, found, *order: found.orderBy(*order).limit(k).withColumn("kind", F.lit(kind))
+    both = side("improved", deltas.filter("delta > 0"), F.desc("delta"), "label").unionByName(side("degraded", deltas.filter("delta < 0"), "delta", "label"))
+    line = W.partitionBy("kind").orderBy(F.abs("delta").desc(), "label")  # k rows of each kind
+    return both.withColumn("rank", F.row_number().over(line))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,19 @@ def first_of_capture(rows: DataFrame, capture: str, key: str) -> DataFrame:
     return keyed.join(least, same, "left_semi").drop("_capture")
 
 
+def capture_key(original_id: Column, captured: Column, frame: Column, raw_name: Column) -> Column:
+    """What tells a capture: the original document's id, else its time and frame, else its time and the raw's name; null without time.
+
+    The id outlives new names and times; an empty text counts as absent.
+    """
+    known = lambda c: F.nullif(c, F.lit(""))
+    named = F.coalesce(raw_name, F.lit(""))
+    by_frame = F.concat_ws("|", F.lit("time+frame"), captured, frame["code"], frame["num"])
+    by_name = F.concat_ws("|", F.lit("time+name"), captured, named)
+    dated = known(captured).isNotNull()
+    return F.when(known(original_id).isNotNull(), F.concat(F.lit("odid|"), original_id)).when(dated & frame.isNotNull(), by_frame).when(dated, by_name)
+
+
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """rows (capture, trip, is_copy, key, days_off) of captures found more than once, with kind, role and rank.
 

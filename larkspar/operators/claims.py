@@ -64,3 +64,33 @@ def tree_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     keys = ["folder", "stem"]
     only = lambda a, b, side: a.join(b, keys, "left_anti").select(*keys, F.lit(side).alias("side")).distinct()
     return only(left, right, "left").unionByName(only(right, left, "right"))
+
+
+def folder_differences(images: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Folders that one tree alone has: orphan ones of images, unexported ones of sidecars."""
+    a, b = images.select("folder").distinct(), sidecars.select("folder").distinct()
+    only = lambda x, y, kind: x.join(y, "folder", "left_anti").select("folder", F.lit(kind).alias("kind"))
+    return only(a, b, "orphan").unionByName(only(b, a, "unexported"))
+
+
+# Fixed value: the reason of a sidecar that no report speaks of.
+UNREPORTED = "(not mentioned by the exporter)"
+
+
+def missing(images: DataFrame, sidecars: DataFrame, entries: DataFrame) -> DataFrame:
+    """Sidecars without an image, with the reason and the raw's name of the first entry (folder, stem, pos, reason, name) of a report.
+
+    Those that no report speaks of come first, then by folder and stem.
+    """
+    first = entries.groupBy("folder", "stem").agg(F.min(F.struct("pos", "reason", "name")).alias("x"))
+    rows = resolve(images, sidecars).filter(F.col("verdict").isin("no_jpg", "no_folder")).join(first, ["folder", "stem"], "left")
+    found = rows.select(F.coalesce("x.reason", F.lit(UNREPORTED)).alias("reason"), "verdict", "folder", "stem", F.coalesce("x.name", F.lit("")).alias("raw_name"))
+    return found.orderBy(F.col("reason") != UNREPORTED, "folder", "stem")
+
+
+def existing(named: DataFrame, tree: DataFrame, *key: str) -> DataFrame:
+    """named rows whose key the tree has, and - as the column missing of each - how many of all it has not."""
+    there = tree.select(*key).distinct().withColumn("_there", F.lit(1))
+    rows = named.join(there, list(key), "left")
+    lost = rows.agg(F.count_if(F.col("_there").isNull()).alias("missing"))
+    return rows.filter("_there = 1").drop("_there").join(F.broadcast(lost))  # one row

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import lgamma
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspar.functions.vectors import distance, dot, norm
+from larkspar.operators.order import numbered
 
 #: Vectors of one block; two blocks meet in one task.
 BLOCK = 2_048
@@ -120,3 +124,55 @@ def frequent_only(rows: DataFrame, label: str, least: int) -> DataFrame:
 def within(rows: DataFrame, cluster: str, *order: Column | str) -> DataFrame:
     """rows with their rank in their cluster."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(cluster).orderBy(*order)))
+
+
+def density_peaks(rows: DataFrame) -> DataFrame:
+    """rows (cluster, key, position, probability): of each cluster the member with the highest probability, the first of equal ones."""
+    peak = F.max_by("key", F.struct("probability", -F.col("position")))
+    return rows.groupBy("cluster").agg(peak.alias("density_peak"), F.round(F.avg("probability"), 6).alias("mean_probability"))
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """rows (position from 1, without gaps; cluster): runs of one cluster along the positions: begin, end (past the last), cluster."""
+    before = rows.select((F.col("position") + 1).alias("position"), F.col("cluster").alias("_before"), F.lit(True).alias("_there"))
+    heads = rows.join(before, "position", "left").filter(F.col("_there").isNull() | ~F.col("cluster").eqNullSafe(F.col("_before"))).select("position", "cluster")
+    heads = numbered(heads, "_n", "position")
+    n = rows.agg(F.max("position").alias("_last"))
+    after = heads.select((F.col("_n") - 1).alias("_n"), F.col("position").alias("_next"))
+    return heads.join(after, "_n", "left").join(F.broadcast(n)).select(F.col("position").alias("begin"), F.coalesce("_next", F.col("_last") + 1).alias("end"), "cluster")
+
+
+def adjusted_mutual_information(rows: DataFrame, cluster: str, label: str) -> DataFrame:
+    """How much clusters and labels agree beyond chance (AMI, with the mean of both entropies), and their mutual information.
+
+    The chance term is a sum over pairs of sizes; clusters and labels of one size are taken together, so there are no more sizes
+    than twice the root of the number of rows.
+    """
+    table = rows.filter(F.col(cluster).isNotNull() & F.col(label).isNotNull()).groupBy(cluster, label).agg(F.count("*").alias("n"))
+    total = table.agg(F.sum("n").alias("t"))
+    a, b = (table.groupBy(c).agg(F.sum("n").alias(s)) for c, s in ((cluster, "a"), (label, "b")))
+    both = table.join(a, cluster).join(b, label).join(F.broadcast(total))  # one row
+    mutual = both.agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"))
+    entropy = lambda sizes, c: sizes.join(F.broadcast(total)).agg((-F.sum(F.col(c) / F.col("t") * F.log(F.col(c) / F.col("t")))).alias(f"h{c}"))
+    sizes = lambda counts, c: counts.groupBy(c).agg(F.count("*").alias(f"m{c}"))
+
+    def by_chance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x, mx, y, my, t in batch[["a", "ma", "b", "mb", "t"]].itertuples(index=False):
+                low, high = max(1, x + y - t), min(x, y)
+                n = np.arange(low, high + 1)
+                # Terms of the hypergeometric distribution, each from the one before.
+                fixed = lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1)
+                first = fixed - lgamma(low + 1) - lgamma(x - low + 1) - lgamma(y - low + 1) - lgamma(t - x - y + low + 1)
+                step = np.log((x - n[:-1]) * (y - n[:-1])) - np.log(n[1:] * (t - x - y + n[1:]))
+                p = np.exp(first + np.r_[0.0, np.cumsum(step)])
+                out.append(mx * my * float((n / t * np.log(n * (t / (x * y))) * p).sum()))
+            yield pd.DataFrame({"part": out})
+
+    pairs = sizes(a, "a").join(sizes(b, "b")).join(F.broadcast(total)).select("a", "ma", "b", "mb", "t")
+    chance = pairs.mapInPandas(by_chance, "part double").agg(F.sum("part").alias("e"))
+    x = mutual.join(chance).join(entropy(a, "a")).join(entropy(b, "b"))
+    span = (F.col("ha") + F.col("hb")) / 2 - F.col("e")
+    ami = F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).otherwise((F.col("mi") - F.col("e")) / F.when(F.abs(span) < 1e-12, 1e-12).otherwise(span))
+    return x.select(F.round(ami, 6).alias("ami"), F.round("mi", 6).alias("mutual_information"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,29 @@ def tile_matrix(vectors: DataFrame, tiles: int) -> DataFrame:
     return a.join(b, F.col("tile_a") <= F.col("tile_b")).select("tile_a", "tile_b", F.round(dot(F.col("a"), F.col("b")), 6).alias("mean_similarity"))  # tiles x tiles rows
 
 
+def tile_starts(spark: SparkSession, n: int, tiles: int, warp: float = 1.0) -> DataFrame:
+    """The first position (from 0) of each tile of n rows: all alike, or with a warp below 1 finer towards the end.
+
+    Tiles that would begin at one position are one tile.
+    """
+    if warp >= 1:
+        return spark.range(0, n, max(1, -(-n // tiles))).select(F.col("id").alias("start"))
+    at = F.bround(F.lit(float(n)) * F.pow(F.col("id") / tiles, F.lit(warp)), 0).cast("long")
+    return spark.range(0, tiles + 1).select(F.least(at, F.lit(n)).alias("start")).filter(F.col("start") < n).distinct()
+
+
+def cluster_tile_starts(spans: DataFrame, tiles: int, warp: float) -> DataFrame:
+    """spans (begin, end) of clusters: tile starts, each cluster's number of tiles in proportion to its size to the power of warp.
+
+    A cluster has one tile at least and no more than it has rows; no tile holds rows of two clusters.
+    """
+    size = F.col("end") - F.col("begin")
+    total = spans.agg(F.sum(F.pow(size, F.lit(warp))).alias("total"))
+    per = F.greatest(F.lit(1), F.least(F.bround(F.pow(size, F.lit(warp)) / F.col("total") * tiles, 0).cast("long"), size))
+    parts = spans.join(F.broadcast(total)).select("begin", size.alias("size"), per.alias("per"))  # one row
+    return parts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("per") - 1))).select((F.col("begin") + F.floor(F.col("i") * F.col("size") / F.col("per"))).alias("start"))
+
+
 def radii(vectors: DataFrame) -> DataFrame:
     """vectors (cluster, key, v) with radius (distance to the centroid), rank in the cluster and share of it within."""
     r = vectors.join(centroids(vectors), "cluster").select("cluster", "key", F.round(distance(F.col("v"), F.col("centroid")), 9).alias("radius"))

@@ -36,9 +36,14 @@ def stale_buckets(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     A: another row of the stem (the one with the smallest key) has the kept label; B: the run's own
     label is in the vocabulary (column ``label``); C: neither.
     """
-    lower = rows.select("key", "stem", F.lower("label").alias("l"))
-    twins = rows.filter("kept IS NOT NULL").alias("r").join(lower.alias("t"), (F.col("r.stem") == F.col("t.stem")) & (F.lower("r.kept") == F.col("t.l")) & (F.col("r.key") != F.col("t.key")))
-    twin = twins.groupBy(F.col("r.key").alias("key")).agg(F.min("t.key").alias("twin"))
+    # The two smallest keys of each label of a stem: one of them is another row's.
+    lower = rows.select("key", F.col("stem").alias("_stem"), F.lower("label").alias("_l"))
+    smallest = lower.groupBy("_stem", "_l").agg(F.min("key").alias("one"))
+    second = lower.join(smallest, ["_stem", "_l"]).filter("key <> one").groupBy("_stem", "_l").agg(F.min("key").alias("two"))
+    smallest = smallest.join(second, ["_stem", "_l"], "left")
+    kept = rows.filter("kept IS NOT NULL").select("key", "stem", "kept")
+    twins = kept.join(smallest, (F.col("stem") == F.col("_stem")) & (F.lower("kept") == F.col("_l")))
+    twin = twins.select("key", F.when(F.col("one") != F.col("key"), F.col("one")).otherwise(F.col("two")).alias("twin")).filter("twin IS NOT NULL")
     known = vocabulary.select(F.col("label").alias("_known")).distinct()
     marked = rows.filter("kept IS NOT NULL").join(twin, "key", "left").join(known, F.col("label") == F.col("_known"), "left")
     bucket = F.when(F.col("twin").isNotNull(), "A").when(F.col("_known").isNotNull(), "B").otherwise("C")
@@ -62,3 +67,9 @@ def compare_trees(left: DataFrame, right: DataFrame, keywords: Column) -> DataFr
     b = right.select("path", F.md5("content").alias("r_digest"), keywords.alias("r_kept"), F.lit(True).alias("there"))
     status = F.when(F.col("there").isNull(), "not-in-reference").when(F.col("digest").eqNullSafe(F.col("r_digest")), "identical").when(F.col("kept").eqNullSafe(F.col("r_kept")), "keywords-intact-other-differs").otherwise("keywords-differ")
     return a.join(b, "path", "left").select("path", status.alias("status"))
+
+
+def apply_decisions(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """rows (key, applied) with applied = written where decided (key, decision) says take; other rows stay as they are."""
+    take = decided.filter("decision = 'take'").select("key", F.lit(True).alias("_take")).distinct()
+    return rows.join(take, "key", "left").withColumn("applied", F.when(F.col("_take"), "written").otherwise(F.col("applied"))).drop("_take")

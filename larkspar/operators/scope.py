@@ -50,3 +50,9 @@ def require_one_fingerprint(rows: DataFrame, fingerprint: str) -> None:
     found = [r[0] for r in rows.select(fingerprint).distinct().limit(2).collect()]
     if len(found) > 1:
         raise ValueError(f"vectors of more than one model: {sorted(map(str, found))}")
+
+
+def fingerprint(model: Column, image_size: Column) -> Column:
+    """What must agree for two vectors to lie in one file: the model, and the size that it was fed, if that is known."""
+    size = F.nullif(F.nullif(image_size.cast("string"), F.lit("")), F.lit("0"))
+    return F.concat(F.coalesce(model, F.lit("(unrecorded)")), F.lit("@"), F.coalesce(size, F.lit("(unrecorded)")))

@@ -33,6 +33,7 @@ def query(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable[[Spa
         return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     run.__doc__ = f.__doc__
+    run.rows = f
     QUERIES[f.__name__] = run
     return run
 
@@ -515,6 +516,94 @@ def flat_export_decode(t):
     return readers.flat_names(names, known)
 
 
+@query
+def folder_differences(t):
+    return claims.folder_differences(*trees(t))
+
+
+@query
+def missing_sidecars(t):
+    """Sidecars without image, with what a report says of some of them, the first entry of each."""
+    images, side = trees(t)
+    k = F.col("p_partkey")
+    base = F.concat(F.regexp_replace("p_name", " ", ""), F.floor(k / 7).cast("string"))
+    entries = t("part").filter(k % 4 < 2).select(F.concat_ws("/", "p_type", (F.col("p_size") % 5).cast("string")).alias("folder"), base.alias("stem"), k.alias("pos"), F.concat(F.lit("reason "), (k % 3).cast("string")).alias("reason"), F.concat(base, F.lit(".nef")).alias("name"))
+    return claims.missing(images, side, entries)
+
+
+@query
+def existing_images(t):
+    """Sidecars whose folder and stem an image has."""
+    images, side = trees(t)
+    return claims.existing(side, images, "folder", "stem")
+
+
+@query
+def apply_decisions(t):
+    rows = t("labels").select(F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, "kept-existing").otherwise("csv-only").alias("applied"))
+    decided = t("labels").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "take").otherwise("keep").alias("decision"))
+    return merge.apply_decisions(rows, decided)
+
+
+@query
+def bucket_counts(t):
+    """How many rows there are of each decision and bucket."""
+    return QUERIES["decisions"].rows(t).groupBy("bucket", "decision").agg(F.count("*").alias("n"))
+
+
+@query
+def capture_groups(t):
+    """Captures by their document's id, else time and frame, else time and name, that more than one row has."""
+    k = F.col("l_orderkey") % 40
+    rows = t("lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"), F.when(k == 0, F.concat(F.lit("id"), (F.col("l_partkey") % 50).cast("string"))).otherwise("").alias("original"),
+        F.when(k == 1, "").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("captured"), F.when(k < 20, F.struct(F.col("l_returnflag").alias("code"), F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("num"))).alias("frame"), F.col("l_linestatus").alias("raw"),
+    ).withColumn("capture", captures.capture_key(F.col("original"), F.col("captured"), F.col("frame"), F.col("raw")))
+    return rows.filter("capture IS NOT NULL").groupBy("capture").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1")
+
+
+@query
+def density_peaks(t):
+    """Members by how near their first component is to 0.1, in steps that make ties."""
+    rows = in_order(t).select("cluster", "key", "position", F.round(1 - F.abs(F.col("v")[0] - 0.1), 2).alias("probability"))
+    return clusters.density_peaks(rows)
+
+
+@query
+def label_spans(t):
+    """Runs of one status along the orders."""
+    rows = order.numbered(t("orders").select("o_orderkey", F.col("o_orderstatus").alias("cluster")), "position", "o_orderkey")
+    return clusters.spans(rows)
+
+
+@query
+def adjusted_mutual_information(t):
+    return clusters.adjusted_mutual_information(t("documents"), "source", "lang")
+
+
+@query
+def top_movers(t):
+    """Parts' types by how their mean price differs between both halves of the keys."""
+    half = lambda x: F.avg(F.when(F.col("p_partkey") % 2 == x, F.col("p_retailprice")))
+    deltas = t("part").groupBy(F.col("p_brand").alias("label")).agg(F.round(half(0) - half(1), 4).alias("delta"))
+    return audit.movers(deltas, 5).select("label", "delta", "kind", "rank")
+
+
+@query
+def warped_tiles(t):
+    """Tiles of the vectors' order that become finer towards its end, and tiles that keep to clusters."""
+    rows = in_order(t).select("position", "cluster")
+    whole = layout.tile_starts(rows.sparkSession, rows.count(), 24, 0.5).select(F.lit("warp").alias("kind"), "start")
+    return whole.unionByName(layout.cluster_tile_starts(clusters.spans(rows), 24, 0.5).select(F.lit("cluster").alias("kind"), "start"))
+
+
+@query
+def vector_fingerprints(t):
+    """What must agree for vectors to lie in one file: model and image size."""
+    size = F.when(F.col("vec_id") % 7 == 0, None).when(F.col("vec_id") % 7 == 1, 0).otherwise(F.col("vec_id") % 3 * 224)
+    return t("embeddings").select(scope.fingerprint(F.concat(F.lit("m"), (F.col("label") % 2).cast("string")), size).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
+
+
 @query
 def incremental_upsert(t):
     """The newest event of each user, by a stream over files that remembers where it stopped."""

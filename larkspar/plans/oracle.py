@@ -191,3 +191,37 @@ UNION ALL """ + " UNION ALL ".join(
         "CJK text": r"[\x{4e00}-\x{9fff}]+",
     }.items()
 )
+
+RESOLVED = f"""{TREES}, free AS (SELECT i.* FROM img i ANTI JOIN side s ON i.folder = s.folder AND i.stem = s.stem),
+  open AS (SELECT s.* FROM side s ANTI JOIN img i ON i.folder = s.folder AND i.stem = s.stem),
+  taken AS (SELECT DISTINCT folder, base AS stem FROM (SELECT f.folder, f.stem, o.stem AS base, row_number() OVER (PARTITION BY f.folder, f.stem ORDER BY len(o.stem) DESC) AS n FROM free f JOIN open o ON f.folder = o.folder AND (f.stem = o.stem OR starts_with(f.stem, o.stem || '-'))) WHERE n = 1),
+  lost AS (SELECT o.folder, o.stem, CASE WHEN o.folder IN (SELECT folder FROM img) THEN 'no_jpg' ELSE 'no_folder' END AS verdict FROM open o ANTI JOIN taken t ON o.folder = t.folder AND o.stem = t.stem)"""
+ORACLE_SQL |= {
+    "folder_differences": f"WITH {TREES} SELECT DISTINCT folder, 'orphan' AS kind FROM img WHERE folder NOT IN (SELECT folder FROM side) UNION ALL SELECT DISTINCT folder, 'unexported' FROM side WHERE folder NOT IN (SELECT folder FROM img)",
+    "missing_sidecars": f"""WITH {RESOLVED}, e AS (SELECT folder, base AS stem, arg_min('reason ' || (k % 3), k) AS reason, arg_min(base || '.nef', k) AS name FROM b WHERE k % 4 < 2 GROUP BY ALL)
+      SELECT coalesce(e.reason, '(not mentioned by the exporter)') AS reason, verdict, lost.folder, lost.stem, coalesce(e.name, '') AS raw_name FROM lost LEFT JOIN e ON lost.folder = e.folder AND lost.stem = e.stem""",
+    "existing_images": f"WITH {TREES} SELECT s.folder, s.stem, (SELECT count(*) FROM side x ANTI JOIN img i ON x.folder = i.folder AND x.stem = i.stem) AS missing FROM side s SEMI JOIN img i ON s.folder = i.folder AND s.stem = i.stem",
+    "apply_decisions": "SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 AND toxic = 1 THEN 'written' WHEN quality = 1 THEN 'kept-existing' ELSE 'csv-only' END AS applied FROM labels",
+    "bucket_counts": f"SELECT bucket, decision, count(*) AS n FROM ({ORACLE_SQL['decisions']}) GROUP BY bucket, decision",
+    "capture_groups": """WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS key, CASE WHEN l_orderkey % 40 = 0 THEN 'odid|id' || (l_partkey % 50) WHEN l_orderkey % 40 = 1 THEN NULL
+        WHEN l_orderkey % 40 < 20 THEN 'time+frame|' || strftime(l_shipdate, '%Y-%m-%d') || '|' || l_returnflag || '|' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') ELSE 'time+name|' || strftime(l_shipdate, '%Y-%m-%d') || '|' || l_linestatus END AS capture FROM lineitem)
+      SELECT capture, count(*) AS n, min(key) AS first FROM x WHERE capture IS NOT NULL GROUP BY capture HAVING count(*) > 1""",
+    "density_peaks": f"""WITH {V}, {ORDERED}, p AS (SELECT cluster, key, position, round(1 - abs(v[1] - 0.1), 2) AS probability FROM o)
+      SELECT cluster, arg_max(key, (probability, -position)) AS density_peak, round(avg(probability), 6) AS mean_probability FROM p GROUP BY cluster""",
+    "label_spans": """WITH x AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS p, o_orderstatus AS c FROM orders), y AS (SELECT *, p - row_number() OVER (PARTITION BY c ORDER BY p) AS g FROM x)
+      SELECT min(p) AS "begin", max(p) + 1 AS "end", c AS cluster FROM y GROUP BY c, g""",
+    "adjusted_mutual_information": """WITH d AS (SELECT source AS c, lang AS l FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), t AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM d),
+      m AS (SELECT c, l, count(*) AS n FROM d GROUP BY ALL), a AS (SELECT c, CAST(count(*) AS DOUBLE) AS a FROM d GROUP BY c), b AS (SELECT l, CAST(count(*) AS DOUBLE) AS b FROM d GROUP BY l),
+      i AS (SELECT sum(n / t * ln(n * t / (a * b))) AS mi FROM m JOIN a USING (c) JOIN b USING (l), t),
+      s AS (SELECT a, b, t, unnest(range(CAST(greatest(1, a + b - t) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS n FROM a, b, t),
+      e AS (SELECT sum(n / t * ln(n * t / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(t - a - b + n + 1))) AS e FROM s),
+      h AS (SELECT (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb)
+      SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami, round(mi, 6) AS mutual_information FROM i, e, h""",
+    "top_movers": """WITH d AS (SELECT p_brand AS label, round(avg(p_retailprice) FILTER (p_partkey % 2 = 0) - avg(p_retailprice) FILTER (p_partkey % 2 = 1), 4) AS delta FROM part GROUP BY p_brand),
+      x AS (SELECT *, CASE WHEN delta > 0 THEN 'improved' ELSE 'degraded' END AS kind FROM d WHERE delta <> 0) SELECT *, row_number() OVER (PARTITION BY kind ORDER BY abs(delta) DESC, label) AS rank FROM x QUALIFY rank <= 5""",
+    "warped_tiles": """WITH n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT DISTINCT least(CAST(round_even(n * sqrt(k / 24), 0) AS BIGINT), n) AS start, n FROM n, range(0, 25) r(k)),
+      c AS (SELECT label, count(*) AS size, sum(count(*)) OVER (ORDER BY label) - count(*) + 1 AS b, sum(sqrt(count(*))) OVER () AS total FROM embeddings GROUP BY label),
+      p AS (SELECT *, greatest(1, least(CAST(round_even(sqrt(size) / total * 24, 0) AS BIGINT), size)) AS per FROM c), q AS (SELECT b, size, per, unnest(range(0, per)) AS i FROM p)
+      SELECT 'warp' AS kind, start FROM w WHERE start < n UNION ALL SELECT 'cluster', CAST(b + i * size // per AS BIGINT) FROM q""",
+    "vector_fingerprints": """SELECT 'm' || (label % 2) || '@' || CASE WHEN vec_id % 7 < 2 OR vec_id % 3 = 0 THEN '(unrecorded)' ELSE CAST(vec_id % 3 * 224 AS VARCHAR) END AS fingerprint, count(*) AS n FROM embeddings GROUP BY 1""",
+}
