@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,15 +82,30 @@ def steps(vectors: DataFrame, gram: bool = False) -> DataFrame:
     pairs = neighbour(vectors, "position", ["cluster", "v"]).filter("next_v IS NOT NULL")
     out = pairs.select("position", "key", "cluster", (1 - dot(F.col("v"), F.col("next_v"))).alias("gap"), (F.col("cluster") != F.col("next_cluster")).cast("int").alias("boundary"), "v", "next_v")
     if gram:
-        products = vectors.select(F.posexplode("v").alias("i", "x"), "v").select("i", F.posexplode("v").alias("j", "y"), "x").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-        rows = products.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "g"))), lambda p: p["g"]).alias("row"))
-        matrix = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda p: p["row"]).alias("gram"))
+        matrix = gram_rows(vectors).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda p: p["row"]).alias("gram"))
         delta = F.zip_with("next_v", "v", lambda x, y: x - y)
         out = out.withColumn("delta", delta).join(F.broadcast(matrix))  # dimension x dimension numbers
         out = out.withColumn("gap", F.sqrt(F.greatest(F.lit(0.0), dot(F.col("delta"), F.transform("gram", lambda r: dot(r, F.col("delta")))))))
     return out.select("position", "key", "cluster", F.round("gap", 6).alias("gap"), "boundary")
 
 
+def gram_rows(vectors: DataFrame) -> DataFrame:
+    """The sum of the vectors' outer products by rows (i, row): each task sends one matrix."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                total = v.T @ v if total is None else total + v.T @ v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+
+    parts = vectors.select("v").mapInArrow(products, "i int, row array<double>")
+    sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    return sums.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: p["x"]).alias("row"))
+
+
 def boundary_steps(gaps: DataFrame) -> DataFrame:
     """Mean step at cluster boundaries and elsewhere, and how many of the k largest steps are boundaries (k of them exist)."""
     k = gaps.agg(F.coalesce(F.sum("boundary"), F.lit(0))).first()[0]
@@ -187,20 +205,31 @@ def next_known(rows: DataFrame, line: str, value: str, part: int = 50_000) -> Da
     return parts.join(all_parts, "_part").withColumn("found", F.coalesce(inside, F.col("_after"))).drop("_part", "_after")
 
 
+#: Clusters that are put in a spectral order at most: their similarities are a dense matrix of one task.
+MOST_CLUSTERS = 4_000
+
+
 def spectral_order(vectors: DataFrame) -> DataFrame:
     """Clusters in the order of the second eigenvector of their centroids' similarity: cluster, place (from 1).
 
     The similarity of centroids is clipped at zero and has no diagonal; the eigenvector's sign is such that
-    the smallest cluster's entry is not positive.  Only the centroids come to the driver: one per cluster.
+    the smallest cluster's entry is not positive.  One task decomposes the matrix of the centroids; more than
+    MOST_CLUSTERS clusters (a matrix of 128 MB) are refused with an error.
     """
-    spark = vectors.sparkSession
-    rows = sorted(centroids(vectors).collect(), key=lambda r: r["cluster"])
-    if len(rows) < 3:
-        return spark.createDataFrame([(r["cluster"], i + 1) for i, r in enumerate(rows)], "cluster long, place int")
-    c = np.array([r["centroid"] for r in rows])
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-    w = np.clip(c @ c.T, 0, None)
-    np.fill_diagonal(w, 0)
-    second = np.linalg.eigh(np.diag(w.sum(1)) - w)[1][:, 1]
-    second = second if second[0] <= 0 else -second
-    return spark.createDataFrame([(rows[i]["cluster"], place + 1) for place, i in enumerate(np.argsort(second, kind="stable"))], "cluster long, place int")
+    centres = stored(centroids(vectors), "centroids")
+    if (k := centres.count()) > MOST_CLUSTERS:
+        raise ValueError(f"{k} clusters; a spectral order takes {MOST_CLUSTERS} at most")
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("cluster", ignore_index=True)
+        n = len(rows)
+        if n >= 3:
+            c = np.stack(rows["centroid"].to_numpy())
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+            w = np.clip(c @ c.T, 0, None)
+            np.fill_diagonal(w, 0)
+            second = np.linalg.eigh(np.diag(w.sum(1)) - w)[1][:, 1]
+            rows = rows.iloc[np.argsort(second if second[0] <= 0 else -second, kind="stable")]
+        yield pd.DataFrame({"cluster": rows["cluster"], "place": np.arange(1, n + 1)})
+
+    return centres.coalesce(1).mapInPandas(ordered, "cluster long, place int")

@@ -112,7 +112,9 @@ def test_next_fit_packs_in_order(spark):
     assert [(x.bin, x.offset, x.colour) for x in got.orderBy("position").collect()] == want
 
 
-def test_numbered_and_orbit(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_numbered_and_orbit(spark, monkeypatch, few):
+    monkeypatch.setattr(order, "FEW_JUMPS", few)
     names = random.Random(1).sample(range(1000), 90)
     got = order.numbered(spark.createDataFrame([(n,) for n in names], "n long"), "place", "n").collect()
     assert sorted((r.place, r.n) for r in got) == list(enumerate(sorted(names), 1))
