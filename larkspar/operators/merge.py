@@ -73,3 +73,9 @@ def apply_decisions(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """rows (key, applied) with applied = written where decided (key, decision) says take; other rows stay as they are."""
     take = decided.filter("decision = 'take'").select("key", F.lit(True).alias("_take")).distinct()
     return rows.join(take, "key", "left").withColumn("applied", F.when(F.col("_take"), "written").otherwise(F.col("applied"))).drop("_take")
+
+
+def attach_last(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (key) with the label of the last of their label rows (key, position, label); null without any."""
+    last = labels.groupBy("key").agg(F.max_by("label", "position").alias("label"))
+    return rows.join(last, "key", "left")

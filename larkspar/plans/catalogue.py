@@ -304,9 +304,19 @@ def decisions(t):
 
 @query
 def tree_compare(t):
+    """Documents against a changed copy: the set of their words is what matters, order and number of them are not."""
+    words = lambda c: F.array_sort(F.array_distinct(F.split(c, "[ \n\t]+")))
     d = t("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    other = d.filter("path % 5 <> 0").select("path", F.when(F.col("path") % 3 == 0, F.concat(F.lit("!"), F.col("content"))).when(F.col("path") % 7 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")).alias("content"))
-    return merge.compare_trees(d, other, F.substring("content", 1, 20))
+    again = F.concat("content", F.lit("\n"), F.split("content", "[ \n\t]+")[0])
+    other = d.filter("path % 5 <> 0").select("path", F.when(F.col("path") % 3 == 0, F.concat(F.lit("!"), F.col("content"))).when(F.col("path") % 7 == 0, again).otherwise(F.col("content")).alias("content"))
+    return merge.compare_trees(d, other, words(F.col("content")))
+
+
+@query
+def label_attach(t):
+    """Orders with the last of their items' marks; some orders have none."""
+    labels = t("lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("key"), F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("position"), F.col("l_returnflag").alias("label"))
+    return merge.attach_last(t("orders").select(F.col("o_orderkey").alias("key")), labels)
 
 
 @query

@@ -117,8 +117,9 @@ ORACLE_SQL: dict[str, str] = {
       SELECT *, CASE WHEN twin IS NOT NULL THEN 'A' WHEN label IN (FROM w) THEN 'B' ELSE 'C' END AS bucket FROM z""",
     "decisions": """WITH r AS (SELECT doc_id AS key, CASE WHEN toxic = 1 THEN 'A' WHEN quality = 0 THEN 'B' ELSE 'C' END AS bucket FROM labels)
       SELECT key, bucket, CASE WHEN bucket = 'C' AND key % 4 = 0 THEN CASE WHEN key % 8 = 0 THEN 'take' ELSE 'keep' END WHEN key % 7 = 0 THEN 'keep' WHEN bucket = 'A' THEN 'take' ELSE 'keep' END AS decision FROM r""",
-    "tree_compare": """SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'not-in-reference' WHEN doc_id % 3 = 0 THEN CASE WHEN substr(text, 1, 20) = substr('!' || text, 1, 20) THEN 'keywords-intact-other-differs' ELSE 'keywords-differ' END
-      WHEN doc_id % 7 = 0 THEN CASE WHEN substr(text, 1, 20) = substr(text || chr(10) || 'more', 1, 20) THEN 'keywords-intact-other-differs' ELSE 'keywords-differ' END ELSE 'identical' END AS status FROM documents""",
+    "tree_compare": r"""WITH x AS (SELECT doc_id AS path, text, CASE WHEN doc_id % 3 = 0 THEN '!' || text WHEN doc_id % 7 = 0 THEN text || chr(10) || regexp_split_to_array(text, '[ \n\t]+')[1] ELSE text END AS other FROM documents)
+      SELECT path, CASE WHEN path % 5 = 0 THEN 'not-in-reference' WHEN text IS NOT DISTINCT FROM other THEN 'identical'
+        WHEN list_sort(list_distinct(regexp_split_to_array(text, '[ \n\t]+'))) = list_sort(list_distinct(regexp_split_to_array(other, '[ \n\t]+'))) THEN 'keywords-intact-other-differs' ELSE 'keywords-differ' END AS status FROM x""",
     "run_intersection": "SELECT vec_id FROM embeddings WHERE vec_id % 6 = 0 AND vec_id % 5 <> 0 GROUP BY vec_id",
     "knn_1nn": f"WITH {V}, {NN} SELECT key, other AS nearest, round(cosine, 6) AS cosine FROM nn",
     "knn_score": f"""WITH {V}, {NN}, b AS (SELECT a.cluster, count(*) AS n, sum(CAST(a.cluster = b.cluster AS INTEGER)) AS h FROM nn JOIN v a ON a.key = nn.key JOIN v b ON b.key = nn.other GROUP BY a.cluster)
@@ -223,5 +224,6 @@ ORACLE_SQL |= {
       c AS (SELECT label, count(*) AS size, sum(count(*)) OVER (ORDER BY label) - count(*) + 1 AS b, sum(sqrt(count(*))) OVER () AS total FROM embeddings GROUP BY label),
       p AS (SELECT *, greatest(1, least(CAST(round_even(sqrt(size) / total * 24, 0) AS BIGINT), size)) AS per FROM c), q AS (SELECT b, size, per, unnest(range(0, per)) AS i FROM p)
       SELECT 'warp' AS kind, start FROM w WHERE start < n UNION ALL SELECT 'cluster', CAST(b + i * size // per AS BIGINT) FROM q""",
+    "label_attach": "SELECT o_orderkey AS key, (SELECT arg_max(l_returnflag, (l_linenumber, l_partkey, l_returnflag)) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 2) AS label FROM orders",
     "vector_fingerprints": """SELECT 'm' || (label % 2) || '@' || CASE WHEN vec_id % 7 < 2 OR vec_id % 3 = 0 THEN '(unrecorded)' ELSE CAST(vec_id % 3 * 224 AS VARCHAR) END AS fingerprint, count(*) AS n FROM embeddings GROUP BY 1""",
 }
