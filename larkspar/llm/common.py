@@ -59,6 +59,15 @@ def others(docs: DataFrame, *made: str) -> list[T.StructField]:
     return [f for f in docs.schema.fields if f.name.lower() not in gone]
 
 
+#: So many rows of a few numbers are some 30 MB.
+FEW_ROWS = 1_000_000
+
+
+def with_few(rows: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with other, which is shipped whole if it has FEW_ROWS at most, so that rows stay where they are."""
+    return rows.join(F.broadcast(other) if other.count() <= FEW_ROWS else other, key, how)
+
+
 def with_row_key(docs: DataFrame, key: str, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """docs with a key for each row, so that null and repeated ids stay apart.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspar.llm.common import fresh, settings, shared_dir, stored, table
+from larkspar.llm.common import fresh, settings, shared_dir, stored, table, with_few
 from larkspar.storage import exists
 
 STATE_STORE = {
@@ -80,9 +80,9 @@ def grouped(docs: DataFrame, digest: Callable[[Column], Column], files_per_batch
     state = stored(keep_in_state(arrivals, folder), "state")
 
     # Each different text of the hits of this call against the content that the state's locator names.
-    hits = own.join(state.filter("group_size > 1"), "digest").groupBy("digest", "text").agg(F.count("*").alias("n"))
-    named = state.filter("group_size > 1").select("keep.locator", "digest")
-    fetched = plain.select("locator", F.col("text").alias("kept_text")).join(named, "locator").select("digest", "kept_text")
+    named = stored(state.filter("group_size > 1").select("keep.locator", "digest"), "named")
+    hits = with_few(own, named.select("digest"), "digest").groupBy("digest", "text").agg(F.count("*").alias("n"))
+    fetched = with_few(plain.select("locator", F.col("text").alias("kept_text")), named, "locator").select("digest", "kept_text")
     clashing = stored(hits.join(fetched, "digest").filter(F.col("text") != F.col("kept_text")).select("digest").distinct(), "clashing")
     if clashing.isEmpty():
         found = log.join(state, "digest")
@@ -107,7 +107,8 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     key = fresh(docs, "_row")
     rows, found = grouped(docs, sha256, 10_000, None)
-    return rows.join(found.filter(F.col("locator") == F.col("keep.locator")).select(F.col("key").alias(key)), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stored(found.filter(F.col("locator") != F.col("keep.locator")).select(F.col("key").alias(key)), "gone")
+    return with_few(rows, gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
