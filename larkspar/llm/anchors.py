@@ -52,20 +52,24 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """row: number of the row; anchor, first, last: symbols from the row's start; key: the anchor's hash."""
+    """row: number of the row; anchor, first, last: symbols from the row's start; key: the anchor's hash; places: where anchors stand."""
 
     row: np.ndarray
     key: np.ndarray
     anchor: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    places: np.ndarray
 
 
-def segments(symbols: np.ndarray, at: np.ndarray, grain: Grain) -> Segments:
-    """All segments of rows of symbols."""
+def segments(symbols: np.ndarray, at: np.ndarray, grain: Grain, by_key: bool = False) -> Segments:
+    """All segments of rows of symbols; ``by_key``: windows whose anchors are equal grams at different places are one segment.
+
+    In a text that repeats a few symbols each window may have an anchor of its own, but all of these are equal.
+    """
     none = np.zeros(0, np.int64)
     if len(symbols) < grain.span:
-        return Segments(none, none, none, none, none)
+        return Segments(none, none, none, none, none, none)
     hashes = gram_hashes(symbols, grain.gram)
     place = np.arange(len(hashes), dtype=np.uint64)
     minima = window_minima((hashes & np.uint64(0xFFFFFFFF00000000)) | place, grain.choices)
@@ -75,12 +79,14 @@ def segments(symbols: np.ndarray, at: np.ndarray, grain: Grain) -> Segments:
     fits = start + grain.span <= at[row + 1]
     start, row = start[fits], row[fits]
     if not len(start):
-        return Segments(none, none, none, none, none)
+        return Segments(none, none, none, none, none, none)
     anchor = (minima[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    heads = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
+    named = hashes[anchor] if by_key else anchor
+    heads = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]) | (row[1:] != row[:-1])])
     tails = np.r_[heads[1:], len(start)] - 1
     base = at[row[heads]]
-    return Segments(row[heads], hashes[anchor[heads]].view(np.int64), anchor[heads] - base, start[heads] - base, start[tails] - base)
+    moved = np.r_[0, np.cumsum(anchor[1:] != anchor[:-1])]
+    return Segments(row[heads], hashes[anchor[heads]].view(np.int64), anchor[heads] - base, start[heads] - base, start[tails] - base, moved[tails] - moved[heads] + 1)
 
 
 def digests(prefixes: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,20 +98,27 @@ def digests(prefixes: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: n
     return out[0], out[1]
 
 
-def recurring(found: DataFrame) -> DataFrame:
-    """Of segments (_row, key, anchor, first, last) those whose anchor occurs again, as one row per _row.
+#: A key in more than one of so many rows is hot; there are no more hot keys than that.
+HOT_KEYS = 20_000
+
+
+def recurring(found: DataFrame, *columns: str) -> DataFrame:
+    """Of segments (key, places and others) those whose key occurs again, be it in the segment itself.
 
-    The list of a row is bounded by its own text.
+    Hot keys are few by definition: they are shipped whole, and their rows stay where they are.  The rows of all
+    other keys meet by key.
     """
-    often = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    kept = found.join(often, "key")
-    return kept.groupBy("_row").agg(F.collect_list(F.struct("key", "anchor", "first", "last")).alias("segments"))
+    counts = found.groupBy("key").agg(F.sum("places").alias("n")).filter("n > 1")
+    least = F.lit(max(1, found.count() // HOT_KEYS))
+    hot = F.broadcast(counts.filter(F.col("n") > least).select("key"))
+    calm = counts.filter(F.col("n") <= least).select("key")
+    rows = found.select("key", *columns)
+    return rows.join(hot, "key", "left_semi").unionByName(rows.join(hot, "key", "left_anti").join(calm, "key", "left_semi"))
 
 
 def crowded(contents: DataFrame, size: Column, limit: int) -> DataFrame:
-    """Keys whose different contents (key, d1, d2) come to more than ``limit`` in total size, and that total."""
-    different = contents.groupBy("key", "d1", "d2").agg(F.max(size).alias("size"))
-    return different.groupBy("key").agg(F.sum("size").alias("total")).filter(F.col("total") > limit)
+    """Keys whose different contents (key, d1, d2; each once) come to more than ``limit`` in total size, and that total."""
+    return contents.groupBy("key").agg(F.sum(size).alias("total")).filter(F.col("total") > limit)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

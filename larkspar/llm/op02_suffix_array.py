@@ -14,7 +14,8 @@
 
 Null counts as empty; texts shorter than ``length`` stay whole; windows never cross texts, but may
 recur within one.  Repeated rows and ids are texts of their own.  A character may be cut; the digest is of
-the remaining bytes.
+the remaining bytes.  An empty table has an empty result.  Other columns are carried through; those that are
+named as a result's are replaced.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspar.llm.anchors import Grain, crowded, digests, recurring, runs, segments
-from larkspar.llm.common import BASES, blocks, prefix_hash, ranges, small_batches, stored, table, with_row_key
+from larkspar.llm.common import BASES, Scratch, blocks, fresh, others, prefix_hash, ranges, small_batches, stored, table, with_row_key
 
 LENGTH, GRAM = 400, 32
 BLOCK_BYTES = 1_500_000
@@ -236,21 +238,19 @@ PARTS = {
 }
 
 
+def different(contents: DataFrame) -> DataFrame:
+    """Each content once, with how often it stands; partial sums are made before contents meet."""
+    same = ("windows", "low", "high", "anchor", "class_low", "class_high")
+    return contents.groupBy("key", "d1", "d2").agg(*[F.max(c).alias(c) for c in same], F.first("content").alias("content"), F.sum("n").alias("n"))
+
+
 def repeats_in_shards(contents: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows (key, d1, d2, begin, end) of contents, by a transform of each shard's contents."""
+    """Runs of repeated windows (key, d1, d2, begin, end) of different contents, by a transform of each shard's contents."""
 
     def solve(group: list[tuple]) -> Iterator[tuple]:
-        items, counts = [], []
-        for r in group:
-            if items and items[-1][:3] == r[:3]:
-                counts[-1] += r[5]
-            else:
-                items.append(r)
-                counts.append(r[5])
-        windows = np.array([r[3] for r in items])
-        found, begin = repeated_windows([r[4] for r in items], windows, length)
-        for r, n, at in zip(items, counts, begin.tolist(), strict=True):
-            if n > 1:  # the whole content recurs
+        found, begin = repeated_windows([r[4] for r in group], np.array([r[3] for r in group]), length)
+        for r, at in zip(group, begin.tolist(), strict=True):
+            if r[5] > 1:  # the whole content recurs
                 yield r[0], r[1], r[2], 0, r[3]
             else:
                 for a, b in zip(*runs(found[at : at + r[3]]), strict=True):
@@ -268,8 +268,7 @@ def repeats_in_shards(contents: DataFrame, length: int) -> DataFrame:
                 if size >= SHARD_BYTES and group[-1][0] != r[0]:
                     yield out(group)
                     group, size = [], 0
-                if not group or group[-1][:3] != r[:3]:
-                    size += len(r[4]) + 1
+                size += len(r[4]) + 1
                 group.append(r)
         if group:
             yield out(group)
@@ -281,44 +280,45 @@ def repeats_in_shards(contents: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """docs: _row, text. For each _row with repeats the list ``spans`` of covered (begin, end) bytes, which may overlap."""
     grain = Grain(length, min(GRAM, 1 << (length // 2).bit_length() - 1))
-    found = stored(find_segments(docs, grain), "segments")
-    candidates = docs.join(recurring(found), "_row")
-    occurrences = stored(cut_contents(candidates, grain), "occurrences")
-    contents = occurrences.filter("content IS NOT NULL").select("key", "d1", "d2", "windows", "low", "high", "anchor", "content", "n")
-    places = occurrences.select("_row", "first", "key", "d1", "d2")
-    contents = contents.withColumns({"class_low": F.lit(0), "class_high": F.lit(grain.choices - 1)})
     base = ["base_key", "base1", "base2"]
-    links = repeats = None  # links: of the parts of split contents, where they stand in these
-    while True:
-        hot = stored(crowded(contents, F.col("windows") + (length - 1), GROUP_BYTES).select("key"), "crowded")
-        split = not hot.isEmpty()
-        found = repeats_in_shards(contents.join(hot, "key", "left_anti") if split else contents, length)
-        if links is None:
-            found = found.toDF(*base, "begin", "end")
-        else:
-            found = links.join(found, ["key", "d1", "d2"]).select(*base, (F.col("begin") + F.col("skip")).alias("begin"), (F.col("end") + F.col("skip")).alias("end"))
-        repeats = found if repeats is None else repeats.unionByName(found)
-        if not split:
-            break
-        # The crowded groups in finer classes; their contents are few beside the occurrences, which stay where they are.
-        parts = stored(split_classes(contents.join(hot, "key"), length), "parts")
-        contents = parts.select(*contents.columns)
-        of = parts.select("parent_key", "parent1", "parent2", F.col("skip").alias("more"), "key", "d1", "d2").distinct()
-        if links is None:
-            links = of.select(F.col("parent_key").alias("base_key"), F.col("parent1").alias("base1"), F.col("parent2").alias("base2"), F.col("more").alias("skip"), "key", "d1", "d2")
-        else:
-            above = links.withColumnsRenamed({"key": "parent_key", "d1": "parent1", "d2": "parent2"})
-            links = above.join(of, ["parent_key", "parent1", "parent2"]).select(*base, (F.col("skip") + F.col("more")).alias("skip"), "key", "d1", "d2")
-        links = stored(links, "links")
-    places = places.withColumnsRenamed({"key": "base_key", "d1": "base1", "d2": "base2"})
-    spans = places.join(repeats, base).select("_row", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") + (length - 1)).alias("end"))
-    return spans.groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-
-
-def without_spans(docs: DataFrame, spans: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Per row of docs: its other columns, n_bytes, n_removed, n_spans, kept_sha256, and on request what is left."""
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "_row")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"]) + ", kept binary" * keep_text
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.stored(find_segments(docs, grain), "segments")
+        again = recurring(found.withColumn("places", F.lit(1)), "_row", "anchor", "first", "last").groupBy("_row").agg(F.collect_list(F.struct("key", "anchor", "first", "last")).alias("segments"))  # bounded by the row's own text
+        occurrences = scratch.stored(cut_contents(docs.join(again, "_row"), grain), "occurrences")
+        scratch.drop(found)
+        contents = occurrences.filter("content IS NOT NULL").select("key", "d1", "d2", "windows", "low", "high", "anchor", "content", "n")
+        contents = scratch.stored(different(contents.withColumns({"class_low": F.lit(0), "class_high": F.lit(grain.choices - 1)})), "contents")
+        places = occurrences.select("_row", "first", "key", "d1", "d2")
+        links = repeats = None  # links: of the parts of split contents, where they stand in these
+        while True:
+            hot = scratch.stored(crowded(contents, F.col("windows") + (length - 1), GROUP_BYTES).select("key"), "crowded")
+            split = not hot.isEmpty()
+            found = repeats_in_shards(contents.join(hot, "key", "left_anti") if split else contents, length)
+            if links is None:
+                found = found.toDF(*base, "begin", "end")
+            else:
+                found = links.join(found, ["key", "d1", "d2"]).select(*base, (F.col("begin") + F.col("skip")).alias("begin"), (F.col("end") + F.col("skip")).alias("end"))
+            repeats = found if repeats is None else repeats.unionByName(found)
+            if not split:
+                break
+            # The crowded groups in finer classes; their contents are few beside the occurrences, which stay where they are.
+            parts = scratch.stored(split_classes(contents.join(F.broadcast(hot), "key"), length), "parts")  # a crowded group has GROUP_BYTES
+            contents = scratch.stored(different(parts.select(*contents.columns)), "contents")
+            of = parts.select("parent_key", "parent1", "parent2", F.col("skip").alias("more"), "key", "d1", "d2").distinct()
+            if links is None:
+                links = of.select(F.col("parent_key").alias("base_key"), F.col("parent1").alias("base1"), F.col("parent2").alias("base2"), F.col("more").alias("skip"), "key", "d1", "d2")
+            else:
+                above = links.withColumnsRenamed({"key": "parent_key", "d1": "parent1", "d2": "parent2"})
+                links = above.join(of, ["parent_key", "parent1", "parent2"]).select(*base, (F.col("skip") + F.col("more")).alias("skip"), "key", "d1", "d2")
+            links = scratch.stored(links, "links")
+        places = places.withColumnsRenamed({"key": "base_key", "d1": "base1", "d2": "base2"})
+        spans = places.join(repeats, base).select("_row", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") + (length - 1)).alias("end"))
+        return stored(spans.groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+
+
+def without_spans(rows: DataFrame, spans: DataFrame, rest: list[T.StructField], keep_text: bool = False) -> DataFrame:
+    """rows (_row, row: a struct of other columns, text): these columns, n_bytes, n_removed, n_spans, kept_sha256, and on request what is left."""
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, at in blocks(batches, BLOCK_BYTES):
@@ -338,20 +338,25 @@ def without_spans(docs: DataFrame, spans: DataFrame, keep_text: bool = False) ->
             starts[inner] = gone[inner]
             begun = np.r_[0, np.cumsum(starts)]
             kept = [raw[a:b][~gone[a:b]].tobytes() if removed[b] > removed[a] else raw[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            columns = [*(batch.column(f.name) for f in rest), pa.array(np.diff(at)), pa.array(np.diff(removed[at])), pa.array(np.diff(begun[at])), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            names = [*(f.name for f in rest), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            columns = [batch.column("row"), pa.array(np.diff(at)), pa.array(np.diff(removed[at])), pa.array(np.diff(begun[at])), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(spans, "_row", "left").drop("_row").mapInArrow(run, schema)
+    out = rows.join(spans, "_row", "left").drop("_row").mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(f.name).alias(f.name) for f in rest], *[c for c in out.columns if c != "row"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """docs without text, with what the removal of repeated strings of ``length`` bytes leaves of it."""
-    keyed = with_row_key(small_batches(docs))
-    return without_spans(keyed, repeated_spans(keyed.select("_row", "text"), length), keep_text)
+    """docs without text, with what the removal of repeated strings of ``length`` bytes leaves of it.
+
+    Adds n_bytes, n_removed, n_spans, kept_sha256, and on request kept: the remaining bytes.
+    """
+    rest = others(docs, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text)
+    rows = with_row_key(small_batches(docs).select(F.struct(F.lit(0).alias(fresh(docs, "_key")), *[F.col(f"`{f.name}`") for f in rest]).alias("row"), "text"), "_row")
+    return without_spans(rows, repeated_spans(rows.select("_row", "text"), length), rest, keep_text)
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

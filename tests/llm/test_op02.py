@@ -68,3 +68,10 @@ def test_expansion_against_sorting():
         assert cut == sorted(cut, key=lambda b: list(np.frombuffer(b, "u2"))) or length > 567
         whole = [cut[i] == cut[i - 1] and len(cut[i]) == 2 * length for i in range(1, len(cut))]
         assert whole == shared[1:].tolist()
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "ab" * 60, 5, "s", 6, "k"), (2, None, 5, "s", 6, "k")], SCHEMA + ", _row long, spans string, N_BYTES long, kept string")
+    got = remove_repeats(docs, 20, keep_text=True)
+    assert got.columns == ["doc_id", "_row", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert sorted((r.doc_id, r._row, r.spans, r.n_bytes, r.n_removed) for r in got.collect()) == [(1, 5, "s", 120, 120), (2, 5, "s", 0, 0)]
