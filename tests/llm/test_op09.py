@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspar.llm import op09_mixing
 from larkspar.llm.op09_mixing import mix, mixture
@@ -73,6 +74,19 @@ def test_permutations_depend_on_the_seed_only(spark):
     assert pick(1) == pick(1) != pick(2)
 
 
+def test_places_are_block_permutations(spark, monkeypatch):
+    monkeypatch.setattr(op09_mixing, "BLOCK_ROWS", 7)
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    got = mixture(docs, target_entropy=1.6, budget=3_000, places=True).collect()
+    assert len({(r.source, r.place) for r in got}) == len(got)
+    for s in {r.source for r in got}:
+        of = sorted((r for r in got if r.source == s), key=lambda r: r.place)
+        passes = [r.place["pass"] for r in of]
+        blocks = [(r.place["pass"], r.place.block.block) for r in of]
+        # Passes follow each other, and the rows of a block stand together.
+        assert passes == sorted(passes) and len(set(blocks)) == 1 + sum(a != b for a, b in zip(blocks, blocks[1:], strict=False))
+
+
 def test_empty_and_wordless_tables_and_columns(spark):
     assert mix(spark.createDataFrame([], SCHEMA), max_repetition=2.0).count() == 0
     bare = spark.createDataFrame([(1, None, "a", "c"), (2, " ", "b", "c")], SCHEMA)
@@ -80,5 +94,7 @@ def test_empty_and_wordless_tables_and_columns(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
     out = mixture(docs, max_repetition=2.0)
     assert out.columns == docs.columns and len(rows()) < out.count() <= 2 * len(rows())
+    clash = docs.withColumns({"_row": F.lit(1), "n_tokens": F.lit("x"), "place": F.lit("y"), "weight": F.lit(0)})
+    assert mixture(clash, max_repetition=2.0).columns == clash.columns and mixture(clash, max_repetition=2.0).select("_row", "n_tokens", "place").first() == (1, "x", "y")
     with pytest.raises(ValueError, match="either"):
         mix(docs)
