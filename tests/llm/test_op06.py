@@ -57,7 +57,7 @@ def test_matches_comparing_all_pairs(spark, k, percent):
 
 
 def test_blocks_of_hot_shingles_and_clusters(spark, monkeypatch):
-    for name, value in (("FREQUENT", 5), ("BUCKET_BLOCK", 7), ("PAIRS_AT_ONCE", 10), ("CLUSTER_BLOCK", 600), ("COLUMNS", 16)):
+    for name, value in (("FREQUENT", 5), ("BUCKET_BLOCK", 7), ("PAIRS_AT_ONCE", 10), ("CLUSTER_BLOCK", 60), ("CLUSTER_ROWS", 9), ("COLUMNS", 16), ("DENSE", 3)):
         monkeypatch.setattr(op06_jaccard, name, value)
     rows = corpus(9)
     got = jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90)
@@ -66,13 +66,16 @@ def test_blocks_of_hot_shingles_and_clusters(spark, monkeypatch):
 
 def test_empty_table_and_one_of_each(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
-    rows = [(3, "a b c d", "x"), (1, "A b c d", "y"), (2, None, "z"), (4, None, "w"), (1, "a b c d", "v")]
-    got = one_of_each(spark.createDataFrame(rows, SCHEMA + ", component string"), 3, 90)
+    rows = [(3, "a b c d", "x", 0), (1, "A b c d", "y", 0), (2, None, "z", 0), (4, None, "w", 0), (1, "a b c d", "v", 0)]
+    got = one_of_each(spark.createDataFrame(rows, SCHEMA + ", component string, _ROW int"), 3, 90)
+    assert got.columns == ["doc_id", "text", "component", "_ROW"]
     assert sorted((r.doc_id, r.component) for r in got.collect())[1:] == [(2, "z"), (4, "w")]
     assert got.count() == 3
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_a_long_path(spark, monkeypatch, few):
+    monkeypatch.setattr("larkspar.operators.components.FEW_EDGES", few)
     r = random.Random(1)
     names = r.sample(range(1000), 60)
     edges = [(a, b) for a, b in zip(names[:40], names[1:40], strict=False)] + [(names[50], names[51]), (5000, 5000)]

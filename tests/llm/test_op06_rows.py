@@ -6,10 +6,10 @@ from larkspar.llm import op06_jaccard
 def test_short_near_copies_meet_in_blocks_of_few_rows(spark, monkeypatch):
     whole = op06_jaccard.overlaps
 
-    def bounded(values, at, percent):
+    def bounded(values, at, needed, alive):
         if len(at) - 1 > 3_000:
             raise MemoryError(f"{len(at) - 1} rows in one product")
-        return whole(values, at, percent)
+        return whole(values, at, needed, alive)
 
     monkeypatch.setattr(op06_jaccard, "overlaps", bounded)
     n = 6_000
