@@ -4,15 +4,15 @@
    once in the corpus are unique and go no further.
 2. Recurring passages are confirmed: windows are counted by 128 bits of their words, within the group of
    their anchor, or - where an anchor stands in very many different contents - by an aggregation over all
-   tasks.
-3. The first and the last window of each run of repeated windows become patterns: a run within one
-   segment is shorter than a window, so they cover all of it.  The patterns of a shard are compiled into
-   one automaton, with a character per word, and the shard's passages are streamed through it.  A crowded
-   anchor's passages are spread over several shards, each of which holds the anchor's patterns.
-4. What the automata locate goes back to all occurrences, and the texts lose the words it covers.
+   tasks.  Each run of recurring windows of a content is one passage; equal contents are brought together before.
+3. Documents are dealt in shards of bounded size, and to each shard go the passages of contents that its documents have:
+   they cover all that recurs there.  A shard's passages are compiled into automata, with a character per
+   word, and all its documents are streamed, whole, through them.
+4. The words that the automata locate are removed.
 
 Words are runs of bytes that are not ASCII white space, unchanged.  Null has none.  Windows never
-cross texts, but may recur within one.  Repeated rows and ids are texts of their own.
+cross texts, but may recur within one.  Repeated rows and ids are texts of their own.  An empty table has an
+empty result.  Other columns are carried through; those that are named as a result's are replaced.
 """
 
 from __future__ import annotations
@@ -25,16 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspar.llm.anchors import Grain, Segments, crowded, digests, recurring, runs, segments
-from larkspar.llm.common import BASES, blocks, flat, prefix_hash, range_hash, ranges, small_batches, stored, table, with_row_key, word_spans
+from larkspar.llm.common import BASES, Scratch, blocks, flat, fresh, others, prefix_hash, range_hash, ranges, small_batches, stored, table, with_row_key, word_spans
 
 LENGTH, GRAM = 35, 8
 BLOCK_BYTES = 1_000_000
-#: Contents that are compiled and streamed at once; an anchor with more different ones is counted over all tasks.
+#: Contents whose windows are counted at once; an anchor with more different ones is counted over all tasks.
 BATCH_CONTENTS, GROUP_CONTENTS = 2_000, 1_000
-#: Files of the operator's own tables.
-FILES_PER_CORE = 4
+#: Bytes of the documents of a shard, about, and passages of one automaton: some 50 MB each.
+SHARD_BYTES, AUTOMATON = 1_000_000, 8_000
 #: Words become characters from here on: above the code points that may not stand alone.
 FIRST_CHARACTER = 0xE000
 
@@ -52,15 +53,19 @@ def find_segments(docs: DataFrame, grain: Grain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, at in blocks(batches, BLOCK_BYTES):
             start, end, word_at = word_spans(raw, at)
-            s: Segments = segments(range_hash(prefix_hash(raw.astype(np.uint64) + np.uint64(1)), start, end), word_at, grain)
+            s: Segments = segments(range_hash(prefix_hash(raw.astype(np.uint64) + np.uint64(1)), start, end), word_at, grain, by_key=True)
             row = batch.column("_row").to_numpy()[s.row]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(s.key), *(pa.array(x.astype(np.int32)) for x in (s.anchor, s.first, s.last))], ["_row", "key", "anchor", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(s.key), *(pa.array(x.astype(np.int32)) for x in (s.first, s.last, s.places))], ["_row", "key", "first", "last", "places"])
 
-    return docs.mapInArrow(run, "_row long, key long, anchor int, first int, last int")
+    return docs.mapInArrow(run, "_row long, key long, first int, last int, places int")
 
 
 def cut_contents(candidates: DataFrame, grain: Grain) -> DataFrame:
-    """The occurrences of segments of candidates; the first of a content in a block holds its words, joined by a space."""
+    """Contents of the segments of candidates (shard, text, segments), each once for a shard's texts of a block.
+
+    shard, key, d1, d2, windows; and in one of a content's rows content (its words, joined by a space) and n (how often it
+    stands in the block).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, at in blocks(batches, BLOCK_BYTES):
@@ -68,21 +73,24 @@ def cut_contents(candidates: DataFrame, grain: Grain) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             item = lists.flatten()
             key, first, last = (item.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("key", "first", "last"))
+            shard = batch.column("shard").to_numpy()[row]
             start, end, word_at, hashes = words_of(raw, at)
             begin, stop = word_at[row] + first, word_at[row] + last + grain.span
             d1, d2 = digests(tuple(prefix_hash(h, b) for h, b in zip(hashes, BASES, strict=True)), begin, stop)
-            order = np.lexsort((d2, d1, key))
-            head = np.ones(len(order), bool)
-            head[1:] = (np.diff(key[order]) != 0) | (np.diff(d1[order]) != 0) | (np.diff(d2[order]) != 0)
-            heads = np.flatnonzero(head)
-            holder = np.zeros(len(key), np.int64)
-            holder[order[heads]] = np.diff(np.r_[heads, len(order)])
+            order = np.lexsort((shard, d2, d1, key))
+            other = np.ones(len(order), bool)
+            other[1:] = (np.diff(key[order]) != 0) | (np.diff(d1[order]) != 0) | (np.diff(d2[order]) != 0)
+            heads = np.flatnonzero(other)
+            n = np.zeros(len(order), np.int64)
+            n[heads] = np.diff(np.r_[heads, len(order)])
+            other[1:] |= np.diff(shard[order]) != 0
+            one, n = order[other], n[other]
             data = raw.tobytes()
-            texts = [" ".join([str(data[a:b], "utf-8") for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)]) if n else None for i, j, n in zip(begin.tolist(), stop.tolist(), holder.tolist(), strict=True)]
-            columns = [batch.column("_row").to_numpy()[row], first.astype(np.int32), key, d1, d2, (last - first + 1).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.string()), pa.array(holder)], ["_row", "first", "key", "d1", "d2", "windows", "content", "n"])
+            texts = [" ".join([str(data[a:b], "utf-8") for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)]) if k else None for i, j, k in zip(begin[one].tolist(), stop[one].tolist(), n.tolist(), strict=True)]
+            columns = [shard[one], key[one], d1[one], d2[one], (last - first + 1)[one].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.string()), pa.array(n)], ["shard", "key", "d1", "d2", "windows", "content", "n"])
 
-    return candidates.mapInArrow(run, "_row long, first int, key long, d1 long, d2 long, windows int, content string, n long")
+    return candidates.mapInArrow(run, "shard int, key long, d1 long, d2 long, windows int, content string, n long")
 
 
 def window_digests(batch_content: pa.Array, windows: np.ndarray, grain: Grain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,33 +123,44 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
 
 
 def confirmed(contents: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
-    """contents, each once, with ``repeats``: a list of flags, whether each window recurs in the corpus."""
-    once = "key long, d1 long, d2 long, windows int, content string, repeats array<boolean>"
-
-    def flags_of(t: pa.Table) -> pa.RecordBatch:
-        key, d1, d2, n = (t.column(c).to_numpy() for c in ("key", "d1", "d2", "n"))
-        head = np.ones(len(key), bool)
-        head[1:] = (key[1:] != key[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
-        heads = np.flatnonzero(head)
-        n = np.add.reduceat(n, heads)
-        t = t.take(pa.array(heads))
+    """The recurring passages (key, d1, d2, passage) of contents (key, d1, d2, windows, content, n; each once).
+
+    hot: keys with so many contents that their windows are counted over all tasks.
+    """
+    passage = "key long, d1 long, d2 long, passage string"
+
+    def passages(t: pa.Table | pa.RecordBatch, again: np.ndarray) -> pa.RecordBatch:
+        """Runs of the windows ``again``, as words, of each content; a run does not go on in the next content."""
         windows = t.column("windows").to_numpy().astype(np.int64)
-        owner, w1, w2 = window_digests(t.column("content"), windows, grain)
-        order = np.lexsort((w2, w1))
-        same = np.zeros(len(order), bool)
-        same[1:] = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-        both = same.copy()
-        both[:-1] |= same[1:]
-        again = np.zeros(len(order), bool)
-        again[order] = both
-        again |= n[owner] > 1
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(windows)].astype(np.int32)), pa.array(again))
-        return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("key", "d1", "d2", "windows", "content")), lists], ["key", "d1", "d2", "windows", "content", "repeats"])
+        at = np.r_[0, np.cumsum(windows)]
+        edge = np.diff(np.r_[0, again.astype(np.int8), 0])
+        heads = at[:-1][at[:-1] < len(again)]
+        begins = np.union1d(np.flatnonzero(edge == 1), heads[again[heads]])
+        inner = at[1:-1]
+        ends = np.union1d(np.flatnonzero(edge == -1), inner[again[inner - 1]])
+        owner = np.searchsorted(at, begins, "right") - 1
+        texts = []
+        content = t.column("content").to_pylist()
+        words, last = [], -1
+        for o, i, j in zip(owner.tolist(), (begins - at[owner]).tolist(), (ends - at[owner]).tolist(), strict=True):
+            if o != last:
+                words, last = content[o].split(" "), o
+            texts.append(" ".join(words[i : j - 1 + grain.span]))
+        return pa.RecordBatch.from_arrays([*(pa.array(t.column(c).to_numpy()[owner]) for c in ("key", "d1", "d2")), pa.array(texts, pa.string())], ["key", "d1", "d2", "passage"])
 
     def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, BATCH_CONTENTS):
             if len(t):
-                yield flags_of(t)
+                windows = t.column("windows").to_numpy().astype(np.int64)
+                owner, w1, w2 = window_digests(t.column("content"), windows, grain)
+                order = np.lexsort((w2, w1))
+                same = np.zeros(len(order), bool)
+                same[1:] = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
+                both = same.copy()
+                both[:-1] |= same[1:]
+                again = np.zeros(len(order), bool)
+                again[order] = both
+                yield passages(t, again | (t.column("n").to_numpy()[owner] > 1))
 
     def all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,127 +170,87 @@ def confirmed(contents: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
             columns = [batch.column(c).to_numpy()[owner] for c in ("key", "d1", "d2", "n")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(place.astype(np.int32)), pa.array(w1), pa.array(w2)], ["key", "d1", "d2", "n", "place", "w1", "w2"])
 
-    calm = contents.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(in_groups, once)
-    dense = contents.join(hot.select("key"), "key").groupBy("key", "d1", "d2").agg(F.max("windows").alias("windows"), F.max("content").alias("content"), F.sum("n").alias("n"))
+    def by_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("places")
+            at = np.cumsum(np.r_[0, batch.column("windows").to_numpy()])
+            again = np.zeros(int(at[-1]), bool)
+            again[np.repeat(at[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()] = True
+            yield passages(batch, again)
+
+    calm = contents.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(in_groups, passage)
+    dense = contents.join(F.broadcast(hot.select("key")), "key")  # a hot key has GROUP_CONTENTS contents
     each = dense.mapInArrow(all_windows, "key long, d1 long, d2 long, n long, place int, w1 long, w2 long")
     often = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
     places = each.join(often, ["w1", "w2"]).groupBy("key", "d1", "d2").agg(F.collect_set("place").alias("places"))
-    flags = F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.array_contains("places", i))
-    return calm.unionByName(dense.join(places, ["key", "d1", "d2"]).select("key", "d1", "d2", "windows", "content", flags.alias("repeats")))
+    found = dense.join(places, ["key", "d1", "d2"]).select("key", "d1", "d2", "windows", "content", "places").mapInArrow(by_places, passage)
+    return calm.unionByName(found)
 
 
-def patterns(passages: DataFrame, grain: Grain) -> DataFrame:
-    """The first and last window of each run of repeated windows: key, content."""
+class Automata:
+    """The automata of a shard's passages."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = [], []
-            for key, content, flags in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
-                words = content.split(" ")
-                for a, b in zip(*runs(np.array(flags)), strict=True):
-                    for i in {int(a), int(b) - 1}:
-                        keys.append(key)
-                        texts.append(" ".join(words[i : i + grain.span]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["key", "content"])
-
-    return passages.select("key", "content", "repeats").mapInArrow(run, "key long, content string").distinct()
+    def __init__(self) -> None:
+        self.shard, self.waiting, self.made = None, [], []
 
+    def begin(self, shard: int) -> None:
+        self.shard, self.waiting, self.made = shard, [], []
 
-def located(passages: DataFrame, found: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
-    """Streams passages through the automata of their shards: key, d1, d2, begin, end of covered words."""
+    def add(self, passage: str) -> None:
+        self.waiting.append(passage)
+        if len(self.waiting) == AUTOMATON:
+            self.compile()
 
-    def match(pattern_texts: list[str], rows: list[tuple]) -> Iterator[tuple]:
+    def compile(self) -> None:
         known: dict[str, str] = {}
-
-        def spelled(text: str, new: bool) -> str:
-            if new:
-                for w in text.split(" "):
-                    if w not in known:
-                        known[w] = chr(FIRST_CHARACTER + 1 + len(known))
-            return "".join([known.get(w, chr(FIRST_CHARACTER)) for w in text.split(" ")])
-
         automaton = ahocorasick.Automaton()
-        for text in pattern_texts:
-            s = spelled(text, True)
-            automaton.add_word(s, len(s))
-        automaton.make_automaton()
-        for key, d1, d2, text in rows:
-            begin = end = -1
-            for last, size in automaton.iter(spelled(text, False)) if pattern_texts else ():
-                if last + 1 - size <= end:
-                    end = last + 1
-                else:
-                    if end > 0:
-                        yield key, d1, d2, begin, end
-                    begin, end = last + 1 - size, last + 1
-            if end > 0:
-                yield key, d1, d2, begin, end
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], ["key", "d1", "d2", "begin", "end"])
-
-        wanted, rows = [], []
-        key = None
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "content", "pattern")), strict=True):
-                # A new shard may begin where the key changes, or its patterns are complete and enough passages wait.
-                if len(rows) >= BATCH_CONTENTS:
-                    yield out(list(match(wanted, rows)))
-                    rows = []
-                    if r[0] != key:
-                        wanted = []
-                key = r[0]
-                if r[4]:
-                    wanted.append(r[3])
-                else:
-                    rows.append(r[:4])
-        if rows:
-            yield out(list(match(wanted, rows)))
-
-    crowd = hot.select("key", F.ceil(F.col("total") / BATCH_CONTENTS).cast("int").alias("shards"))
-    shards = F.coalesce("shards", F.lit(1))
-    nothing = F.lit(None).cast("long")
-    dealt_patterns = found.join(crowd, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), shards - 1)))
-    dealt_patterns = dealt_patterns.select("key", "salt", nothing.alias("d1"), nothing.alias("d2"), "content", F.lit(True).alias("pattern"))
-    dealt_passages = passages.filter(F.exists("repeats", lambda x: x)).join(crowd, "key", "left")
-    dealt_passages = dealt_passages.select("key", F.pmod("d1", shards).cast("int").alias("salt"), "d1", "d2", "content", F.lit(False).alias("pattern"))
-    dealt = dealt_patterns.unionByName(dealt_passages).repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("pattern"), "d1", "d2")
-    return dealt.mapInArrow(run, "key long, d1 long, d2 long, begin int, end int")
-
-
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """docs: _row, text. For each _row with repeats the list ``spans`` of covered (begin, end) words, which may overlap."""
-    grain = Grain(length, min(GRAM, 1 << (length // 2).bit_length() - 1))
-    found = stored(find_segments(docs, grain), "segments", FILES_PER_CORE)
-    occurrences = stored(cut_contents(docs.join(recurring(found), "_row"), grain), "occurrences", FILES_PER_CORE)
-    contents = occurrences.filter("content IS NOT NULL").select("key", "d1", "d2", "windows", "content", "n")
-    hot = stored(crowded(contents, F.lit(1), GROUP_CONTENTS), "crowded", FILES_PER_CORE)
-    passages = stored(confirmed(contents, hot, grain), "passages", FILES_PER_CORE)
-    spans = located(passages, patterns(passages, grain), hot, grain)
-    places = occurrences.select("_row", "first", "key", "d1", "d2").join(spans, ["key", "d1", "d2"])
-    places = places.select("_row", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
-    return places.groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-
-
-def without_spans(docs: DataFrame, spans: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Per row of docs: its other columns, n_words, n_removed, kept_sha256, and on request the kept words joined by a space."""
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "_row")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_words long, n_removed long, kept_sha256 string"]) + ", kept string" * keep_text
+        for passage in self.waiting:
+            for w in (words := passage.split(" ")):
+                if w not in known:
+                    known[w] = chr(FIRST_CHARACTER + 1 + len(known))
+            automaton.add_word("".join([known[w] for w in words]), len(words))
+        if self.waiting:
+            automaton.make_automaton()
+            self.made.append((known, automaton))
+        self.waiting = []
+
+    def located(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Begins and ends of all places of the passages."""
+        self.compile()
+        other = chr(FIRST_CHARACTER)
+        for known, automaton in self.made:
+            for last, size in automaton.iter("".join([known.get(w, other) for w in words])):
+                yield last + 1 - size, last + 1
+
+
+def streamed(docs: DataFrame, passages: DataFrame, rest: list[T.StructField], keep_text: bool) -> DataFrame:
+    """docs (shard, text, row: a struct of other columns) through the automata of their shard's passages (shard, passage)."""
+    made = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
+    inner = docs.schema["row"]
+    schema = T.StructType([inner, *T.StructType.fromDDL(made).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = Automata()
         for batch, raw, at in blocks(batches, BLOCK_BYTES):
+            shards, passage = batch.column("shard").to_pylist(), batch.column("passage").to_pylist()
             start, end, word_at = word_spans(raw, at)
-            lists = batch.column("spans")
-            counts = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
-            item = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            begin, stop = (word_at[row] + item.field(f).to_numpy(zero_copy_only=False) for f in ("begin", "end"))
-            cover = np.zeros(len(start) + 1, np.int32)
-            np.add.at(cover, begin, 1)
-            np.add.at(cover, stop, -1)
-            stay = np.cumsum(cover[:-1]) == 0
+            gone = np.zeros(len(start) + 1, np.int32)
+            data = raw.tobytes()
+            for i, (shard, p) in enumerate(zip(shards, passage, strict=True)):
+                if shard != automata.shard:
+                    automata.begin(shard)
+                if p is not None:
+                    automata.add(p)
+                elif automata.made or automata.waiting:
+                    a, b = word_at[i], word_at[i + 1]
+                    words = [str(data[x:y], "utf-8") for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
+                    for x, y in automata.located(words):
+                        gone[a + x] += 1
+                        gone[a + y] -= 1
+            stay = np.cumsum(gone[:-1]) == 0
+            is_doc = np.flatnonzero([p is None for p in passage])
+            if not len(is_doc):
+                continue
             kept_at = np.r_[0, np.cumsum(stay)][word_at]
             a, b = start[stay], end[stay]
             # All kept words, each with a space behind it, in one go.
@@ -279,23 +258,48 @@ def without_spans(docs: DataFrame, spans: DataFrame, keep_text: bool = False) ->
             joined = np.append(raw, np.uint8(0x20))[ranges(a, sizes)]
             ends = np.cumsum(sizes)
             joined[ends - 1] = 0x20
-            cuts = np.r_[0, ends][kept_at].tolist()
-            data = memoryview(joined)
-            kept = [data[i : max(i, j - 1)] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            columns = [*(batch.column(f.name) for f in rest), pa.array(np.diff(word_at)), pa.array(np.diff(word_at) - np.diff(kept_at)), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            names = [*(f.name for f in rest), "n_words", "n_removed", "kept_sha256"]
+            cuts = np.r_[0, ends][kept_at]
+            view = memoryview(joined)
+            kept = [view[i : max(i, j - 1)] for i, j in zip(cuts[is_doc].tolist(), cuts[is_doc + 1].tolist(), strict=True)]
+            n_words, n_kept = np.diff(word_at)[is_doc], np.diff(kept_at)[is_doc]
+            columns = [batch.column("row").take(pa.array(is_doc)), pa.array(n_words), pa.array(n_words - n_kept), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            names = ["row", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
                 columns.append(pa.array([str(k, "utf-8") for k in kept], pa.string()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(spans, "_row", "left").drop("_row").mapInArrow(run, schema)
+    nothing = F.lit(None)
+    of_docs = docs.select("shard", "row", F.coalesce("text", F.lit("")).alias("text"), nothing.cast("string").alias("passage"))
+    of_passages = passages.select("shard", nothing.cast(inner.dataType).alias("row"), F.lit("").alias("text"), "passage")
+    dealt = of_passages.unionByName(of_docs).repartition("shard").sortWithinPartitions("shard", F.col("passage").isNull())
+    out = dealt.mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(f.name).alias(f.name) for f in rest], *[c for c in out.columns if c != "row"])
 
 
 def remove_phrases(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """docs without text, with what the removal of repeated windows of ``length`` words leaves of it."""
-    keyed = with_row_key(small_batches(docs))
-    return without_spans(keyed, repeated_spans(keyed.select("_row", "text"), length), keep_text)
+    """docs without text, with what the removal of repeated windows of ``length`` words leaves of it.
+
+    Adds n_words, n_removed, kept_sha256, and on request kept: the kept words joined by a space.
+    """
+    grain = Grain(length, min(GRAM, 1 << (length // 2).bit_length() - 1))
+    rest = others(docs, "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text)
+    key = fresh(docs, "_key")
+    rows = with_row_key(small_batches(docs).select(F.struct(F.lit(0).alias(key), *[F.col(f"`{f.name}`") for f in rest]).alias("row"), "text"), "_row")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(size // SHARD_BYTES + 1)).cast("int"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.stored(find_segments(rows.select("_row", "text"), grain), "segments")
+        again = recurring(found, "_row", "first", "last").groupBy("_row").agg(F.collect_list(F.struct("key", "first", "last")).alias("segments"))  # bounded by the row's own text
+        cut = scratch.stored(cut_contents(rows.select("_row", "shard", "text").join(again, "_row"), grain), "cut")
+        scratch.drop(found)
+        contents = cut.filter("content IS NOT NULL").groupBy("key", "d1", "d2").agg(F.max("windows").alias("windows"), F.first("content").alias("content"), F.sum("n").alias("n"))
+        contents = scratch.stored(contents, "contents")
+        hot = scratch.stored(crowded(contents, F.lit(1), GROUP_CONTENTS), "hot")
+        passages = scratch.stored(confirmed(contents, hot, grain), "passages")
+        scratch.drop(contents)
+        routed = stored(cut.select("shard", "key", "d1", "d2").distinct().join(passages, ["key", "d1", "d2"]).select("shard", "passage").distinct(), "routed")
+    return streamed(rows, routed, rest, keep_text)
 
 
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

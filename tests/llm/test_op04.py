@@ -50,3 +50,31 @@ def test_empty_table_and_clashing_columns(spark):
     assert remove_phrases(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = spark.createDataFrame([(1, "a " * 90, "x", 2)], SCHEMA + ", key string, n long")
     assert remove_phrases(docs, keep_text=True).select("key", "n", "n_removed", "kept").first() == ("x", 2, 90, "")
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a " * 90, 5, "s", 6, "k", "r"), (2, None, 5, "s", 6, "k", "r")], SCHEMA + ", _row long, spans string, N_WORDS long, kept string, `row` string")
+    got = remove_phrases(docs, keep_text=True)
+    assert got.columns == ["doc_id", "_row", "spans", "row", "n_words", "n_removed", "kept_sha256", "kept"]
+    assert sorted((r.doc_id, r._row, r.spans, r.row, r.n_words, r.n_removed) for r in got.collect()) == [(1, 5, "s", "r", 90, 90), (2, 5, "s", "r", 0, 0)]
+
+
+def test_shards_of_few_bytes(spark, monkeypatch):
+    texts = corpus(5, 60)
+    monkeypatch.setattr(op04_phrases, "SHARD_BYTES", 400)
+    got = remove_phrases(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 12).collect()
+    assert Counter(tuple(r)[1:] for r in got) == Counter(by_hand(texts, 12))
+
+
+def test_automata_of_few_passages_find_every_place(monkeypatch):
+    monkeypatch.setattr(op04_phrases, "AUTOMATON", 2)
+    r = random.Random(6)
+    some = lambda k: [r.choice("abc") for _ in range(k)]
+    passages, words = [some(r.randint(1, 4)) for _ in range(7)], some(200)
+    automata = op04_phrases.Automata()
+    automata.begin(0)
+    for p in passages:
+        automata.add(" ".join(p))
+    assert len(automata.made) == 3
+    want = {(i, i + len(p)) for p in passages for i in range(len(words)) if words[i : i + len(p)] == p}
+    assert set(automata.located(words)) == want and not list(automata.located(["x", "y"]))
