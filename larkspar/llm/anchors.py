@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import BASES, mixed, powers
+from larkspar.llm.common import BASES, mixed, range_hash
 
 
 @dataclass(frozen=True)
@@ -32,11 +32,15 @@ class Grain:
         return self.span - self.gram + 1
 
 
+#: An odd multiplier; grams with equal hashes meet in vain, nothing else depends on it.
+SPREAD = 0x9E3779B97F4A7C15
+
+
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
     """A hash of the gram that begins at each symbol (the last gram - 1 are missing), by doubling."""
-    h, n = symbols.astype(np.uint64), 1
+    h, n = symbols.astype(np.uint64) + np.uint64(1), 1
     while n < gram:
-        h = h[:-n] * np.uint64(pow(BASES[0], n, 1 << 64)) + h[n:]
+        h = h[:-n] * np.uint64(pow(SPREAD, n, 1 << 64)) + h[n:]
         n *= 2
     return mixed(h)
 
@@ -50,6 +54,10 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return values if n == width else np.minimum(values[: len(values) - (width - n)], values[width - n :])
 
 
+#: Windows whose anchors are searched at once: beside its rows, a long text takes some 15 bytes a symbol.
+WINDOWS = 1 << 18
+
+
 @dataclass
 class Segments:
     """row: number of the row; anchor, first, last: symbols from the row's start; key: the anchor's hash; places: where anchors stand."""
@@ -67,35 +75,41 @@ def segments(symbols: np.ndarray, at: np.ndarray, grain: Grain, by_key: bool = F
 
     In a text that repeats a few symbols each window may have an anchor of its own, but all of these are equal.
     """
+    n = len(symbols) - grain.span + 1
     none = np.zeros(0, np.int64)
-    if len(symbols) < grain.span:
+    if n <= 0:
         return Segments(none, none, none, none, none, none)
-    hashes = gram_hashes(symbols, grain.gram)
-    place = np.arange(len(hashes), dtype=np.uint64)
-    minima = window_minima((hashes & np.uint64(0xFFFFFFFF00000000)) | place, grain.choices)
-    sizes = np.diff(at)
-    row = np.repeat(np.arange(len(sizes)), sizes)[: len(minima)]
-    start = np.arange(len(minima))
-    fits = start + grain.span <= at[row + 1]
-    start, row = start[fits], row[fits]
-    if not len(start):
+    anchor, key = np.empty(n, np.int32), np.empty(n, np.int64)  # of the window that begins at each symbol
+    for first in range(0, n, WINDOWS):
+        some = min(WINDOWS, n - first)
+        hashes = gram_hashes(symbols[first : first + some + grain.span - 1], grain.gram)
+        minima = window_minima((hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64), grain.choices)
+        place = (minima & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        anchor[first : first + some] = place + first
+        key[first : first + some] = hashes[place].view(np.int64)
+    # Where a window begins that fits into no row, or a row begins, a run of windows ends.
+    fits = np.ones(n, bool)
+    for i, j in zip(at[1:-1].tolist(), np.maximum(at[:-2], at[1:-1] - grain.span + 1).tolist(), strict=True):
+        fits[j : min(i, n)] = False
+    other = np.ones(n, bool)
+    named = key if by_key else anchor
+    other[1:] = named[1:] != named[:-1]
+    other[at[:-1][at[:-1] < n]] = True
+    other[1:] |= ~fits[:-1]
+    heads = np.flatnonzero(other & fits)
+    if not len(heads):
         return Segments(none, none, none, none, none, none)
-    anchor = (minima[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    named = hashes[anchor] if by_key else anchor
-    heads = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]) | (row[1:] != row[:-1])])
-    tails = np.r_[heads[1:], len(start)] - 1
-    base = at[row[heads]]
-    moved = np.r_[0, np.cumsum(anchor[1:] != anchor[:-1])]
-    return Segments(row[heads], hashes[anchor[heads]].view(np.int64), anchor[heads] - base, start[heads] - base, start[tails] - base, moved[tails] - moved[heads] + 1)
-
-
-def digests(prefixes: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for symbols[start:end]; prefixes: of both hashes (see prefix_hash)."""
-    out = []
-    for base, prefix in zip(BASES, prefixes, strict=True):
-        inverse = powers(pow(base, -1, 1 << 64), len(prefix))
-        out.append((mixed((prefix[ends] - prefix[starts]) * inverse[starts]) + (ends - starts).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+    ends = np.flatnonzero(np.r_[other[1:] | ~fits[1:], True] & fits)
+    row = np.searchsorted(at, heads, "right") - 1
+    moved = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]], dtype=np.int32)
+    base = at[row]
+    return Segments(row, key[heads], anchor[heads] - base, heads - base, ends - base, (moved[ends] - moved[heads] + 1).astype(np.int64))
+
+
+def digests(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """122 bits that stand for symbols[start:end]: hashes with both bases, of ``second`` with the other one where symbols are hashes."""
+    of = (symbols, symbols if second is None else second)
+    return tuple(mixed(range_hash(x, starts, ends, base) + (ends - starts).astype(np.uint64)).view(np.int64) for x, base in zip(of, BASES, strict=True))
 
 
 #: A key in more than one of so many rows is hot; there are no more hot keys than that.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,33 +112,82 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
+#: The Mersenne prime that hashes of ranges are taken modulo, and their two bases: drawn once by ``secrets.randbelow``, and kept so that
+#: runs repeat.  Modulo a prime, two different ranges of n symbols are equal for n of its bases at most, whatever the symbols
+#: are; modulo a power of two all odd bases fail on the same (Thue-Morse) words.
+PRIME = (1 << 61) - 1
+BASES = (1000209743312065607, 54303900931196429)
+#: Symbols that are summed at once: what a hash takes beside its places does not grow with the text.
+STRIP = 1 << 16
+
+_P, _LOW = np.uint64(PRIME), np.uint64((1 << 31) - 1)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo PRIME, of numbers up to PRIME."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW, b >> np.uint64(31), b & _LOW
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+@cache
+def power_table(base: int, n: int = STRIP) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo PRIME, by doubling."""
+    out = np.ones(n, np.uint64)
     done = 1
     while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
         more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
+        out[done : done + more] = times(out[:more], np.uint64(pow(base, done, PRIME)))
         done += more
-    return out[:n]
-
-
-#: Odd multipliers of the two polynomial hashes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    return out
 
 
-def prefix_hash(values: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """H with H[j] - H[i] = sum of values[m] * base ** m for i <= m < j, modulo 2 ** 64."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
+def prefix_sums(symbols: np.ndarray, places: np.ndarray, base: int) -> np.ndarray:
+    """The sum of symbols[m] * base ** m for m < place, modulo PRIME, at ascending places; symbols: bytes, or numbers below PRIME."""
+    out = np.zeros(len(places), np.uint64)
+    table, before = power_table(base), 0
+    cuts = np.searchsorted(places, np.arange(0, len(symbols) + STRIP, STRIP))
+    strip_sum = np.zeros(STRIP + 1, np.uint64), np.zeros(STRIP + 1, np.uint64)
+    for k, first in enumerate(range(0, len(symbols), STRIP)):
+        part = symbols[first : first + STRIP]
+        if symbols.dtype == np.uint8:  # sums of products with halves of the powers stay below 2 ** 64
+            v, power = part.astype(np.uint64) + np.uint64(1), table[: len(part)]
+            low, high = v * (power & _LOW), v * (power >> np.uint64(31))
+        else:
+            v = times(part, table[: len(part)])
+            low, high = v & _LOW, v >> np.uint64(31)
+        np.cumsum(low, out=strip_sum[0][1 : len(part) + 1])
+        np.cumsum(high, out=strip_sum[1][1 : len(part) + 1])
+        last = first + STRIP >= len(symbols)
+        mine = slice(cuts[k], len(places) if last else cuts[k + 1])
+        at = np.append(places[mine] - first, len(part))
+        scale = np.uint64(pow(base, first, PRIME))
+        sums = reduced(times(reduced(reduced(strip_sum[0][at]) + times(reduced(strip_sum[1][at]), np.uint64(1 << 31))), scale) + np.uint64(before))
+        out[mine], before = sums[:-1], int(sums[-1])
     return out
 
 
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """Hashes of values[start:end] that do not depend on where the range stands."""
-    inverse = pow(base, -1, 1 << 64)
-    return mixed((prefix[ends] - prefix[starts]) * powers(inverse, len(prefix))[starts])
+def range_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """Hashes (below PRIME) of symbols[start:end] that do not depend on where the range stands; symbols: bytes, or such hashes."""
+    if np.all(starts[1:] >= ends[:-1]) and np.all(starts <= ends):
+        sums = prefix_sums(symbols, np.column_stack((starts, ends)).ravel(), base).reshape(-1, 2)
+        begin, end = sums[:, 0], sums[:, 1]
+    elif 2 * len(starts) > len(symbols):
+        sums = prefix_sums(symbols, np.arange(len(symbols) + 1), base)
+        begin, end = sums[starts], sums[ends]
+    else:
+        places, where = np.unique(np.concatenate((starts, ends)), return_inverse=True)
+        begin, end = np.split(prefix_sums(symbols, places, base)[where], [len(starts)])
+    inverse = pow(base, -1, PRIME)
+    far = np.arange(0, len(symbols) + 1, STRIP)
+    back = times(power_table(inverse)[starts % STRIP], np.array([pow(inverse, int(f), PRIME) for f in far], np.uint64)[starts // STRIP])
+    return times(reduced(end + (_P - begin)), back)
 
 
 def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

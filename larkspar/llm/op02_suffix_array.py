@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspar.llm.anchors import Grain, crowded, digests, recurring, runs, segments
-from larkspar.llm.common import BASES, Scratch, blocks, fresh, others, prefix_hash, ranges, small_batches, stored, table, with_row_key
+from larkspar.llm.common import Scratch, blocks, fresh, others, ranges, small_batches, stored, table, with_row_key
 
 LENGTH, GRAM = 400, 32
 BLOCK_BYTES = 1_500_000
@@ -159,7 +159,7 @@ def find_segments(docs: DataFrame, grain: Grain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, at in blocks(batches, BLOCK_BYTES):
-            s = segments(raw.astype(np.uint64) + np.uint64(1), at, grain)
+            s = segments(raw, at, grain)
             row = batch.column("_row").to_numpy()[s.row]
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(s.key), *(pa.array(x.astype(np.int32)) for x in (s.anchor, s.first, s.last))], ["_row", "key", "anchor", "first", "last"])
 
@@ -177,8 +177,7 @@ def cut_contents(candidates: DataFrame, grain: Grain) -> DataFrame:
             key, anchor, first, last = (item.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("key", "anchor", "first", "last"))
             row = np.repeat(np.arange(batch.num_rows), counts)
             start, end = at[row] + first, at[row] + last + grain.span
-            codes = raw.astype(np.uint64) + np.uint64(1)
-            d1, d2 = digests(tuple(prefix_hash(codes, b) for b in BASES), start, end)
+            d1, d2 = digests(raw, start, end)
             yield occurrence_batch(key, d1, d2, batch.column("_row").to_numpy()[row], first, last, anchor - first, [(raw, start, end)])
 
     return candidates.mapInArrow(run, "_row long, first int, " + CONTENT)

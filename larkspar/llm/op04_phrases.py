@@ -2,9 +2,9 @@
 
 1. Every window of ``length`` words gets its anchor (see anchors.py); windows whose anchor hash occurs
    once in the corpus are unique and go no further.
-2. Recurring passages are confirmed: windows are counted by 128 bits of their words, within the group of
-   their anchor, or - where an anchor stands in very many different contents - by an aggregation over all
-   tasks.  Each run of recurring windows of a content is one passage; equal contents are brought together before.
+2. Recurring passages are confirmed: windows are compared word by word within the group of their anchor, or
+   - where an anchor stands in very many different contents - counted by a BLAKE2 digest of their words, by an
+   aggregation over all tasks.  Each run of recurring windows of a content is one passage; equal contents are brought together before.
 3. Documents are dealt in shards of bounded size, and to each shard go the passages of contents that its documents have:
    they cover all that recurs there.  A shard's passages are compiled into automata, with a character per
    word, and all its documents are streamed, whole, through them.
@@ -18,7 +18,7 @@ empty result.  Other columns are carried through; those that are named as a resu
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,14 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspar.llm.anchors import Grain, Segments, crowded, digests, recurring, runs, segments
-from larkspar.llm.common import BASES, Scratch, blocks, flat, fresh, others, prefix_hash, range_hash, ranges, small_batches, stored, table, with_row_key, word_spans
+from larkspar.llm.common import BASES, Scratch, blocks, flat, fresh, others, range_hash, ranges, small_batches, stored, table, with_row_key, word_spans
 
 LENGTH, GRAM = 35, 8
 BLOCK_BYTES = 1_000_000
 #: Contents whose windows are counted at once; an anchor with more different ones is counted over all tasks.
 BATCH_CONTENTS, GROUP_CONTENTS = 2_000, 1_000
-#: Bytes of the documents of a shard, about, and passages of one automaton: some 50 MB each.
-SHARD_BYTES, AUTOMATON = 1_000_000, 8_000
+#: Bytes of the documents of a shard, about; words of the passages of one automaton, and of one piece of a passage at
+#: most: some 50 MB each.  The first stays below the 1,056,767 characters that words become; the second is the depth of
+#: the trie, which the library frees by recursion.
+SHARD_BYTES, AUTOMATON, PIECE = 1_000_000, 400_000, 5_000
+#: Words of a text that are streamed at once, and the longest window.
+STREAMED, LONGEST = 100_000, 2_500
 #: Words become characters from here on: above the code points that may not stand alone.
 FIRST_CHARACTER = 0xE000
 
@@ -43,8 +47,7 @@ FIRST_CHARACTER = 0xE000
 def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Starts and ends of the words, the rows' offsets in words, and two hashes of each word."""
     start, end, word_at = word_spans(raw, at)
-    codes = raw.astype(np.uint64) + np.uint64(1)
-    return start, end, word_at, tuple(range_hash(prefix_hash(codes, b), start, end, b) for b in BASES)
+    return start, end, word_at, tuple(range_hash(raw, start, end, b) for b in BASES)
 
 
 def find_segments(docs: DataFrame, grain: Grain) -> DataFrame:
@@ -53,7 +56,7 @@ def find_segments(docs: DataFrame, grain: Grain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, at in blocks(batches, BLOCK_BYTES):
             start, end, word_at = word_spans(raw, at)
-            s: Segments = segments(range_hash(prefix_hash(raw.astype(np.uint64) + np.uint64(1)), start, end), word_at, grain, by_key=True)
+            s: Segments = segments(range_hash(raw, start, end), word_at, grain, by_key=True)
             row = batch.column("_row").to_numpy()[s.row]
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(s.key), *(pa.array(x.astype(np.int32)) for x in (s.first, s.last, s.places))], ["_row", "key", "first", "last", "places"])
 
@@ -76,7 +79,7 @@ def cut_contents(candidates: DataFrame, grain: Grain) -> DataFrame:
             shard = batch.column("shard").to_numpy()[row]
             start, end, word_at, hashes = words_of(raw, at)
             begin, stop = word_at[row] + first, word_at[row] + last + grain.span
-            d1, d2 = digests(tuple(prefix_hash(h, b) for h, b in zip(hashes, BASES, strict=True)), begin, stop)
+            d1, d2 = digests(hashes[0], begin, stop, hashes[1])
             order = np.lexsort((shard, d2, d1, key))
             other = np.ones(len(order), bool)
             other[1:] = (np.diff(key[order]) != 0) | (np.diff(d1[order]) != 0) | (np.diff(d2[order]) != 0)
@@ -93,14 +96,32 @@ def cut_contents(candidates: DataFrame, grain: Grain) -> DataFrame:
     return candidates.mapInArrow(run, "shard int, key long, d1 long, d2 long, windows int, content string, n long")
 
 
-def window_digests(batch_content: pa.Array, windows: np.ndarray, grain: Grain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_names(content: pa.Array | pa.ChunkedArray, windows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all windows of some contents: the content's number, and a number that equal windows have, and no others.
+
+    Words are numbered, then pairs of numbers, pairs of these, and so on up to the window: nothing is taken for
+    equal because a hash is.
+    """
+    texts = [t.split(" ") for t in content.to_pylist()]
+    known: dict[str, int] = {}
+    sizes = np.array([len(t) for t in texts], np.int64)
+    x = np.fromiter((known.setdefault(w, len(known)) for t in texts for w in t), np.int64, int(sizes.sum()))
+    n = 1
+    while n < span:
+        step = min(n, span - n)
+        x = np.unique(x[: len(x) - step] << 32 | x[step:], return_inverse=True)[1]
+        n += step
+    return np.repeat(np.arange(len(windows)), windows), x[ranges(np.cumsum(sizes) - sizes, windows)]
+
+
+def window_digests(content: pa.Array, windows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of some contents: the content's number, and 128 bits of the window's words."""
-    raw, at = flat(batch_content)
-    _, _, word_at, hashes = words_of(raw, at)
-    owner = np.repeat(np.arange(len(windows)), windows)
-    begin = ranges(word_at[:-1], windows)
-    w1, w2 = digests(tuple(prefix_hash(h, b) for h, b in zip(hashes, BASES, strict=True)), begin, begin + grain.span)
-    return owner, w1, w2
+    raw, at = flat(content)
+    start, end, word_at = word_spans(raw, at)
+    begin, data = ranges(word_at[:-1], windows), memoryview(raw)
+    found = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start[begin].tolist(), end[begin + span - 1].tolist(), strict=True))
+    both = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return np.repeat(np.arange(len(windows)), windows), both[:, 0].copy(), both[:, 1].copy()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -152,20 +173,13 @@ def confirmed(contents: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
         for t in grouped(batches, BATCH_CONTENTS):
             if len(t):
                 windows = t.column("windows").to_numpy().astype(np.int64)
-                owner, w1, w2 = window_digests(t.column("content"), windows, grain)
-                order = np.lexsort((w2, w1))
-                same = np.zeros(len(order), bool)
-                same[1:] = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-                both = same.copy()
-                both[:-1] |= same[1:]
-                again = np.zeros(len(order), bool)
-                again[order] = both
-                yield passages(t, again | (t.column("n").to_numpy()[owner] > 1))
+                owner, name = window_names(t.column("content"), windows, grain.span)
+                yield passages(t, (np.bincount(name)[name] > 1) | (t.column("n").to_numpy()[owner] > 1))
 
     def all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             windows = batch.column("windows").to_numpy().astype(np.int64)
-            owner, w1, w2 = window_digests(batch.column("content"), windows, grain)
+            owner, w1, w2 = window_digests(batch.column("content"), windows, grain.span)
             place = ranges(np.zeros(len(windows), np.int64), windows)
             columns = [batch.column(c).to_numpy()[owner] for c in ("key", "d1", "d2", "n")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(place.astype(np.int32)), pa.array(w1), pa.array(w2)], ["key", "d1", "d2", "n", "place", "w1", "w2"])
@@ -188,49 +202,63 @@ def confirmed(contents: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
 
 
 class Automata:
-    """The automata of a shard's passages."""
+    """The automata of a shard's passages.
 
-    def __init__(self) -> None:
-        self.shard, self.waiting, self.made = None, [], []
+    A passage is a run of recurring windows: one of over PIECE words is taken in pieces that have ``span - 1`` words in
+    common, so that each window is in one of them.
+    """
+
+    def __init__(self, span: int) -> None:
+        self.span, self.piece = span, max(PIECE, 2 * span)
+        self.shard, self.waiting, self.size, self.made = None, [], 0, []
 
     def begin(self, shard: int) -> None:
-        self.shard, self.waiting, self.made = shard, [], []
+        self.shard, self.waiting, self.size, self.made = shard, [], 0, []
 
     def add(self, passage: str) -> None:
-        self.waiting.append(passage)
-        if len(self.waiting) == AUTOMATON:
-            self.compile()
+        words = passage.split(" ")
+        for first in range(0, max(1, len(words) - self.span + 1), self.piece - self.span + 1):
+            part = words[first : first + self.piece]
+            if self.size + len(part) > AUTOMATON:
+                self.compile()
+            self.waiting.append(part)
+            self.size += len(part)
 
     def compile(self) -> None:
         known: dict[str, str] = {}
         automaton = ahocorasick.Automaton()
-        for passage in self.waiting:
-            for w in (words := passage.split(" ")):
+        for words in self.waiting:
+            for w in words:
                 if w not in known:
                     known[w] = chr(FIRST_CHARACTER + 1 + len(known))
             automaton.add_word("".join([known[w] for w in words]), len(words))
         if self.waiting:
             automaton.make_automaton()
             self.made.append((known, automaton))
-        self.waiting = []
+        self.waiting, self.size = [], 0
+
+    def located(self, n: int, words_of: Callable[[int, int], list[str]]) -> Iterator[tuple[int, int]]:
+        """Begins and ends of all places of the passages in a text of n words, which are asked for in strips.
 
-    def located(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """Begins and ends of all places of the passages."""
+        Strips have piece - 1 words in common, so that each place is in one of them.
+        """
         self.compile()
         other = chr(FIRST_CHARACTER)
-        for known, automaton in self.made:
-            for last, size in automaton.iter("".join([known.get(w, other) for w in words])):
-                yield last + 1 - size, last + 1
+        for first in range(0, max(1, n - self.piece + 1), STREAMED) if self.made else ():
+            words = words_of(first, min(n, first + STREAMED + self.piece - 1))
+            for known, automaton in self.made:
+                for last, size in automaton.iter("".join([known.get(w, other) for w in words])):
+                    yield first + last + 1 - size, first + last + 1
 
 
-def streamed(docs: DataFrame, passages: DataFrame, rest: list[T.StructField], keep_text: bool) -> DataFrame:
+def streamed(docs: DataFrame, passages: DataFrame, span: int, rest: list[T.StructField], keep_text: bool) -> DataFrame:
     """docs (shard, text, row: a struct of other columns) through the automata of their shard's passages (shard, passage)."""
     made = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     inner = docs.schema["row"]
     schema = T.StructType([inner, *T.StructType.fromDDL(made).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = Automata()
+        automata = Automata(span)
         for batch, raw, at in blocks(batches, BLOCK_BYTES):
             shards, passage = batch.column("shard").to_pylist(), batch.column("passage").to_pylist()
             start, end, word_at = word_spans(raw, at)
@@ -243,8 +271,7 @@ def streamed(docs: DataFrame, passages: DataFrame, rest: list[T.StructField], ke
                     automata.add(p)
                 elif automata.made or automata.waiting:
                     a, b = word_at[i], word_at[i + 1]
-                    words = [str(data[x:y], "utf-8") for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
-                    for x, y in automata.located(words):
+                    for x, y in automata.located(int(b - a), lambda i, j, a=a: [str(data[x:y], "utf-8") for x, y in zip(start[a + i : a + j].tolist(), end[a + i : a + j].tolist(), strict=True)]):
                         gone[a + x] += 1
                         gone[a + y] -= 1
             stay = np.cumsum(gone[:-1]) == 0
@@ -280,8 +307,11 @@ def streamed(docs: DataFrame, passages: DataFrame, rest: list[T.StructField], ke
 def remove_phrases(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """docs without text, with what the removal of repeated windows of ``length`` words leaves of it.
 
-    Adds n_words, n_removed, kept_sha256, and on request kept: the kept words joined by a space.
+    Adds n_words, n_removed, kept_sha256, and on request kept: the kept words joined by a space.  A window has 2 to
+    LONGEST words.
     """
+    if not 2 <= length <= LONGEST:
+        raise ValueError(f"windows have 2 to {LONGEST} words, not {length}")
     grain = Grain(length, min(GRAM, 1 << (length // 2).bit_length() - 1))
     rest = others(docs, "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text)
     key = fresh(docs, "_key")
@@ -299,7 +329,7 @@ def remove_phrases(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         passages = scratch.stored(confirmed(contents, hot, grain), "passages")
         scratch.drop(contents)
         routed = stored(cut.select("shard", "key", "d1", "d2").distinct().join(passages, ["key", "d1", "d2"]).select("shard", "passage").distinct(), "routed")
-    return streamed(rows, routed, rest, keep_text)
+    return streamed(rows, routed, length, rest, keep_text)
 
 
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import BASES, Scratch, blocks, fresh, mixed, prefix_hash, range_hash, ranges, small_batches, stored, table, with_few, with_row_key, word_spans
+from larkspar.llm.common import BASES, Scratch, blocks, fresh, mixed, range_hash, ranges, small_batches, stored, table, with_few, with_row_key, word_spans
 from larkspar.operators.components import components, forest
 
 SHINGLE, PERCENT = 3, 90
@@ -53,13 +53,16 @@ LOWER[0x41:0x5B] += 0x20
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, ascending, and the n + 1 offsets."""
     start, end, word_at = word_spans(raw, at)
-    word = range_hash(prefix_hash(LOWER[raw].astype(np.uint64) + np.uint64(1)), start, end)
+    lowered = LOWER[raw]
+    word = mixed(range_hash(lowered, start, end)) ^ mixed(range_hash(lowered, start, end, BASES[1]) + np.uint64(1))
     counts = np.diff(word_at)
     shingles = np.where(counts > 0, np.maximum(counts - k + 1, 1), 0)
     row = np.repeat(np.arange(len(counts)), shingles)
     first = ranges(word_at[:-1], shingles)
     last = np.minimum(first + k, word_at[1:][row])
-    value = range_hash(prefix_hash(word, BASES[1]), first, last, BASES[1]) + (last - first).astype(np.uint64)
+    value = mixed((last - first).astype(np.uint64))
+    for i in range(k):  # a chain of finalisers, no sum of products
+        value = np.where(first + i < last, mixed(value + word[np.minimum(first + i, last - 1)]), value)
     order = np.lexsort((value, row))
     value, row = value[order], row[order]
     keep = np.ones(len(value), bool)

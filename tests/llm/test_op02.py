@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from larkspar.llm import op02_suffix_array
+from larkspar.llm import anchors, op02_suffix_array
+from larkspar.llm.anchors import Grain, segments
 from larkspar.llm.op02_suffix_array import long_common_prefixes, remove_repeats
 
 SCHEMA = "doc_id long, text string"
@@ -75,3 +76,24 @@ def test_names_that_clash(spark):
     got = remove_repeats(docs, 20, keep_text=True)
     assert got.columns == ["doc_id", "_row", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     assert sorted((r.doc_id, r._row, r.spans, r.n_bytes, r.n_removed) for r in got.collect()) == [(1, 5, "s", 120, 120), (2, 5, "s", 0, 0)]
+
+
+def test_long_texts_and_strips(spark, monkeypatch):
+    r = random.Random(11)
+    base = "".join(r.choice("abcdefgh") for _ in range(500_000))
+    texts = [base, base[1_000:200_000] + "".join(r.choice("ijkl") for _ in range(200_000)), "ab" * 150_000, "x" * 399, base[499_700:] + "z" * 500]
+    got = {x[0]: tuple(x)[1:] for x in remove_repeats(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert [g[1] for _, g in sorted(got.items())] == [199_000, 199_000, 300_000, 0, 500]
+    assert got[0][3] == hashlib.sha256((base[:1_000] + base[200_000:]).encode()).hexdigest()
+
+
+def test_segments_do_not_depend_on_strips(monkeypatch):
+    symbols = np.random.default_rng(2).integers(0, 3, 5_000).astype(np.uint8)
+    at = np.array([0, 0, 7, 1_500, 1_500, 1_530, 4_000, 5_000])
+    for by_key in (False, True):
+        whole = segments(symbols, at, Grain(20, 4), by_key)
+        assert all(first + 20 + at[row] <= at[row + 1] for row, first in zip(whole.row, whole.last, strict=True))
+        with monkeypatch.context() as m:
+            m.setattr(anchors, "WINDOWS", 64)
+            assert all(np.array_equal(a, b) for a, b in zip(vars(whole).values(), vars(segments(symbols, at, Grain(20, 4), by_key)).values(), strict=True))
+        assert (whole.last - whole.first + 1).sum() == sum(max(0, n - 19) for n in np.diff(at))

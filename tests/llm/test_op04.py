@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from larkspar.llm import op04_phrases
 from larkspar.llm.op04_phrases import remove_phrases
 
@@ -66,15 +69,60 @@ def test_shards_of_few_bytes(spark, monkeypatch):
     assert Counter(tuple(r)[1:] for r in got) == Counter(by_hand(texts, 12))
 
 
-def test_automata_of_few_passages_find_every_place(monkeypatch):
-    monkeypatch.setattr(op04_phrases, "AUTOMATON", 2)
+def test_automata_of_few_words_find_every_place(monkeypatch):
+    monkeypatch.setattr(op04_phrases, "AUTOMATON", 6)
     r = random.Random(6)
     some = lambda k: [r.choice("abc") for _ in range(k)]
-    passages, words = [some(r.randint(1, 4)) for _ in range(7)], some(200)
-    automata = op04_phrases.Automata()
+    passages, words = [some(r.randint(2, 4)) for _ in range(7)], some(200)
+    automata = op04_phrases.Automata(2)
     automata.begin(0)
     for p in passages:
         automata.add(" ".join(p))
-    assert len(automata.made) == 3
+    assert len(automata.made) >= 3
     want = {(i, i + len(p)) for p in passages for i in range(len(words)) if words[i : i + len(p)] == p}
-    assert set(automata.located(words)) == want and not list(automata.located(["x", "y"]))
+    assert set(automata.located(200, lambda i, j: words[i:j])) == want and not list(automata.located(2, lambda i, j: ["x", "y"]))
+    monkeypatch.setattr(op04_phrases, "STREAMED", 7)
+    automata.piece = 4
+    assert set(automata.located(200, lambda i, j: words[i:j])) == want and not list(automata.located(0, lambda i, j: []))
+
+
+def thue_morse(n):
+    """2 ** n letters and their complement: equal under every polynomial hash modulo 2 ** 64 with an odd base."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    one, other = thue_morse(11)
+    texts = [" ".join([*(f"w{i}" for i in range(34)), x]) for x in (one, other)]
+    texts += [" ".join(w) for w in thue_morse(12)]  # the same with letters as words
+    texts += [" ".join(["u", *"".join(w)]) for w in (one, other)]
+    got = [tuple(r)[1:] for r in remove_phrases(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 35).collect()]
+    assert Counter(got) == Counter(by_hand(texts, 35))
+    assert sorted(g[1] for g in got if g[0] == 35) == [0, 0]
+
+
+def test_windows_are_compared_word_by_word():
+    texts = ["a b c a b c a b", "b c a b x", "c"]
+    owner, name = op04_phrases.window_names(pa.array(texts), np.array([6, 3, 0]), 3)
+    words = [t.split() for t in texts]
+    windows = [tuple(words[o][i : i + 3]) for o, n in enumerate((6, 3, 0)) for i in range(n)]
+    assert owner.tolist() == [0] * 6 + [1] * 3
+    assert [[a == b for a in name] for b in name] == [[a == b for a in windows] for b in windows]
+
+
+def test_a_passage_of_more_different_words_than_an_automaton_has_characters(spark):
+    passage = " ".join(map(str, range(1_200_000)))
+    texts = [passage, "x " + passage + " y", "1 2 3"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_phrases(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 35, keep_text=True).collect()}
+    assert got == {0: (1_200_000, 1_200_000, ""), 1: (1_200_002, 1_200_000, "x y"), 2: (3, 0, "1 2 3")}
+
+
+def test_passages_in_pieces(spark, monkeypatch):
+    for name, value in (("PIECE", 25), ("AUTOMATON", 60), ("STREAMED", 9)):
+        monkeypatch.setattr(op04_phrases, name, value)
+    texts = corpus(7, 60)
+    got = [tuple(r)[1:] for r in remove_phrases(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 12).collect()]
+    assert Counter(got) == Counter(by_hand(texts, 12))

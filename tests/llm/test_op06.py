@@ -81,3 +81,22 @@ def test_components_of_a_long_path(spark, monkeypatch, few):
     edges = [(a, b) for a, b in zip(names[:40], names[1:40], strict=False)] + [(names[50], names[51]), (5000, 5000)]
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: min(names[:40]) for n in names[:40]} | {n: min(names[50:52]) for n in names[50:52]}
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, " ".join(word)), (4, " ".join(other)), (5, " ".join(word) + " x"), (6, word + " " + other), (7, other + " " + word)]
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == by_hand(rows, 3, 90)
+
+
+def test_a_long_text_and_its_near_copy(spark):
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(300_000)]
+    near = [*words[:100], "other", *words[101:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, "short")]
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == by_hand(rows, 3, 90)
