@@ -10,6 +10,7 @@ from larkspar.llm.op07_sentencepiece import op7_sentencepiece
 from larkspar.llm.op08_topk import OP8_SQL, op8_topk
 from larkspar.llm.op09_mixing import op9_mixing
 from larkspar.llm.op10_language import op10_language
+from larkspar.llm.op11_middle import OP11_SQL, op11_middle
 from larkspar.llm.oracle import OP2_SQL, OP4_SQL, OP6_SQL
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
+    "op11_middle": op11_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_phrases": OP4_SQL,
     "op6_jaccard": OP6_SQL,
     "op8_topk": OP8_SQL,
+    "op11_middle": OP11_SQL,
 }
