@@ -11,6 +11,7 @@ from larkspar.llm.op08_topk import OP8_SQL, op8_topk
 from larkspar.llm.op09_mixing import op9_mixing
 from larkspar.llm.op10_language import op10_language
 from larkspar.llm.op11_middle import OP11_SQL, op11_middle
+from larkspar.llm.op12_personal import op12_personal
 from larkspar.llm.op13_whitening import op13_whitening
 from larkspar.llm.oracle import OP2_SQL, OP4_SQL, OP6_SQL
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
     "op11_middle": op11_middle,
+    "op12_personal": op12_personal,
     "op13_whitening": op13_whitening,
 }
 
