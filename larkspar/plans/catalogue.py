@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from larkspar.functions import labels as L
 from larkspar.functions import names as N
 from larkspar.functions.vectors import doubles, norm
-from larkspar.operators import audit, captures, claims, clusters, layout, merge, neighbours, order, scope, timeline
+from larkspar.operators import audit, captures, claims, clusters, hierarchy, layout, merge, neighbours, order, scope, timeline
 from larkspar.plans.oracle import ORACLE_SQL
 from larkspar.sources import readers
 from larkspar.storage import shared_dir
@@ -403,6 +403,19 @@ def density_clusters(t):
     return neighbours.density_clusters(vectors(t).select("key", "v"), 5, 1.16, 5)
 
 
+@query
+def hdbscan_sweep(t):
+    """The vectors' clusters at three least sizes, by excess of mass."""
+    found = hierarchy.sweep(vectors(t).select("key", "v"), [5, 15, 40])
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+@query
+def cluster_subdivision(t):
+    """Each label's vectors clustered anew, at the size of the best validity."""
+    return hierarchy.subdivided(vectors(t), [5, 10, 20])
+
+
 @query
 def seriate_centroids(t):
     return layout.spectral_order(vectors(t))
