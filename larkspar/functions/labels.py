@@ -23,7 +23,7 @@ def parse_label(text: Column) -> Column:
     """initials-native-english(NN%) as a struct (initials, native, english, confidence); null where it has another form."""
     t = F.trim(text)
     part = lambda i: F.regexp_extract(t, LABEL, i)
-    parsed = F.struct(part(1).alias("initials"), part(2).alias("native"), F.lower(F.trim(part(3))).alias("english"), (F.try_to_number(part(4), F.lit("999999999")).cast("double") / 100).alias("confidence"))
+    parsed = F.struct(F.trim(part(1)).alias("initials"), F.trim(part(2)).alias("native"), F.lower(F.trim(part(3))).alias("english"), (F.try_to_number(part(4), F.lit("999999999")).cast("double") / 100).alias("confidence"))
     return F.when(t.rlike(LABEL), parsed)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # digits at least, the number of a virtual copy, and what a file synchronisation added.
 FRAME = r"^(?:\d{8}-)?_?([A-Za-z0-9_]*?)(\d{4,})(?:-\d+)?(?:_.*)?$"
 RENDER = r"-(?:Enhanced-NR|Enhanced|Panorama|Pano|HDR)(?:-\d+)?$"
-TRIP = r"^(\d{4})-(\d{2})(?:-(\d{2}))?(?:\D|$)"
+TRIP = r"^(\d{4})-(\d{2})(?:-(\d{2}))?"
 
 
 def frame_identity(stem: Column) -> Column:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # What identifies a person or place in a line of text, and how a report's own lines begin.
 IDENTIFYING = {
@@ -51,18 +57,51 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return names.filter(F.col("name").contains(" ") & F.length("name").between(4, 59)).distinct()
 
 
-def around_spaces(text: Column) -> Column:
-    """The three characters around each space inside of a text."""
-    at = F.filter(F.sequence(F.lit(2), F.greatest(F.length(text), F.lit(2))), lambda i: F.substring(text, i, F.lit(1)) == " ")
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i - 1, F.lit(3))))
+#: Bytes of names that one automaton holds, about: some 100 MB in a task.  A larger vocabulary takes several passes over the text.
+VOCABULARY_BYTES = 1_500_000
+
+
+def first_names(lines: DataFrame, keys: list[str], text: str, names: DataFrame) -> DataFrame:
+    """lines (keys, text) that hold names (name) of a vocabulary, with the first of these in order: found.
+
+    Each part of the vocabulary, of bounded size, becomes an automaton in the tasks, and every line is read once for it: the work is in
+    proportion to the text, however long a line is and however many names begin alike.
+    """
+    size = names.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    parts = size // VOCABULARY_BYTES + 1
+    schema = T.StructType([*(lines.schema[k] for k in keys), T.StructField("found", T.StringType())])
+
+    def located(part: list[str]) -> DataFrame:
+        held = lines.sparkSession.sparkContext.broadcast(part)  # VOCABULARY_BYTES, about
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for name in held.value:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            for batch in batches:
+                found = pa.array([min((name for _, name in automaton.iter(t)), default=None) for t in batch.column(text).to_pylist()], pa.string())
+                hit = found.is_valid()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(hit) for k in keys), found.filter(hit)], schema=out)
+
+        out = to_arrow_schema(schema)
+        return lines.select(*keys, text).mapInArrow(run, schema)
+
+    found = None
+    for i in range(parts):
+        part = [r[0] for r in names.filter((F.pmod(F.xxhash64("name"), F.lit(parts)) == i) & (F.col("name") != "")).select("name").distinct().collect()]
+        if part:
+            found = located(part) if found is None else found.unionByName(located(part))
+    if found is None:
+        return lines.select(*keys, F.lit(None).cast("string").alias("found")).filter("found IS NOT NULL")
+    return found if parts == 1 else found.groupBy(*keys).agg(F.min("found").alias("found"))
 
 
 def identifying(rows: DataFrame, text: str, *keys: str, user: str | None = None, names: DataFrame | None = None, per_key: int | None = None) -> DataFrame:
     """Findings (keys, line, kind, found): the first match of each kind in each line (from 1) of a text.
 
-    ``user``: a person's name, found in any case; ``names`` (name): a vocabulary, of which the first name in order is found.  A
-    name meets the lines that have the characters around its first space.  ``per_key`` keeps so many findings of a
-    kind per key; the cap is a reader's convenience.
+    ``user``: a person's name, found in any case; ``names`` (name): a vocabulary, of which the first name in order is found.
+    ``per_key`` keeps so many findings of a kind per key; the cap is a reader's convenience.
     """
     lines = rows.select(*keys, F.posexplode(F.split(F.col(text), LINE_ENDS)).alias("line", "_text")).withColumn("line", F.col("line") + 1)
     for own in OWN_LINES:
@@ -72,10 +111,8 @@ def identifying(rows: DataFrame, text: str, *keys: str, user: str | None = None,
         kinds.append(F.struct(F.lit("photographer's name").alias("kind"), F.when(F.lower("_text").contains(user.lower()), F.lit(user)).alias("found")))
     found = lines.select(*keys, "line", F.explode(F.filter(F.array(*kinds), lambda x: x["found"].isNotNull())).alias("x")).select(*keys, "line", "x.kind", "x.found")
     if names is not None:
-        low = F.lower("_text")
-        heads = names.select("name", F.substring("name", F.instr("name", " ") - 1, F.lit(3)).alias("around"))
-        near = lines.select(*keys, "line", low.alias("_low"), F.explode(around_spaces(low)).alias("around")).join(heads, "around").filter(F.col("_low").contains(F.col("name")))
-        found = found.unionByName(near.groupBy(*keys, "line").agg(F.min("name").alias("found")).withColumn("kind", F.lit("species name")))
+        near = first_names(lines.withColumn("_low", F.lower("_text")), [*keys, "line"], "_low", names)
+        found = found.unionByName(near.withColumn("kind", F.lit("species name")))
     if per_key is None:
         return found
     return found.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "kind").orderBy("line"))).filter(F.col("_n") <= per_key).drop("_n")

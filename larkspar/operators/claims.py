@@ -29,6 +29,15 @@ def unreached(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     return sidecars.join(taken, ["folder", "stem"], "left_anti")
 
 
+def derivations(images: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Images without a sidecar of their own stem that a sidecar without an image of its own takes: folder, jpg, stem."""
+    stems, jpgs = sidecars.select("folder", "stem").distinct(), images.select("folder", "stem").distinct()
+    open_ = stems.join(jpgs, ["folder", "stem"], "left_anti")
+    free = jpgs.join(stems, ["folder", "stem"], "left_anti")
+    reach = free.select("folder", F.col("stem").alias("jpg"), F.explode(stem_bases(F.col("stem"))).alias("stem")).join(open_, ["folder", "stem"])
+    return reach.groupBy("folder", "jpg").agg(F.max_by("stem", F.length("stem")).alias("stem"))
+
+
 def resolve(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Each sidecar's verdict and images: ok (same stem), derived, no_jpg, or no_folder, with n_images.
 
@@ -37,9 +46,7 @@ def resolve(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     stems, jpgs = sidecars.select("folder", "stem").distinct(), images.select("folder", "stem").distinct()
     exact = stems.join(jpgs, ["folder", "stem"], "left_semi")
     open_ = stems.join(jpgs, ["folder", "stem"], "left_anti")
-    free = jpgs.join(stems, ["folder", "stem"], "left_anti")
-    reach = free.select("folder", F.col("stem").alias("jpg"), F.explode(stem_bases(F.col("stem"))).alias("stem")).join(open_, ["folder", "stem"])
-    derived = reach.groupBy("folder", "jpg").agg(F.max_by("stem", F.length("stem")).alias("stem")).groupBy("folder", "stem").agg(F.count("*").alias("n"))
+    derived = derivations(images, sidecars).groupBy("folder", "stem").agg(F.count("*").alias("n"))
     folders = jpgs.select("folder", F.lit(True).alias("has_folder")).distinct()
     rest = open_.join(derived, ["folder", "stem"], "left").join(folders, "folder", "left")
     verdict = F.when(F.col("n").isNotNull(), "derived").when(F.col("has_folder"), "no_jpg").otherwise("no_folder")
@@ -47,8 +54,9 @@ def resolve(images: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def extras(images: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Images without a sidecar of their stem: derived, with the longest sidecar that they extend, or orphan."""
-    free = images.join(sidecars, ["folder", "stem"], "left_anti").select("folder", "stem")
+    """Images that resolve gives to no sidecar: derived, with the longest sidecar that they extend, or orphan."""
+    taken = derivations(images, sidecars).select("folder", F.col("jpg").alias("stem"))
+    free = images.join(sidecars, ["folder", "stem"], "left_anti").join(taken, ["folder", "stem"], "left_anti").select("folder", "stem")
     return claim(free, sidecars).select("folder", "stem", F.when(F.col("base").isNull(), "orphan").otherwise("derived").alias("kind"), F.col("base").alias("parent"))
 
 

@@ -102,7 +102,8 @@ ORACLE_SQL: dict[str, str] = {
       won AS (SELECT folder, base AS stem, count(*) AS n FROM (SELECT f.folder, o.stem AS base, row_number() OVER (PARTITION BY f.folder, f.stem ORDER BY len(o.stem) DESC) AS k FROM free f JOIN open o ON f.folder = o.folder AND starts_with(f.stem, o.stem || '-')) WHERE k = 1 GROUP BY ALL)
       SELECT s.folder, s.stem, CASE WHEN i.stem IS NOT NULL THEN 'ok' WHEN n IS NOT NULL THEN 'derived' WHEN s.folder IN (SELECT folder FROM img) THEN 'no_jpg' ELSE 'no_folder' END AS verdict, CASE WHEN i.stem IS NOT NULL THEN 1 ELSE coalesce(n, 0) END AS n_images
       FROM side s LEFT JOIN img i ON s.folder = i.folder AND s.stem = i.stem LEFT JOIN won ON won.folder = s.folder AND won.stem = s.stem""",
-    "extra_images": f"WITH {TREES} SELECT folder, stem, CASE WHEN base IS NULL THEN 'orphan' ELSE 'derived' END AS kind, base AS parent FROM claim WHERE base IS DISTINCT FROM stem",
+    "extra_images": f"""WITH {TREES}, open AS (FROM side EXCEPT FROM img), free AS (FROM img EXCEPT FROM side), taken AS (SELECT f.* FROM free f SEMI JOIN open o ON f.folder = o.folder AND starts_with(f.stem, o.stem || '-'))
+      SELECT c.folder, c.stem, CASE WHEN c.base IS NULL THEN 'orphan' ELSE 'derived' END AS kind, c.base AS parent FROM claim c SEMI JOIN free f ON c.folder = f.folder AND c.stem = f.stem ANTI JOIN taken t ON c.folder = t.folder AND c.stem = t.stem""",
     "multi_claim": f"WITH {TREES} SELECT folder, base, count(*) AS claimants, min(stem) AS keeper, bool_or(stem = base) AS exact_match_wins FROM claim WHERE base IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "tree_differences": f"WITH {TREES} SELECT *, 'left' AS side FROM (FROM img EXCEPT FROM side) UNION ALL SELECT *, 'right' FROM (FROM side EXCEPT FROM img)",
     "capture_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY CASE WHEN doc_id % 19 = 0 THEN CAST(doc_id AS VARCHAR) ELSE md5(text) END",

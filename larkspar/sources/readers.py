@@ -16,10 +16,17 @@ CAPTURE_FIELDS = ("DateTimeOriginal", "CreateDate", "OriginalDocumentID", "Docum
 def tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Files below a root: path, folder (from the root), stem, size. The content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    inside = F.element_at(F.split("path", F.lit(f"{root.rstrip('/').split('/')[-1]}/"), 2), 2)
+    folder, stem = below(spark, root)
+    return files.select("path", folder.alias("folder"), stem.alias("stem"), F.col("length").alias("size"))
+
+
+def below(spark: SparkSession, root: str) -> tuple[Column, Column]:
+    """(folder, stem) of the column path, below the root as its file system resolves it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    start = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(path).toString().rstrip("/")
+    inside = F.substring(F.col("path"), len(start) + 2, 1 << 30)
     name = F.element_at(F.split(inside, "/"), -1)
-    folder = F.regexp_replace(inside, r"/?[^/]*$", "")
-    return files.select("path", folder.alias("folder"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("length").alias("size"))
+    return F.regexp_replace(inside, r"/?[^/]*$", ""), F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def label_table(spark: SparkSession, path: str) -> DataFrame:
@@ -51,19 +58,56 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
     """Sidecars of a tree: folder, stem, text (null where a file is no text)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xmp").load(root)
-    inside = F.element_at(F.split("path", F.lit(f"{root.rstrip('/').split('/')[-1]}/"), 2), 2)
-    return files.select(F.regexp_replace(inside, r"/?[^/]*$", "").alias("folder"), F.regexp_replace(F.element_at(F.split(inside, "/"), -1), r"\.[^.]*$", "").alias("stem"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    folder, stem = below(spark, root)
+    return files.select(folder.alias("folder"), stem.alias("stem"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+
+
+#: An element's beginning or end, with its attributes.
+TAG = r"""<(/?[\w.:-]+)(?:\s+[\w.:-]+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*+\s*(/?)>"""
+
+
+def well_formed(text: Column) -> Column:
+    """Whether a text is one element with its tags in balance, so that XPath expressions can read it.
+
+    Comments, declarations and CDATA go first; tags are then followed in order, with a list of those that are open.  It is
+    an expression, so that a broken file costs its row only.
+    """
+    bare = F.regexp_replace(text, r"(?s)^\x{feff}|<\?.*?\?>|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<!DOCTYPE[^>]*>", "")
+    sound = ~bare.rlike(r"&(?!(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)")
+    tags = F.regexp_extract_all(bare, F.lit(TAG), 0)
+    names = F.transform(tags, lambda t: F.concat(F.regexp_extract(t, r"^<(/?[\w.:-]+)", 1), F.when(t.endswith("/>"), "!").otherwise("")))
+    nothing = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("roots"), F.lit(True).alias("good"))
+    top = lambda s: F.get(s["open"], F.size(s["open"]) - 1)
+
+    def step(s: Column, t: Column) -> Column:
+        first = (F.size(s["open"]) == 0).cast("int")
+        closes = F.coalesce(F.concat(F.lit("/"), top(s)) == t, F.lit(False))
+        opened = F.struct(F.concat(s["open"], F.array(t)).alias("open"), (s["roots"] + first).alias("roots"), s["good"].alias("good"))
+        closed = F.struct(F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0))).alias("open"), s["roots"].alias("roots"), (s["good"] & closes).alias("good"))
+        alone = F.struct(s["open"].alias("open"), (s["roots"] + first).alias("roots"), s["good"].alias("good"))
+        return F.when(t.endswith("!"), alone).when(t.startswith("/"), closed).otherwise(opened)
+
+    end = F.aggregate(names, nothing, step)
+    rest = F.regexp_replace(bare, TAG, "")
+    return F.coalesce(sound & ~rest.contains("<") & (F.size(end["open"]) == 0) & (end["roots"] == 1) & end["good"], F.lit(False))
 
 
 def subjects(text: Column) -> Column:
-    """The keywords of a sidecar's text, in order; an unlabelled one has none.
+    """The keywords of a sidecar's text, of all its subject blocks in order; null where it is no whole document.
 
-    By pattern, so that a broken document gives what can be read of it instead of ending the job.
+    A broken sidecar is told from one that was never labelled: the one is null, the other has no keyword.
     """
-    block = F.regexp_extract(text, r"(?s)<(?:\w+:)?subject>(.*?)</(?:\w+:)?subject>", 1)
-    items = F.regexp_extract_all(block, F.lit(r"(?s)<(?:\w+:)?li[^>]*>(.*?)</(?:\w+:)?li>"), F.lit(1))
-    plain = lambda x: F.replace(F.replace(F.replace(F.replace(F.trim(x), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    return F.when(text.isNotNull() & text.contains("<"), F.transform(items, plain))
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    blocks = F.regexp_extract_all(bare, F.lit(r"(?s)<(\w+:)subject(?:\s[^>]*)?>(.*?)</\1subject>"), F.lit(2))
+    items = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?s)<(\w+:)li(?:\s[^>]*)?(?:/>|>([^<]*)(?:<(?!/\1li>).*?)?</\1li>)"), F.lit(2))))
+    entity = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+    def plain(x: Column) -> Column:
+        for name, sign in entity.items():
+            x = F.replace(x, F.lit(name), F.lit(sign))
+        return x
+
+    return F.when(well_formed(text), F.transform(items, plain))
 
 
 def capture_fields(text: Column) -> Column:

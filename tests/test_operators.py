@@ -40,6 +40,17 @@ def test_frames_and_trips(spark):
     assert column(spark, ["2019-05-01 10:11:12.50+08:00", " 2019-05-01T10:11:12Z", " x "], N.normalise_datetime) == ["2019-05-01T10:11:12"] * 2 + ["x"]
 
 
+def test_trip_dates_begin_a_name(spark):
+    names = ["2023-10-055", "2023-101", "2023-10x", "2023-10-5", "2023-10-32"]
+    assert list(map(str, column(spark, names, N.trip_date))) == ["2023-10-05", "2023-10-01", "2023-10-01", "2023-10-01", "None"]
+    assert column(spark, names, N.trip_precision) == ["day", "month", "month", "month", None]
+
+
+def test_labels_are_trimmed_in_all_parts(spark):
+    got = column(spark, [" xs - 小隼 - Merlin (90%)", "a-b-C(5%)"], L.parse_label)
+    assert [(r.initials, r.native, r.english, r.confidence) for r in got] == [("xs", "小隼", "merlin", 0.9), ("a", "b", "c", 0.05)]
+
+
 def test_scope_keeps_to_segments_and_excludes_win(spark):
     rows = spark.createDataFrame([(k,) for k in ("Photos-2/a", "Photos-24/a", "Photos-2", "Photos-2/b/c", "x")], "key string")
     paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
@@ -166,6 +177,49 @@ def test_components(spark):
     assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
 
 
+def test_extras_are_what_resolution_left(spark):
+    found = lambda images, side: {(r.stem, r.kind, r.parent) for r in claims.extras(tree(spark, *images), tree(spark, *side)).collect()}
+    assert found(["f/A-2"], ["f/A"]) == set()
+    assert found(["f/a", "f/a-2", "f/phone"], ["f/a"]) == {("a-2", "derived", "a"), ("phone", "orphan", None)}
+    assert found(["f/a-2", "f/a-3"], ["f/a", "f/a-2"]) == set()
+    assert found(["f/a", "f/a-2-3"], ["f/a", "f/a-2"]) == set()
+    assert found(["g/z"], ["f/a"]) == {("z", "orphan", None)}
+
+
+def test_folders_below_a_root_whose_name_recurs(spark, tmp_path):
+    root = tmp_path / "jpg" / "x" / "jpg"
+    for at in ("T", "jpg/U", "."):
+        (root / at).mkdir(parents=True, exist_ok=True)
+        (root / at / "a.b.jpg").write_text("x")
+    want = {("T", "a.b"), ("jpg/U", "a.b"), ("", "a.b")}
+    assert {(r.folder, r.stem) for r in readers.tree(spark, str(root), "*.jpg").collect()} == want
+    assert {(r.folder, r.stem) for r in readers.tree(spark, f"file://{root}/", "*.jpg").collect()} == want
+
+
+def test_broken_sidecars_are_null_and_unlabelled_ones_empty(spark):
+    wrap = lambda inside: f'<?xml version="1.0"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/"><!-- <dc:subject> --><r:RDF a="1" b=\'2\'>{inside}</r:RDF></x:xmpmeta>\n'
+    li = lambda *t: "<dc:subject><r:Bag>" + "".join(f"<r:li>{x}</r:li>" for x in t) + "</r:Bag></dc:subject>"
+    cases = {
+        wrap(""): [], wrap(li()): [], wrap(li("bird", "a &amp; &lt;b&gt;")): ["bird", "a & <b>"], wrap(li("a") + "<q/>" + li("b")): ["a", "b"], wrap("<dc:subject><r:li/><r:li c='d'>e</r:li></dc:subject>"): ["", "e"],
+        "<not xml": None, "": None, "text": None, "<a><subject><li>bird</li>": None, "<a></b>": None, "<a/><b/>": None, "<a>&x</a>": None, wrap("<q>"): None, wrap("</q>"): None, "<a b=c/>": None, None: None,
+    }
+    assert column(spark, list(cases), readers.subjects) == list(cases.values())
+
+
+def test_names_in_long_lines_and_parts_of_a_vocabulary(spark, monkeypatch):
+    from larkspar.operators import audit
+
+    names = spark.createDataFrame([(n,) for n in ("snow goose", "goose x", "ab cd", "b c", "ü é", "snow goose")], "name string")
+    texts = [(1, "A Snow Goose X\nnothing"), (2, "x" * 100_000 + " y" * 50_000 + " ab cd"), (3, None), (4, ""), (5, "Ü É")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    want = {(1, 1, "goose x"), (2, 1, "ab cd"), (5, 1, "ü é")}
+    for size in (1_000_000, 4):
+        monkeypatch.setattr(audit, "VOCABULARY_BYTES", size)
+        found = audit.identifying(rows, "text", "id", names=names).filter("kind = 'species name'")
+        assert {(r.id, r.line, r.found) for r in found.collect()} == want
+    assert audit.identifying(rows, "text", "id", names=names.limit(0)).filter("kind = 'species name'").count() == 0
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "labels.csv").write_text('﻿jpg,category,note\na.jpg,bird,"two\nlines, ""quoted"""\n', encoding="utf-8")
     row = readers.label_table(spark, str(tmp_path / "labels.csv")).first()
