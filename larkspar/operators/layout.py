@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspar.functions.vectors import distance, dot
+from larkspar.functions.vectors import distance, dot, normalised
 from larkspar.operators.clusters import centroids
 from larkspar.operators.order import neighbour, numbered, orbit
+from larkspar.operators.spectral import PLACES, clipped_order
 from larkspar.storage import stored
 
 
@@ -205,23 +206,23 @@ def next_known(rows: DataFrame, line: str, value: str, part: int = 50_000) -> Da
     return parts.join(all_parts, "_part").withColumn("found", F.coalesce(inside, F.col("_after"))).drop("_part", "_after")
 
 
-#: Clusters that are put in a spectral order at most: their similarities are a dense matrix of one task.
-MOST_CLUSTERS = 4_000
+#: Clusters whose similarities, a dense matrix, one task decomposes; of more the same is found by blocks.
+FEW_CLUSTERS = 2_000
 
 
 def spectral_order(vectors: DataFrame) -> DataFrame:
     """Clusters in the order of the second eigenvector of their centroids' similarity: cluster, place (from 1).
 
     The similarity of centroids is clipped at zero and has no diagonal; the eigenvector's sign is such that
-    the smallest cluster's entry is not positive.  One task decomposes the matrix of the centroids; more than
-    MOST_CLUSTERS clusters (a matrix of 128 MB) are refused with an error.
+    the smallest cluster's entry is not positive.
     """
     centres = stored(centroids(vectors), "centroids")
-    if (k := centres.count()) > MOST_CLUSTERS:
-        raise ValueError(f"{k} clusters; a spectral order takes {MOST_CLUSTERS} at most")
+    if centres.count() > FEW_CLUSTERS:
+        unit = normalised(F.col("centroid"))
+        return clipped_order(centres.select(F.col("cluster").alias("key"), unit.alias("v"))).select(F.col("key").alias("cluster"), F.col("place").cast("int").alias("place"))
 
     def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("cluster", ignore_index=True)
+        rows = pd.concat([pd.DataFrame({"cluster": [], "centroid": []}), *(b for b in batches if len(b))]).sort_values("cluster", ignore_index=True)
         n = len(rows)
         if n >= 3:
             c = np.stack(rows["centroid"].to_numpy())
@@ -229,7 +230,8 @@ def spectral_order(vectors: DataFrame) -> DataFrame:
             w = np.clip(c @ c.T, 0, None)
             np.fill_diagonal(w, 0)
             second = np.linalg.eigh(np.diag(w.sum(1)) - w)[1][:, 1]
-            rows = rows.iloc[np.argsort(second if second[0] <= 0 else -second, kind="stable")]
-        yield pd.DataFrame({"cluster": rows["cluster"], "place": np.arange(1, n + 1)})
+            even = np.round((second if second[0] <= 0 else -second) / np.abs(second).max(), PLACES)
+            rows = rows.iloc[np.argsort(even, kind="stable")]
+        yield pd.DataFrame({"cluster": rows["cluster"].astype("int64"), "place": np.arange(1, n + 1)})
 
     return centres.coalesce(1).mapInPandas(ordered, "cluster long, place int")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from larkspar.functions import labels as L
 from larkspar.functions import names as N
-from larkspar.functions.vectors import doubles, norm
-from larkspar.operators import audit, captures, claims, clusters, hierarchy, layout, merge, neighbours, order, scope, timeline
+from larkspar.functions.vectors import doubles, norm, normalised
+from larkspar.operators import audit, captures, claims, clusters, hierarchy, layout, merge, neighbours, order, scope, spectral, timeline
 from larkspar.plans.oracle import ORACLE_SQL
 from larkspar.sources import readers
 from larkspar.storage import shared_dir
@@ -421,6 +421,13 @@ def seriate_centroids(t):
     return layout.spectral_order(vectors(t))
 
 
+@query
+def seriate_vectors(t):
+    """All vectors in the order of the second eigenvector of their similarities."""
+    v = vectors(t).select("key", normalised(F.col("v")).alias("v"))
+    return spectral.image_order(v)
+
+
 @query
 def timeline_rank(t):
     return timeline.ranked(trip_rows(t).select(F.col("trip").alias("name")).distinct()).withColumn("date", F.col("date").cast("string"))
