@@ -56,20 +56,20 @@ def cluster_tile_starts(spans: DataFrame, tiles: int, warp: float) -> DataFrame:
 def radii(vectors: DataFrame) -> DataFrame:
     """vectors (cluster, key, v) with radius (distance to the centroid), rank in the cluster and share of it within."""
     r = vectors.join(centroids(vectors), "cluster").select("cluster", "key", F.round(distance(F.col("v"), F.col("centroid")), 9).alias("radius"))
-    order = W.partitionBy("cluster").orderBy("radius", "key")
-    sizes = vectors.groupBy("cluster").agg(F.count("*").alias("n"))
-    return r.withColumn("rank", F.row_number().over(order)).join(sizes, "cluster")
+    line = numbered(r, "_at", "cluster", "radius", "key")
+    begins = line.groupBy("cluster").agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    return line.join(begins, "cluster").select("cluster", "key", "radius", (F.col("_at") - F.col("_first") + 1).cast("int").alias("rank"), "n")
 
 
 def profile(ranked: DataFrame) -> DataFrame:
-    """Per cluster: effective dimension (slope of log rank by log radius from the 0.1 to the 0.9 quantile), area and shape."""
+    """Per cluster: effective dimension (slope of log rank by log radius from the 0.1 to the 0.9 quantile), area below the share within by the share of the largest radius, and shape."""
     lo, hi = F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)), F.greatest(F.lit(2), F.floor(F.col("n") * 0.9))
     inside = F.col("rank").between(lo + 1, hi) & (F.col("radius") > 0)
     slope = F.regr_slope(F.when(inside, F.log(F.col("rank") / F.col("n"))), F.when(inside, F.log("radius")))
-    before = W.partitionBy("cluster").orderBy("rank")
-    top = ranked.groupBy("cluster").agg(F.max("radius").alias("far"), F.min("radius").alias("near"))
-    steps = ranked.join(top, "cluster").withColumn("x", (F.col("radius") - F.col("near")) / F.nullif(F.col("far") - F.col("near"), F.lit(0.0))).withColumn("y", F.col("rank") / F.col("n"))
-    steps = steps.withColumn("part", (F.col("x") - F.lag("x").over(before)) * (F.col("y") + F.lag("y").over(before)) / 2)
+    far = ranked.groupBy("cluster").agg(F.max("radius").alias("far"))
+    at = ranked.join(far, "cluster").select("cluster", "rank", "n", "radius", (F.col("radius") / F.nullif(F.col("far"), F.lit(0.0))).alias("x"), (F.col("rank") / F.col("n")).alias("y"))
+    before = at.select("cluster", (F.col("rank") + 1).alias("rank"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    steps = at.join(before, ["cluster", "rank"], "left").withColumn("part", (F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2)
     out = steps.groupBy("cluster").agg(F.max("n").alias("n"), F.round(slope, 6).alias("dimension"), F.round(F.sum("part"), 6).alias("auc"))
     return out.withColumn("shape", F.when(F.col("auc") > 0.5, "concave").otherwise("convex"))
 

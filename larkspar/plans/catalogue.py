@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from larkspar.functions import labels as L
 from larkspar.functions import names as N
 from larkspar.functions.vectors import doubles, norm, normalised
-from larkspar.operators import audit, captures, claims, clusters, hierarchy, layout, merge, neighbours, order, scope, spectral, timeline
+from larkspar.operators import audit, captures, claims, clusters, hierarchy, layout, merge, neighbours, order, radial, scope, spectral, timeline
 from larkspar.plans.oracle import ORACLE_SQL
 from larkspar.sources import readers
 from larkspar.storage import shared_dir
@@ -375,6 +375,27 @@ def effective_dimension(t):
     return layout.profile(layout.radii(vectors(t)))
 
 
+@query
+def radial_fits(t):
+    """Of each label's radii the mode of their density, a chi fit, and whether that holds."""
+    return radial.fits(layout.radii(vectors(t)))
+
+
+@query
+def dimension_resampled(t):
+    """Effective dimensions on equal terms: 25 draws of as many vectors as the smallest label has."""
+    return radial.resampled(vectors(t)).withColumn("dimension", F.round("dimension", 6))
+
+
+@query
+def direction_auc(t):
+    """How well one direction tells the three largest labels apart, in pairs, on the half that it was not learned from."""
+    v = vectors(t).select("key", F.col("cluster").alias("label"), "v")
+    top = v.groupBy("label").count().orderBy(F.desc("count"), "label").limit(3)
+    pairs = top.select(F.col("label").alias("first")).join(top.select(F.col("label").alias("second")), F.col("first") < F.col("second"))
+    return radial.direction_auc(v, pairs, F.col("key") % 2 == 1).withColumn("auc", F.round("auc", 6))
+
+
 @query
 def adjacency_cos(t):
     return layout.steps(in_order(t))

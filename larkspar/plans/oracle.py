@@ -133,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT a.tile AS tile_a, b.tile AS tile_b, round(avg(list_inner_product(a.v, b.v)), 6) AS mean_similarity FROM t a JOIN t b ON a.tile <= b.tile GROUP BY ALL""",
     "radius_rank": f"WITH {V}, {CENT} SELECT cluster, key, round(round(list_distance(v, centroid), 9), 6) AS radius, row_number() OVER (PARTITION BY cluster ORDER BY round(list_distance(v, centroid), 9), key) AS rank, count(*) OVER (PARTITION BY cluster) AS n FROM v JOIN cent USING (cluster)",
     "effective_dimension": f"""WITH {V}, {CENT}, r AS (SELECT cluster, round(list_distance(v, centroid), 9) AS radius, row_number() OVER (PARTITION BY cluster ORDER BY round(list_distance(v, centroid), 9), key) AS rank, count(*) OVER (PARTITION BY cluster) AS n FROM v JOIN cent USING (cluster)),
-      i AS (SELECT *, rank BETWEEN greatest(1, floor(n * 0.1)) + 1 AND greatest(2, floor(n * 0.9)) AND radius > 0 AS ok, (radius - min(radius) OVER w) / nullif(max(radius) OVER w - min(radius) OVER w, 0) AS x, rank / n AS y FROM r WINDOW w AS (PARTITION BY cluster)),
+      i AS (SELECT *, rank BETWEEN greatest(1, floor(n * 0.1)) + 1 AND greatest(2, floor(n * 0.9)) AND radius > 0 AS ok, radius / nullif(max(radius) OVER w, 0) AS x, rank / n AS y FROM r WINDOW w AS (PARTITION BY cluster)),
       a AS (SELECT *, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS part FROM i WINDOW w AS (PARTITION BY cluster ORDER BY rank))
       SELECT cluster, max(n) AS n, round(regr_slope(CASE WHEN ok THEN ln(rank / n) END, CASE WHEN ok THEN ln(radius) END), 6) AS dimension, round(sum(part), 6) AS auc, CASE WHEN round(sum(part), 6) > 0.5 THEN 'concave' ELSE 'convex' END AS shape FROM a GROUP BY cluster""",
     "adjacency_cos": f"WITH {V}, {ORDERED}, x AS (SELECT *, lead(v) OVER w AS nv, lead(cluster) OVER w AS nc FROM o WINDOW w AS (ORDER BY position)) SELECT position, key, cluster, round(1 - list_inner_product(v, nv), 6) AS gap, CAST(cluster <> nc AS INTEGER) AS boundary FROM x WHERE nv IS NOT NULL",
@@ -228,3 +228,9 @@ ORACLE_SQL |= {
     "label_attach": "SELECT o_orderkey AS key, (SELECT arg_max(l_returnflag, (l_linenumber, l_partkey, l_returnflag)) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 2) AS label FROM orders",
     "vector_fingerprints": """SELECT 'm' || (label % 2) || '@' || CASE WHEN vec_id % 7 < 2 OR vec_id % 3 = 0 THEN '(unrecorded)' ELSE CAST(vec_id % 3 * 224 AS VARCHAR) END AS fingerprint, count(*) AS n FROM embeddings GROUP BY 1""",
 }
+# The rank sum of held-out scores along the difference of the other half's means, for pairs of the three largest labels.
+ORACLE_SQL["direction_auc"] = f"""WITH {V}, top AS (SELECT cluster FROM v GROUP BY cluster ORDER BY count(*) DESC, cluster LIMIT 3), p AS (SELECT a.cluster AS first, b.cluster AS second FROM top a JOIN top b ON a.cluster < b.cluster),
+  m AS (SELECT cluster, list(x ORDER BY i) AS mean FROM (SELECT cluster, i, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM v WHERE key % 2 = 0) GROUP BY ALL) GROUP BY cluster),
+  s AS (SELECT first, second, v.cluster = first AS is_first, round(list_inner_product(v.v, list_transform(range(1, len(a.mean) + 1), lambda i: a.mean[i] - b.mean[i])), 9) AS score FROM p JOIN m a ON a.cluster = first JOIN m b ON b.cluster = second JOIN v ON v.cluster IN (first, second) WHERE key % 2 = 1),
+  r AS (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY score) + (count(*) OVER (PARTITION BY first, second, score) - 1) / 2 AS rank FROM s)
+  SELECT first, second, count(*) FILTER (is_first) AS n_first, count(*) FILTER (NOT is_first) AS n_second, round((sum(rank) FILTER (is_first) - count(*) FILTER (is_first) * (count(*) FILTER (is_first) + 1) / 2) / (count(*) FILTER (is_first) * count(*) FILTER (NOT is_first)), 6) AS auc FROM r GROUP BY first, second"""
