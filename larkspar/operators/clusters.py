@@ -121,11 +121,6 @@ def frequent_only(rows: DataFrame, label: str, least: int) -> DataFrame:
     return rows.join(often, label, "left_semi")
 
 
-def within(rows: DataFrame, cluster: str, *order: Column | str) -> DataFrame:
-    """rows with their rank in their cluster."""
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(cluster).orderBy(*order)))
-
-
 def density_peaks(rows: DataFrame) -> DataFrame:
     """rows (cluster, key, position, probability): of each cluster the member with the highest probability, the first of equal ones."""
     peak = F.max_by("key", F.struct("probability", -F.col("position")))

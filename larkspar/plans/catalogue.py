@@ -16,10 +16,11 @@ from larkspar.functions import labels as L
 from larkspar.functions import names as N
 from larkspar.functions.vectors import doubles, norm, normalised
 from larkspar.operators import audit, captures, claims, clusters, hierarchy, layout, merge, neighbours, order, radial, scope, spectral, timeline
+from larkspar.plans import marks
 from larkspar.plans.oracle import ORACLE_SQL
 from larkspar.sources import readers
 from larkspar.storage import shared_dir
-from larkspar.streaming import incremental
+from larkspar.streaming import connectors, event_time, incremental
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -662,3 +663,72 @@ def incremental_upsert(t):
     folder = shared_dir(events.sparkSession)
     events.write.parquet(f"{folder}/arrivals")
     return incremental.newest(events.sparkSession, f"{folder}/arrivals", folder, "user_id", "event_id")
+
+
+@query
+def event_windows(t):
+    """Events of each type in windows of six hours."""
+    return event_time.window_counts(t("events"), "event_type", "6 hours", "1 hour")
+
+
+@query
+def event_sessions(t):
+    """Users' sessions: events no more than two hours apart; repeated events count once."""
+    e = t("events")
+    twice = e.unionByName(e.filter("event_id % 7 = 0"))
+    return event_time.sessions(event_time.once(twice, "event_id", "1 hour"), "user_id", "2 hours", "1 hour")
+
+
+@query
+def event_session_stream(t):
+    """The sessions that are closed once all events have come, by a stream over files."""
+    e = t("events").select("event_id", "ts", "user_id", "value")
+    folder = shared_dir(e.sparkSession)
+    e.unionByName(e.filter("event_id % 7 = 0")).write.parquet(f"{folder}/arrivals")
+    return event_time.closed_sessions(e.sparkSession, f"{folder}/arrivals", folder, "event_id", "user_id", "2 hours", "1 hour")
+
+
+@query
+def pending_items(t):
+    """Documents that no run has labelled."""
+    return scope.pending(t("documents").select("doc_id"), t("labels").select("doc_id"), "doc_id")
+
+
+@query
+def frequent_names(t):
+    """Parts whose first word of the name stands 20 times at least."""
+    rows = t("part").select("p_partkey", F.split("p_name", " ")[0].alias("word"))
+    return clusters.frequent_only(rows, "word", 20)
+
+
+def answers(t) -> DataFrame:
+    """Documents asked of a stand-in for a model, which fails for some for good."""
+
+    def connect():
+        def ask(items):
+            if (items["doc_id"] % 97 == 0).any():
+                raise connectors.Refused("no answer")
+            return [(len(x or ""), "long" if len(x or "") > 500 else "short") for x in items["text"]]
+
+        return ask
+
+    return connectors.answered(t("documents").select("doc_id", "text"), "doc_id", connect, "n_chars int, label string", connectors.Policy(size=1, concurrent=8))
+
+
+@query
+def model_answers(t):
+    """Answers to every document, and which of them failed."""
+    return answers(t).select("doc_id", "n_chars", "label", "attempts", "error")
+
+
+#: Transforms of label rows: sizes of their sources, then their order by these.
+MARKS = marks.Registry(
+    marks.Transform(1, "add_source_size", lambda rows: rows.join(rows.groupBy("source").agg(F.count("*").alias("source_size")), "source", "left")),
+    marks.Transform(2, "order_by_size", lambda rows: order.numbered(rows, "place", F.desc_nulls_last("source_size"), F.asc_nulls_first("source"), "doc_id"), requires=1),
+)
+
+
+@query
+def marked_order(t):
+    """Documents ordered by the size of their source, which is computed first because the order needs it."""
+    return MARKS.applied(t("documents").select("doc_id", "source"), "order_by_size", resolve=True)

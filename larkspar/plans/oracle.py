@@ -234,3 +234,16 @@ ORACLE_SQL["direction_auc"] = f"""WITH {V}, top AS (SELECT cluster FROM v GROUP
   s AS (SELECT first, second, v.cluster = first AS is_first, round(list_inner_product(v.v, list_transform(range(1, len(a.mean) + 1), lambda i: a.mean[i] - b.mean[i])), 9) AS score FROM p JOIN m a ON a.cluster = first JOIN m b ON b.cluster = second JOIN v ON v.cluster IN (first, second) WHERE key % 2 = 1),
   r AS (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY score) + (count(*) OVER (PARTITION BY first, second, score) - 1) / 2 AS rank FROM s)
   SELECT first, second, count(*) FILTER (is_first) AS n_first, count(*) FILTER (NOT is_first) AS n_second, round((sum(rank) FILTER (is_first) - count(*) FILTER (is_first) * (count(*) FILTER (is_first) + 1) / 2) / (count(*) FILTER (is_first) * count(*) FILTER (NOT is_first)), 6) AS auc FROM r GROUP BY first, second"""
+SESSIONS = """o AS (SELECT *, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS begins FROM events WHERE ts IS NOT NULL),
+  n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o),
+  sessions AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS events, round(sum(value), 2) AS total FROM n GROUP BY user_id, s)"""
+ORACLE_SQL |= {
+    "event_windows": "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "event_sessions": f"WITH {SESSIONS} FROM sessions",
+    "event_session_stream": f"WITH {SESSIONS} FROM sessions WHERE session_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "pending_items": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
+    "frequent_names": "SELECT p_partkey, split_part(p_name, ' ', 1) AS word FROM part QUALIFY count(*) OVER (PARTITION BY split_part(p_name, ' ', 1)) >= 20",
+    "model_answers": """SELECT doc_id, CASE WHEN ok THEN CAST(length(coalesce(text, '')) AS INTEGER) END AS n_chars, CASE WHEN ok THEN CASE WHEN length(coalesce(text, '')) > 500 THEN 'long' ELSE 'short' END END AS label, 1 AS attempts, CASE WHEN NOT ok THEN 'Refused: no answer' END AS error
+      FROM (SELECT *, doc_id % 97 <> 0 AS ok FROM documents)""",
+    "marked_order": "SELECT doc_id, source, source_size, row_number() OVER (ORDER BY source_size DESC, source NULLS FIRST, doc_id) AS place, '' AS \"C_3\" FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS source_size FROM documents)",
+}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,18 +28,3 @@ def newest(spark: SparkSession, source: str, folder: str, key: str, version: str
     rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
     last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c != key]), "batch").alias("x"))
     return last.select(key, "x.*").select(*out.columns)
-
-
-def predicted(items: DataFrame, predict: Callable, schema: str, done: DataFrame, key: str) -> DataFrame:
-    """Answers of a model for the items that have none yet.
-
-    ``predict`` takes an iterator of pandas frames and yields frames of ``schema``; it makes its connection
-    once per task and turns an item's failure into a default answer, so that Spark's retries are for tasks.
-    """
-    return items.join(done.select(key), key, "left_anti").mapInPandas(predict, schema)
-
-
-def event_counts(events: DataFrame, width: str, lateness: str) -> DataFrame:
-    """Counts and sums per event type and tumbling window of a stream (or table) of events."""
-    counted = events.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total"))
-    return counted.select(F.col("w.start").alias("window_start"), "event_type", "events", "total")
