@@ -1,48 +1,138 @@
-"""Exact nearest neighbours by blocked matrix products, and what is built on them."""
+"""Exact nearest neighbours by matrix products of the blocks that may hold them, and what is built on them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspar.operators.components import components, forest
-from larkspar.storage import stored
+from larkspar.storage import Scratch, stored
 
-BLOCK = 4_096
+#: Vectors of a block, about, and pivots at most: what tasks hold beside their rows.
+BLOCK, MOST_PIVOTS = 4_096, 1_024
+#: What rounding may take from a distance.
+SLACK = 1e-6
 
 
-def nearest(vectors: DataFrame, k: int = 1) -> DataFrame:
-    """vectors (key, v): of each the k others with the highest cosine, ties by key: key, rank, other, cosine.
+def units(column: pa.Array) -> np.ndarray:
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def apart(cosine: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
+
+
+def best_of(keys: np.ndarray, x: np.ndarray, other_keys: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
+    """Of each of x the k of y with the highest cosine, ties by key, itself left out.
 
-    Blocks of keys meet in pairs; a task keeps the k best of its block only.  The cosine is rounded to
-    12 places before ranking, so that the order of a sum does not decide a tie.
+    The cosine is rounded to 12 places before ranking, so that the order of a sum does not decide a tie.
     """
+    order, out = np.argsort(other_keys, kind="stable"), []
+    other_keys, y = other_keys[order], y[order]
+    for at in range(0, len(x), 1024):
+        c = np.round(x[at : at + 1024] @ y.T, 12)
+        own = keys[at : at + 1024]
+        c[own[:, None] == other_keys[None, :]] = -np.inf
+        n = min(k, c.shape[1])
+        top = np.argsort(-c, axis=1, kind="stable")[:, :n] if k > 1 else c.argmax(1)[:, None]
+        out.append(pd.DataFrame({"key": np.repeat(own, n), "other": other_keys[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()}))
+    found = pd.concat(out)
+    return found[found["cosine"] > -np.inf]
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"key": [], "other": [], "cosine": []})
-        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        b = b.sort_values("key", ignore_index=True)
-        x, y = unit(np.stack(a["v"].to_numpy())), unit(np.stack(b["v"].to_numpy()))
-        out = []
-        for at in range(0, len(x), 1024):
-            c = np.round(x[at : at + 1024] @ y.T, 12)
-            c[a["key"].to_numpy()[at : at + 1024, None] == b["key"].to_numpy()[None, :]] = -np.inf
-            n = min(k, c.shape[1])
-            top = np.argsort(-c, axis=1, kind="stable")[:, :n] if k > 1 else c.argmax(1)[:, None]
-            out.append(pd.DataFrame({"key": np.repeat(a["key"].to_numpy()[at : at + 1024], n), "other": b["key"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()}))
-        return pd.concat(out)
 
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    all_ = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = vectors.select("key", "v", own.alias("bi"), all_.alias("bj"))
-    b = vectors.select("key", "v", own.alias("bj"), all_.alias("bi"))
-    found = a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInPandas(best, "key long, other long, cosine double").filter("cosine > double('-infinity')")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("cosine"), "other"))).filter(F.col("rank") <= k)
+FOUND = "key long, other long, cosine double"
+
+
+def celled(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """vectors as unit vectors with the cell (nearest pivot) and the distance to it; and the pivots, by hashed keys.
+
+    Vectors without length are in a cell of their own, -1: they are as far from all others as unlike ones are, which is no distance.
+    """
+    pivots = min(MOST_PIVOTS, max(1, -(-vectors.count() // BLOCK)))
+    some = vectors.filter(F.exists("v", lambda c: c != 0)).orderBy(F.xxhash64("key"), "key").limit(pivots).toPandas()["v"]
+    p = np.stack(some.to_numpy()) if len(some) else np.zeros((0, 1))
+    p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = units(batch.column("v"))
+            length = np.linalg.norm(x, axis=1) > 0.5
+            cell, d = np.full(len(x), -1), np.zeros(len(x))
+            if length.any():
+                c = x[length] @ p.T
+                cell[length], d[length] = c.argmax(1), apart(c.max(1))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())), pa.array(cell.astype(np.int32)), pa.array(d)], ["key", "v", "cell", "d"])
+
+    return vectors.select("key", "v").mapInArrow(run, "key long, v array<double>, cell int, d double"), p
+
+
+def routed(rows: DataFrame, bounds: DataFrame, cells: list[tuple[int, float, int]], pivots: np.ndarray) -> DataFrame:
+    """rows (key, v, cell, part) to each other block (to_cell, to_part) that may hold a nearer vector than their bound.
+
+    By the triangle inequality a block whose cell's pivot is further away than the bound and the cell's radius holds none.
+    """
+    number, radius, parts = (np.array(c) for c in zip(*cells, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = units(batch.column("v"))
+            own, part, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "bound"))
+            bound = np.where(np.isnan(bound.astype(float)), np.inf, bound.astype(float))
+            to_row, to_cell, to_part = [], [], []
+            for c, r, n in zip(number.tolist(), radius.tolist(), parts.tolist(), strict=True):
+                near = np.full(len(x), True) if c == -1 else (apart(x @ pivots[c]) - r <= bound + SLACK) | (own == -1)
+                for j in range(n):
+                    rows_ = np.flatnonzero(near & ~((own == c) & (part == j)))
+                    to_row.append(rows_)
+                    to_cell.append(np.full(len(rows_), c, np.int32))
+                    to_part.append(np.full(len(rows_), j, np.int32))
+            at = np.concatenate(to_row)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(np.concatenate(to_cell)), pa.array(np.concatenate(to_part))], ["key", "v", "to_cell", "to_part"])
+
+    return rows.join(bounds, "key", "left").select("key", "v", "cell", "part", "bound").mapInArrow(run, "key long, v array<double>, to_cell int, to_part int")
+
+
+def nearest(vectors: DataFrame, k: int = 1) -> DataFrame:
+    """vectors (key, v): of each the k others with the highest cosine, ties by key: key, rank, other, cosine.
+
+    Vectors are dealt to the cells of pivots, large cells in parts.  Each finds its k best in its own block; that bounds
+    how far away a better one can be, and it is shipped to those blocks only that may hold one.
+    """
+    dealt, pivots = celled(vectors)
+    with Scratch(vectors.sparkSession) as scratch:
+        rows = scratch.stored(dealt, "celled")
+        sizes = rows.groupBy("cell").agg(F.max("d").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        cells = [tuple(r) for r in sizes.orderBy("cell").collect()]  # MOST_PIVOTS and one
+        if not cells:
+            return vectors.sparkSession.createDataFrame([], "key long, other long, cosine double, rank int")
+        parts = F.element_at(F.create_map(*[F.lit(x) for c, _, n in cells for x in (c, n)]), F.col("cell"))
+        rows = rows.select("key", "v", "cell", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"))
+
+        def inside(t: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(t["v"].to_numpy())
+            return best_of(t["key"].to_numpy(), x, t["key"].to_numpy(), x, k)
+
+        def across(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"key": [], "other": [], "cosine": []})
+            return best_of(a["key"].to_numpy(), np.stack(a["v"].to_numpy()), b["key"].to_numpy(), np.stack(b["v"].to_numpy()), k)
+
+        own = stored(rows.groupBy("cell", "part").applyInPandas(inside, FOUND), "own")
+        found = own
+        if sum(n for *_, n in cells) > 1:
+            bound = F.when(F.count("*") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("cosine"))))
+            queries = routed(rows, own.groupBy("key").agg(bound.alias("bound")), cells, pivots)
+            found = own.unionByName(queries.groupBy("to_cell", "to_part").cogroup(rows.groupBy("cell", "part")).applyInPandas(across, FOUND))
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("cosine"), "other"))).filter(F.col("rank") <= k)
+        return stored(found, "nearest")
 
 
 def scored(nearest_one: DataFrame, labels: DataFrame, frequent: int) -> DataFrame:

@@ -38,6 +38,10 @@ class Policy:
             raise ValueError("sizes and attempts are 1 at least")
 
 
+#: Requests whose answers leave a task together.
+TOGETHER = 64
+
+
 class Refused(Exception):
     """A service's answer that no further attempt can change."""
 
@@ -75,16 +79,20 @@ def answered(items: DataFrame, key: str, connect: Callable[[], Callable[[pd.Data
                 yield batch.iloc[first : first + policy.size].reset_index(drop=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = None
+        ask, done = None, []
         with ThreadPoolExecutor(policy.concurrent) as pool:
             waiting: list = []
             for request in requests(batches):
                 ask = ask or connect()
                 waiting.append((request, pool.submit(tried, ask, request, policy)))
                 if len(waiting) == policy.concurrent:
-                    yield framed(*waiting.pop(0))
-            while waiting:
-                yield framed(*waiting.pop(0))
+                    done.append(framed(*waiting.pop(0)))
+                if len(done) == TOGETHER:
+                    yield pd.concat(done)
+                    done = []
+            done += [framed(*w) for w in waiting]
+            if done:
+                yield pd.concat(done)
 
     def framed(request: pd.DataFrame, future) -> pd.DataFrame:
         answers, attempts, error = future.result()
