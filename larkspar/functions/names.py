@@ -61,6 +61,12 @@ def path_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://", ""), r"[?#].*$", "")
 
 
+def display_path(path: Column, root: str) -> Column:
+    """A path from the root on where it is inside, else as it is."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
+
+
 def path_parts(key: Column) -> Column:
     """(library, trip, stem) of a path: its first part, what is between, and the last."""
     parts = F.split(key, "/")

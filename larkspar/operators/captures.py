@@ -57,3 +57,13 @@ def misplaced(rows: DataFrame, threshold: int = 2) -> DataFrame:
     return wrong.select(F.lit("trip").alias("kind"), "trip", F.lit(None).cast("long").alias("key"), "outliers", "first", "last").unionByName(
         strays.select(F.lit("stray").alias("kind"), "trip", "key", F.lit(1).cast("long").alias("outliers"), F.col("captured").alias("first"), F.col("captured").alias("last"))
     )
+
+
+def self_agreement(rows: DataFrame, capture: str, *values: str) -> DataFrame:
+    """How often captures that were exported more than once got the same values: captures, and for each value same_ and its share.
+
+    A null value is a value; captures without a name (null) are not told apart and left out.
+    """
+    one = rows.filter(F.col(capture).isNotNull()).groupBy(capture).agg(F.count("*").alias("_n"), *[(F.count_distinct(v) + F.max(F.col(v).isNull().cast("int")) == 1).alias(v) for v in values]).filter("_n > 1")
+    counts = [x for v in values for x in (F.count_if(v).alias(f"same_{v}"), F.round(F.count_if(v) / F.count("*"), 6).alias(f"share_{v}"))]
+    return one.agg(F.count("*").alias("captures"), *counts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,6 +96,19 @@ def missing(images: DataFrame, sidecars: DataFrame, entries: DataFrame) -> DataF
     return found.orderBy(F.col("reason") != UNREPORTED, "folder", "stem")
 
 
+def unprocessed(images: DataFrame, sidecars: DataFrame, categories: Column) -> DataFrame:
+    """Sidecars (folder, stem, keywords) that carry no label: those whose image is there first, then by folder and stem.
+
+    ``categories`` is the list of a sidecar's categories, as an expression; a sidecar that cannot be read (keywords is null) is not among
+    them.  Columns: jpg_available, reason, folder, stem, verdict, copies (images that are its own).
+    """
+    open_ = sidecars.filter(F.col("keywords").isNotNull() & ((F.size("keywords") == 0) | (F.size(categories) == 0)))
+    reason = F.when(F.size("keywords") == 0, "no keywords").otherwise("keywords but no category")
+    rows = open_.select("folder", "stem", reason.alias("reason")).join(resolve(images, sidecars), ["folder", "stem"])
+    found = rows.select((F.col("n_images") > 0).alias("jpg_available"), "reason", "folder", "stem", "verdict", F.col("n_images").alias("copies"))
+    return found.orderBy(~F.col("jpg_available"), "folder", "stem")
+
+
 def existing(named: DataFrame, tree: DataFrame, *key: str) -> DataFrame:
     """named rows whose key the tree has, and - as the column missing of each - how many of all it has not."""
     there = tree.select(*key).distinct().withColumn("_there", F.lit(1))

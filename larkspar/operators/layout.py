@@ -150,6 +150,15 @@ def date_slots(groups: DataFrame, per_day: int = 1_440) -> DataFrame:
     return running(days, "days", "before").select("position", "size", "days", F.col("before").alias("first_day"))
 
 
+def member_slots(members: DataFrame, slots: DataFrame, per_day: int = 1_440) -> DataFrame:
+    """members (position of their group, rank in it from 1, and others) with the day and the minute that they fall on.
+
+    slots: see date_slots; a group's members follow each other minute by minute, over as many days as it takes.
+    """
+    k = F.col("rank") - 1
+    return members.join(slots.select("position", "first_day"), "position").withColumns({"day": (F.col("first_day") + F.floor(k / per_day)).cast("long"), "minute": (k % per_day).cast("int")}).drop("first_day")
+
+
 def running(rows: DataFrame, value: str, name: str, part: int = 50_000) -> DataFrame:
     """rows (position) with the sum of the values at smaller positions, in parts of the positions and over the parts."""
     parts = rows.withColumn("_part", F.floor(F.col("position") / part))
@@ -235,3 +244,12 @@ def spectral_order(vectors: DataFrame) -> DataFrame:
         yield pd.DataFrame({"cluster": rows["cluster"].astype("int64"), "place": np.arange(1, n + 1)})
 
     return centres.coalesce(1).mapInPandas(ordered, "cluster long, place int")
+
+
+def display_order(vectors: DataFrame, least: int) -> DataFrame:
+    """vectors (cluster, key, v) as they are shown: clusters in spectral order, members from the core outwards.
+
+    Columns: cluster, place (of the cluster), key, rank (in it), kept (whether it has ``least`` members; others are the tail, in the
+    same order).
+    """
+    return radii(vectors).join(spectral_order(vectors), "cluster").select("cluster", "place", "key", "rank", (F.col("n") >= least).alias("kept"))

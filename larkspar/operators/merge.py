@@ -59,13 +59,14 @@ def decide(rows: DataFrame, explicit: DataFrame, recheck: DataFrame) -> DataFram
 
 
 def compare_trees(left: DataFrame, right: DataFrame, keywords: Column) -> DataFrame:
-    """Each row (path, content) of left against right: identical, keywords-differ, keywords-intact-other-differs or not-in-reference.
+    """Each row (path, content) of left against right: identical, keywords-differ, keywords-intact-other-differs, not-in-reference or unparseable.
 
-    ``keywords`` is the part of a content that matters, as an expression over ``content``.
+    ``keywords`` is the part of a content that matters, as an expression over ``content``; it is null where that cannot be read, which
+    makes a pair of different contents unparseable.
     """
     a = left.select("path", F.md5("content").alias("digest"), keywords.alias("kept"))
     b = right.select("path", F.md5("content").alias("r_digest"), keywords.alias("r_kept"), F.lit(True).alias("there"))
-    status = F.when(F.col("there").isNull(), "not-in-reference").when(F.col("digest").eqNullSafe(F.col("r_digest")), "identical").when(F.col("kept").eqNullSafe(F.col("r_kept")), "keywords-intact-other-differs").otherwise("keywords-differ")
+    status = F.when(F.col("there").isNull(), "not-in-reference").when(F.col("digest").eqNullSafe(F.col("r_digest")), "identical").when(F.col("kept").isNull() | F.col("r_kept").isNull(), "unparseable").when(F.col("kept") == F.col("r_kept"), "keywords-intact-other-differs").otherwise("keywords-differ")
     return a.join(b, "path", "left").select("path", status.alias("status"))
 
 

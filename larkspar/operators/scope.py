@@ -40,6 +40,18 @@ def needs_relabel(category: Column, confidence: Column, note: Column, threshold:
     return F.coalesce(found == "animal", F.lit(False)) | (F.coalesce(confidence.try_cast("double"), F.lit(1.0)) < threshold)
 
 
+def focused(rows: DataFrame, cluster: str, name: str, wanted: str) -> DataFrame:
+    """Rows of the cluster with this id, or else of the one whose name holds the text; several are an error, as is none."""
+    text = F.col(cluster).cast("string")
+    named = rows.select(text.alias("id"), F.col(name).alias("name")).filter((F.col("id") == wanted) | F.coalesce(F.contains("name", F.lit(wanted)), F.lit(False)))
+    found = sorted({r[0] for r in named.select("id").distinct().orderBy(F.col("id") != wanted, "id").limit(3).collect()}, key=lambda c: (c != wanted, c))
+    if not found:
+        raise ValueError(f"no cluster {wanted!r}")
+    if found[0] != wanted and len(found) > 1:
+        raise ValueError(f"{wanted!r} is in the names of several clusters: {', '.join(found)}")
+    return rows.filter(text == found[0])
+
+
 def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Items that no earlier run has finished."""
     return items.join(done.select(key), key, "left_anti")

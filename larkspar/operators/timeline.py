@@ -98,6 +98,18 @@ def segments(last: DataFrame) -> DataFrame:
     return last.join(begins.withColumnRenamed("at", "pos"), ["group", "pos"], "left").select("group", "pos", running.alias("segment"))
 
 
+def cuts(frames: DataFrame, parts: DataFrame) -> DataFrame:
+    """What opened each segment but the first of a group: group, segment, pos, the key that would have come again, and owner, the first trip
+    (its pos) of the segment before that holds it.
+
+    frames: group, pos, key; parts: see segments.
+    """
+    held = frames.select("group", "pos", "key").distinct().join(parts, ["group", "pos"])
+    first = parts.groupBy("group", "segment").agg(F.min("pos").alias("pos"))
+    owners = held.groupBy("group", "segment", "key").agg(F.min("pos").alias("owner")).withColumn("segment", F.col("segment") + 1)
+    return held.join(first, ["group", "segment", "pos"], "left_semi").join(owners, ["group", "segment", "key"]).select("group", "segment", "pos", "key", "owner")
+
+
 def verify(frames: DataFrame, parts: DataFrame) -> DataFrame:
     """Per segment: trips, files, keys, and keys that more than one of its trips holds (must be none)."""
     held = frames.groupBy("group", "pos", "key").agg(F.count("*").alias("n")).join(parts, ["group", "pos"])

@@ -732,3 +732,41 @@ MARKS = marks.Registry(
 def marked_order(t):
     """Documents ordered by the size of their source, which is computed first because the order needs it."""
     return MARKS.applied(t("documents").select("doc_id", "source"), "order_by_size", resolve=True)
+
+
+@query
+def unprocessed_worklist(t):
+    """Sidecars without a label: of every third one no keywords, of some keywords of others, of one in eleven nothing that can be read."""
+    images, side = trees(t)
+    n = F.length("stem") + F.length("folder")
+    words = F.when(n % 11 == 0, F.lit(None)).when(n % 3 == 0, F.array().cast("array<string>")).when(n % 3 == 1, F.array(F.lit("holiday"))).otherwise(F.array(F.lit("bird"), F.lit("holiday")))
+    return claims.unprocessed(images, side.withColumn("keywords", words), F.filter("keywords", lambda k: k.isin(*L.CATEGORIES)))
+
+
+@query
+def segment_cuts(t):
+    f = frames(t)
+    return timeline.cuts(f, timeline.segments(timeline.conflicts(f)))
+
+
+@query
+def display_order(t):
+    """Labels in spectral order, their vectors from the core outwards; labels of fewer than 200 are the tail."""
+    return layout.display_order(vectors(t), 200)
+
+
+@query
+def date_plan(t):
+    """Days and slots of all users' events, in time, a user's events taking whole days of 24 slots."""
+    of = t("events").groupBy("user_id").agg(F.count("*").alias("size"))
+    users = order.numbered(of, "position", "user_id").withColumn("position", F.col("position").cast("long"))
+    line = order.numbered(t("events").select("user_id", "ts", "event_id"), "at", "user_id", "ts", "event_id")
+    first = line.groupBy("user_id").agg(F.min("at").alias("first"))
+    members = line.join(first, "user_id").join(users.select("user_id", "position"), "user_id").select("event_id", "position", (F.col("at") - F.col("first") + 1).alias("rank"))
+    return layout.member_slots(members, layout.date_slots(users.select("position", "size"), 24), 24)
+
+
+@query
+def duplicate_agreement(t):
+    """Whether documents with one text agree in language and source."""
+    return captures.self_agreement(t("documents").select(F.sha2("text", 256).alias("capture"), "lang", "source"), "capture", "lang", "source")

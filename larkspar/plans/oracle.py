@@ -247,3 +247,18 @@ ORACLE_SQL |= {
       FROM (SELECT *, doc_id % 97 <> 0 AS ok FROM documents)""",
     "marked_order": "SELECT doc_id, source, source_size, row_number() OVER (ORDER BY source_size DESC, source NULLS FIRST, doc_id) AS place, '' AS \"C_3\" FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS source_size FROM documents)",
 }
+ORACLE_SQL |= {
+    "unprocessed_worklist": f"""WITH {RESOLVED}, given AS (SELECT folder, base AS stem FROM (SELECT f.folder, f.stem, o.stem AS base, row_number() OVER (PARTITION BY f.folder, f.stem ORDER BY len(o.stem) DESC) AS n FROM free f JOIN open o ON f.folder = o.folder AND starts_with(f.stem, o.stem || '-')) WHERE n = 1), v AS (SELECT folder, stem, 'ok' AS verdict, CAST(1 AS BIGINT) AS copies FROM (FROM side INTERSECT FROM img)
+      UNION ALL SELECT folder, stem, 'derived', count(*) FROM given GROUP BY ALL UNION ALL SELECT folder, stem, verdict, 0 FROM lost),
+      k AS (SELECT *, len(stem) + len(folder) AS n FROM v)
+      SELECT copies > 0 AS jpg_available, CASE n % 3 WHEN 0 THEN 'no keywords' ELSE 'keywords but no category' END AS reason, folder, stem, verdict, copies FROM k WHERE n % 11 <> 0 AND n % 3 < 2""",
+    "segment_cuts": f"""WITH RECURSIVE {FRAMES}, {CONFLICTS}, {WALK}, h AS (SELECT DISTINCT f."group", f.pos, f.key, segment FROM f JOIN seg ON f."group" = seg."group" AND f.pos = seg.pos)
+      SELECT a."group", a.segment, a.pos, a.key, min(b.pos) AS owner FROM h a JOIN h b ON a."group" = b."group" AND a.segment = b.segment + 1 AND a.key = b.key
+      WHERE a.pos = (SELECT min(pos) FROM seg WHERE seg."group" = a."group" AND seg.segment = a.segment) GROUP BY ALL""",
+    "date_plan": """WITH u AS (SELECT user_id, count(*) AS size, row_number() OVER (ORDER BY user_id) AS position FROM events GROUP BY user_id),
+      d AS (SELECT user_id, position, CAST(coalesce(sum(greatest(1, CAST(ceil(size / 24) AS BIGINT))) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_day FROM u),
+      e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events)
+      SELECT event_id, position, rank, first_day + (rank - 1) // 24 AS day, CAST((rank - 1) % 24 AS INTEGER) AS minute FROM e JOIN d USING (user_id)""",
+    "duplicate_agreement": """WITH g AS (SELECT text, count(DISTINCT coalesce(lang, '-')) = 1 AS l, count(DISTINCT coalesce(source, '-')) = 1 AS s FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)
+      SELECT count(*) AS captures, count(*) FILTER (l) AS same_lang, round(count(*) FILTER (l) / count(*), 6) AS share_lang, count(*) FILTER (s) AS same_source, round(count(*) FILTER (s) / count(*), 6) AS share_source FROM g""",
+}

@@ -46,6 +46,18 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_line", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_line", "_n")
 
 
+def vectors_for(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The vectors of keys (position, key), one row for each: position, key, embedding. A key that the file lacks is an error.
+
+    A frame has no order of its own: position is what the rows are ordered by.
+    """
+    found = keys.join(embeddings(spark, path).select("key", "embedding"), "key", "left").select("position", "key", "embedding")
+    lost = found.filter("embedding IS NULL").agg(F.count_distinct("key"), F.min("key")).first()
+    if lost[0]:
+        raise ValueError(f"{lost[0]} keys are not in {path}, e.g. {lost[1]}")
+    return found
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Paths of a scope list: # begins a comment, either slash separates; an empty list is an error."""
     line = F.trim(F.regexp_replace("value", r"#.*$", ""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def append(rows: DataFrame, path: str, partition: str | None = None) -> None:
@@ -27,3 +28,9 @@ def csv(rows: DataFrame, path: str) -> None:
 
 def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def spreadsheet(rows: DataFrame, path: str, *columns: str) -> None:
+    """The named columns as CSV that spreadsheet programs take for UTF-8: each part begins with a byte order mark and a header."""
+    first, *rest = columns
+    csv(rows.select(F.col(first).alias(f"\ufeff{first}"), *rest), path)

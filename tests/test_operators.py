@@ -254,3 +254,61 @@ def test_incremental_runs_go_on(spark, tmp_path):
 
     assert arrive([("a", 1, "p"), ("a", 2, "q")]) == {("a", 2, "q", 2)}
     assert arrive([("a", 0, "r"), ("b", 5, "s")]) == {("a", 2, "q", 3), ("b", 5, "s", 1)}
+
+
+def test_runs_are_protected_and_know_their_vectors(spark, tmp_path):
+    from larkspar.sources import runs
+
+    root, rows = f"{tmp_path}/cluster", spark.range(2).toDF("key")
+    with pytest.raises(FileNotFoundError):
+        runs.resolve_runs(spark, root)
+    run = f"{root}/mcs5"
+    rows.write.parquet(f"{run}/half")
+    runs.begin(spark, run)  # a partial run is cleared
+    (tmp_path / "embed").mkdir()
+    (tmp_path / "v.jsonl").write_text("")
+    runs.finish(spark, run, rows, {"source": f"{tmp_path}/v.jsonl", "n": 2})
+    with pytest.raises(runs.Finished):
+        runs.begin(spark, run)
+    rows.write.parquet(f"{root}/mcs15/assignments")
+    assert [r.rsplit("/", 1)[1] for r in runs.resolve_runs(spark, root)] == ["mcs15", "mcs5"]
+    assert runs.vectors_of(spark, run, "given") == "given" and runs.vectors_of(spark, run) == f"{tmp_path}/v.jsonl"
+    with pytest.raises(FileNotFoundError):
+        runs.vectors_of(spark, f"{root}/mcs15")
+    (tmp_path / "embed" / "embeddings.jsonl").write_text("")
+    assert runs.vectors_of(spark, f"{root}/mcs15") == f"{tmp_path}/embed/embeddings.jsonl"
+    with pytest.raises(ValueError, match="not cleared"):
+        runs.begin(spark, f"{tmp_path}/embed")
+    runs.begin(spark, run, force=True)
+    assert not (tmp_path / "cluster" / "mcs5").exists()
+
+
+def test_vectors_in_the_order_of_keys(spark, tmp_path):
+    (tmp_path / "v.jsonl").write_text('{"key": "a", "embedding": [1]}\n{"key": "b", "embedding": [2]}\n{"key": "a", "embedding": [3]}\n')
+    keys = lambda *k: spark.createDataFrame(list(enumerate(k)), "position int, key string")
+    assert [(r.key, list(r.embedding)) for r in readers.vectors_for(spark, str(tmp_path / "v.jsonl"), keys("b", "a", "b")).orderBy("position").collect()] == [("b", [2.0]), ("a", [3.0]), ("b", [2.0])]
+    with pytest.raises(ValueError, match="2 keys are not in .*, e.g. c"):
+        readers.vectors_for(spark, str(tmp_path / "v.jsonl"), keys("d", "a", "c"))
+
+
+def test_spreadsheets_begin_with_a_mark(spark, tmp_path):
+    sinks.spreadsheet(spark.createDataFrame([("é", 1, "no")], "name string, n int, more string"), str(tmp_path / "s"), "name", "n")
+    part = next((tmp_path / "s").glob("part-*.csv")).read_bytes()
+    assert part.decode("utf-8-sig").splitlines() == ["name,n", "é,1"] and part.startswith(b"\xef\xbb\xbf")
+
+
+def test_focus_takes_an_id_before_a_name(spark):
+    rows = spark.createDataFrame([(1, "owl", "a"), (2, "snow owl", "b"), (3, None, "c"), (31, "x 3", "d")], "cluster long, name string, key string")
+    pick = lambda w: [r.key for r in scope.focused(rows, "cluster", "name", w).collect()]
+    assert pick("3") == ["c"] and pick("snow") == ["b"]
+    for bad in ("owl", "heron"):
+        with pytest.raises(ValueError):
+            pick(bad)
+
+
+def test_paths_from_a_root_and_unreadable_trees(spark):
+    assert column(spark, ["/a/b/c", "/a/bc", "/x", None], lambda c: N.display_path(c, "/a/b/")) == ["c", "/a/bc", "/x", None]
+    left = spark.createDataFrame([("p", "<a>"), ("q", "<a/>"), ("r", "<b/>")], "path string, content string")
+    right = spark.createDataFrame([("p", "<a/>"), ("q", "<a/>"), ("s", "")], "path string, content string")
+    got = merge.compare_trees(left, right, readers.subjects(F.col("content")))
+    assert {tuple(r) for r in got.collect()} == {("p", "unparseable"), ("q", "identical"), ("r", "not-in-reference")}
