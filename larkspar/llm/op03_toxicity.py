@@ -4,7 +4,7 @@ Two dictionaries are trained on labelled text: one on the words of ordinary docu
 passages of toxic documents that ordinary ones do not hold.  A text is cut into windows of whole words;
 each is compressed on the background of ordinary text, with and without the toxic passages behind that.
 How much shorter the second is, is the window's gain: without toxic passages there is next to none.  The
-largest gain, the sum of gains over a calibrated threshold and their number make the score, by a
+two largest gains, the sums of gains over two calibrated thresholds and the number of windows make the score, by a
 logistic unit fitted on labelled documents that the dictionaries have not seen.
 
 The whole text is scored.  Null counts as empty; a text without words has no gain.  Equal texts have equal scores;
@@ -35,6 +35,8 @@ WINDOW = 64
 GRAM, GRAM_LEAST, GRAM_ODDS = 5, 6, 3.6
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 3_072
 LEVEL = 3
+#: How far the second threshold of gains is above the first.
+HIGHER = 3
 BLOCK_BYTES = 2_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -104,7 +106,7 @@ class Classifier:
     ordinary: bytes
     toxic: bytes
     threshold: int = 2
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(6))
     _pair: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -126,13 +128,14 @@ class Classifier:
         return [len(plain(w)) - len(primed(w)) for w in windows(text)]
 
     def features(self, gains: list[int]) -> list[float]:
-        high = [g for g in gains if g >= self.threshold]
-        return [1.0, max(gains, default=0) / 8, np.log1p(sum(high)), np.log1p(len(gains))]
+        first, second = (sorted(gains, reverse=True) + [0, 0])[:2]
+        high = lambda least: np.log1p(sum(g for g in gains if g >= least))
+        return [1.0, first / 8, second / 8, high(self.threshold), high(self.threshold + HIGHER), np.log1p(len(gains))]
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         data, ends = raw.tobytes(), at.tolist()
         texts = (str(data[a:b], "utf-8").lower().encode() for a, b in zip(ends[:-1], ends[1:], strict=True))
-        x = np.array([self.features(self.gains(t)) for t in texts]).reshape(-1, 4)
+        x = np.array([self.features(self.gains(t)) for t in texts]).reshape(-1, 6)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
 
     @classmethod
@@ -146,7 +149,7 @@ class Classifier:
         out = cls(dictionary(in_documents(ordinary, False), ORDINARY_BYTES, 12), dictionary(toxic_passages(toxic, ordinary), TOXIC_BYTES, 8))
         y = np.array([y for _, y in rest], float)
         if not len(y) or y.min() == y.max():
-            out.weights = np.array([0.0 if not len(y) else 8 * y[0] - 4, 0, 0, 0])
+            out.weights = np.array([0.0 if not len(y) else 8 * y[0] - 4, 0, 0, 0, 0, 0])
             return out
         gains = [out.gains(t.lower().encode()) for t, _ in rest]
         best = None
