@@ -100,3 +100,12 @@ def test_a_long_text_and_its_near_copy(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, "short")]
     got = jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90)
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == by_hand(rows, 3, 90)
+
+
+def test_null_ids_with_names_that_clash(spark):
+    rows = [(None, "a b c d e", 1, "x", 2), (None, "a b c d e", 1, "y", 2), (7, "a b c d e", 1, "z", 2), (None, "q r s", 1, "w", 2)]
+    got = one_of_each(spark.createDataFrame(rows, SCHEMA + ", component long, `row` string, _row int"), 3, 90)
+    assert got.columns == ["doc_id", "text", "component", "row", "_row"]
+    assert sorted((r.doc_id or 0, r.row) for r in got.collect()) == [(0, "w"), (7, "z")]
+    found = jaccard_components(spark.createDataFrame(rows, SCHEMA + ", component_id long, `row` string, size int"), 3, 90)
+    assert sorted(((r.doc_id or 0, r.component_id or 0, r.n_links) for r in found.collect())) == [(0, 0, 0), (0, 7, 2), (0, 7, 2), (7, 7, 2)]

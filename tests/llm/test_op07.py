@@ -41,3 +41,9 @@ def test_names_that_clash(spark):
 
 def test_empty_table(spark):
     assert op.encode(spark.createDataFrame([], "doc_id long, text string"), op.public_model()).count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(1, "the cat"), (1, "the cat"), (1, "a dog"), (None, "the cat"), (None, None), (None, None)]
+    got = op.encode(spark.createDataFrame(rows, "doc_id long, text string"), op.public_model(), ids=True).collect()
+    assert sorted((r.doc_id or 0, r.ids) for r in got) == sorted((d or 0, sp.encode(t or "")) for d, t in rows)

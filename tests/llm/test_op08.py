@@ -47,3 +47,10 @@ def test_empty_table_and_large_components(spark):
     assert top_k(huge, F.lit(True), 4).count() == 2  # scores beyond a long have no meaning, but do not fail
     got = top_k(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 10 == 0, 4).collect()
     assert sorted(tuple(r) for r in got) == by_hand(data, 4)
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(i, [float(i), 1.0], 7, "b", 3, 9) for i in range(5)], "vec_id long, embedding array<float>, query_id int, block string, RANK int, q long")
+    got = top_k(docs, F.col("vec_id") % 2 == 0, 2)
+    assert got.columns[:4] == ["query_id", "rank", "vec_id", "score"]
+    assert sorted((r.query_id, r.vec_id) for r in got.collect() if r.rank == 1) == [(0, 1), (2, 4), (4, 3)]

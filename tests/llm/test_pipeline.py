@@ -34,3 +34,15 @@ def test_every_stage_returns_the_columns_of_documents(spark, tmp_path):
         stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet" if not i else f"{tmp_path}/{i - 1}"), str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
         assert spark.read.parquet(f"{tmp_path}/{i}").columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_and_columns_that_clash(spark, tmp_path):
+    text = lambda i: " ".join(f"{w}{'abcdefghij'[i]}" for w in "ka no mi ru ta so le".split() * 4)
+    rows = [(i % 3, text(i), "aa", "s", 9, "l", 5, 1.5) for i in range(6)] + [(None, text(7), "aa", None, 9, "l", 5, 1.5), (4, text(0), "aa", "s", 9, "l", 5, 1.5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, copies int, score double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of the equal texts of 0 and 4 the larger id stays; all else differs.
+    assert sorted({(-1 if r.doc_id is None else r.doc_id) for r in got}) == [-1, 0, 1, 2, 4]
+    assert Counter(r.doc_id for r in got)[0] >= 1 and len({(r.doc_id, r.ids_sha256) for r in got}) == 7
+    assert {(r.lang_pred, r.copies, r.score) for r in got} == {("l", 5, 1.5)}
