@@ -119,14 +119,16 @@ def rolling_median(rows: DataFrame, value: str, least: int = 200, part: int = 50
     """rows (position from 1, value) with the median of the values around them; null for no more than ``least`` rows.
 
     The window is the 200th part of the rows, five at least: half of it before, the row and the rest behind it; beyond the
-    ends the first and the last value go on.  Ranges of positions are dealt with what their windows reach into.
+    ends the first and the last value go on.  Ranges of positions are dealt with what their windows reach into; of windows
+    wider than a range see ``wide_medians``.
     """
     n = rows.count()
     if n <= least:
         return rows.withColumn("median", F.lit(None).cast("double"))
     k = max(5, n // 200)
     before, after = k // 2, k - k // 2 - 1
-    part = max(part, 4 * k)
+    if k > part:
+        return rows.join(wide_medians(rows.select(F.col("position").cast("long").alias("position"), F.col(value).cast("double").alias("value")), n, k, part), "position")
 
     def medians(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("position", ignore_index=True)
@@ -144,6 +146,92 @@ def rolling_median(rows: DataFrame, value: str, least: int = 200, part: int = 50
     return rows.join(found, "position")
 
 
+def wide_medians(rows: DataFrame, n: int, k: int, part: int) -> DataFrame:
+    """rows (position from 1 to n, value) with the median of windows of k > part rows: position, median.  Tasks hold some parts, whatever k is.
+
+    All windows of a part have most of their rows, whole parts, in common.  Of these only those can be a median whose rank
+    there is near the middle: they lie in few of the buckets that the order of values is cut into.  Counts by part and bucket tell which,
+    and how many rows are below; with them and the rows that enter and leave, a task slides along its part.
+    """
+    before, after = k // 2, k - k // 2 - 1
+    parts = -(-n // part)
+    spark = rows.sparkSession
+    line = numbered(rows, "_order", "value", "position")
+    line = stored(line.select("position", "value", F.floor((F.col("_order") - 1) / part).alias("bucket"), F.floor((F.col("position") - 1) / part).alias("of")), "line")
+    ends = line.filter(F.col("position").isin(1, n)).orderBy("position").collect()  # two rows
+    (first, first_bucket), (last, last_bucket) = ((r["value"], r["bucket"]) for r in (ends[0], ends[-1]))
+
+    # Of part p, rows a to b: whole parts q1 to q2 are in all windows, parts reach_from to reach_to in some; left and right: how often
+    # the first and the last value go on in all windows.
+    p = F.col("p")
+    a, b = p * part + 1, F.least((p + 1) * part, F.lit(n))
+    q1 = F.greatest(F.lit(0), F.ceil((b - before - 1) / part))
+    q2 = F.when(a + after >= n, F.lit(parts - 1)).otherwise(F.floor((a + after) / part) - 1)
+    plan = spark.range(parts).toDF("p").select("p", q1.alias("q1"), F.greatest(q2, q1 - 1).alias("q2"), F.floor(F.greatest(F.lit(0), a - before - 1) / part).alias("reach_from"), F.floor((F.least(F.lit(n), b + after) - 1) / part).alias("reach_to"), F.greatest(F.lit(0), before - (b - 1)).alias("left"), F.greatest(F.lit(0), after - (n - a)).alias("right"))
+    plan = stored(plan, "plan")
+    shared = plan.filter("q2 >= q1").select("p", F.explode(F.sequence("q1", "q2")).alias("of")).groupBy("of").agg(F.min("p").alias("begin"), F.max("p").alias("end"))
+    cells = line.groupBy("of", "bucket").agg(F.count("*").alias("c")).join(shared, "of")
+    events = cells.select(F.col("begin").alias("p"), "bucket", "c").unionByName(cells.select((F.col("end") + 1).alias("p"), "bucket", (-F.col("c")).alias("c"))).groupBy("p", "bucket").agg(F.sum("c").alias("c"))
+    grid = spark.range(parts * parts).select((F.col("id") % parts).alias("p"), F.floor(F.col("id") / parts).alias("bucket"))
+    common = grid.join(events, ["p", "bucket"], "left").withColumn("c", F.sum(F.coalesce("c", F.lit(0))).over(W.partitionBy("bucket").orderBy("p")))  # a row for each part
+    going_on = plan.select("p", F.lit(first_bucket).alias("bucket"), F.col("left").alias("c")).unionByName(plan.select("p", F.lit(last_bucket).alias("bucket"), F.col("right").alias("c")))
+    common = common.unionByName(going_on).groupBy("p", "bucket").agg(F.sum("c").alias("c")).filter("c > 0")
+    upto = F.sum("c").over(W.partitionBy("p").orderBy("bucket"))
+    inner = common.withColumn("upto", upto).join(common.groupBy("p").agg(F.sum("c").alias("core")), "p")
+    near = stored(inner.filter((F.col("upto") > (k - 1) // 2 - (k - F.col("core"))) & (F.col("upto") - F.col("c") <= k // 2)), "near")
+    below = near.groupBy("p").agg(F.min(F.col("upto") - F.col("c")).alias("below"))
+
+    among = near.select("p", "bucket").join(plan.filter("q2 >= q1").select("p", F.explode(F.sequence("q1", "q2")).alias("of")), "p")
+    candidates = line.join(among, ["of", "bucket"]).select("p", F.lit(None).cast("long").alias("position"), "value", F.lit(1).cast("long").alias("c"))
+    constant = near.join(plan, "p").select("p", F.lit(None).cast("long").alias("position"), F.explode(F.array(F.struct(F.lit(first).alias("value"), F.when(F.col("bucket") == first_bucket, F.col("left")).otherwise(0).alias("c")), F.struct(F.lit(last).alias("value"), F.when(F.col("bucket") == last_bucket, F.col("right")).otherwise(0).alias("c")))).alias("x")).select("p", "position", "x.value", "x.c").filter("c > 0")
+    edges = line.join(plan.select("p", F.explode(F.filter(F.sequence("reach_from", "reach_to"), lambda q: (q < F.col("q1")) | (q > F.col("q2")))).alias("of")), "of").select("p", "position", "value", F.lit(1).cast("long").alias("c"))
+    dealt = candidates.unionByName(constant).unionByName(edges).join(below, "p", "left").withColumn("below", F.coalesce("below", F.lit(0)))
+
+    def slide(t: pd.DataFrame) -> pd.DataFrame:
+        here = int(t["p"].iloc[0])
+        a, b = here * part + 1, min((here + 1) * part, n)
+        names, place = np.unique(np.append(t["value"].to_numpy(), [first, last]), return_inverse=True)
+        tree, top = [0] * (len(names) + 1), 1 << (len(names).bit_length() - 1)
+
+        def add(i: int, c: int) -> None:
+            i += 1
+            while i < len(tree):
+                tree[i] += c
+                i += i & -i
+
+        def at(rank: int) -> float:
+            i, step = 0, top
+            while step:
+                if i + step < len(tree) and tree[i + step] <= rank:
+                    i += step
+                    rank -= tree[i]
+                step >>= 1
+            return names[i]
+
+        known = t["position"].notna().to_numpy()
+        for i, c in zip(place[:-2][~known].tolist(), t["c"][~known].tolist(), strict=True):
+            add(i, c)
+        edge = dict(zip(t["position"][known].astype("int64").tolist(), place[:-2][known].tolist(), strict=True))
+        for x, i in edge.items():
+            if a - before <= x <= a + after:
+                add(i, 1)
+        add(int(place[-2]), max(0, before - (a - 1)) - max(0, before - (b - 1)))
+        low, out = int(t["below"].iloc[0]), []
+        for i in range(a, b + 1):
+            if i > a:
+                for x, c in ((i - 1 - before, -1), (i + after, 1)):
+                    if x < 1:
+                        add(int(place[-2]), c)
+                    elif x > n:
+                        add(int(place[-1]), c)
+                    elif x in edge:
+                        add(edge[x], c)
+            out.append((at((k - 1) // 2 - low) + at(k // 2 - low)) / 2)
+        return pd.DataFrame({"position": np.arange(a, b + 1), "median": out})
+
+    return dealt.groupBy("p").applyInPandas(slide, "position long, median double")
+
+
 def date_slots(groups: DataFrame, per_day: int = 1_440) -> DataFrame:
     """groups (position, size): the day on which each begins, when each takes whole days of so many slots."""
     days = groups.withColumn("days", F.greatest(F.lit(1), F.ceil(F.col("size") / per_day)).cast("long"))
