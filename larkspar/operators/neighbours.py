@@ -51,12 +51,23 @@ def best_of(keys: np.ndarray, x: np.ndarray, other_keys: np.ndarray, y: np.ndarr
 FOUND = "key long, other long, cosine double"
 
 
-def celled(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def alone(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The neighbours of vectors that are one block."""
+    t = [b for b in batches if b.num_rows]
+    if t:
+        keys = np.concatenate([b.column("key").to_numpy() for b in t])
+        x = np.concatenate([units(b.column("v")) for b in t])
+        found = best_of(keys, x, keys, x, k)
+        found["rank"] = (found.groupby("key").cumcount() + 1).astype(np.int32)
+        yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+
+def celled(vectors: DataFrame, count: int) -> tuple[DataFrame, np.ndarray]:
     """vectors as unit vectors with the cell (nearest pivot) and the distance to it; and the pivots, by hashed keys.
 
     Vectors without length are in a cell of their own, -1: they are as far from all others as unlike ones are, which is no distance.
     """
-    pivots = min(MOST_PIVOTS, max(1, -(-vectors.count() // BLOCK)))
+    pivots = min(MOST_PIVOTS, max(1, -(-count // BLOCK)))
     some = vectors.filter(F.exists("v", lambda c: c != 0)).orderBy(F.xxhash64("key"), "key").limit(pivots).toPandas()["v"]
     p = np.stack(some.to_numpy()) if len(some) else np.zeros((0, 1))
     p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
@@ -106,7 +117,10 @@ def nearest(vectors: DataFrame, k: int = 1) -> DataFrame:
     Vectors are dealt to the cells of pivots, large cells in parts.  Each finds its k best in its own block; that bounds
     how far away a better one can be, and it is shipped to those blocks only that may hold one.
     """
-    dealt, pivots = celled(vectors)
+    count = vectors.count()
+    if count <= BLOCK:  # one block, without cells
+        return vectors.select("key", "v").coalesce(1).mapInArrow(lambda batches: alone(batches, k), FOUND + ", rank int")
+    dealt, pivots = celled(vectors, count)
     with Scratch(vectors.sparkSession) as scratch:
         rows = scratch.stored(dealt, "celled")
         sizes = rows.groupBy("cell").agg(F.max("d").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
