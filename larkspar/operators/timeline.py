@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larkspar.functions.names import trip_date
 from larkspar.operators.order import numbered, orbit
+from larkspar.storage import Scratch, stored
 
 
 def ranked(trips: DataFrame) -> DataFrame:
@@ -55,31 +52,70 @@ def conflicts(frames: DataFrame) -> DataFrame:
     return held.withColumn("before", before).groupBy("group", "pos").agg(F.max("before").alias("last"))
 
 
+#: Children of a block in the levels over a line of positions.
+FAN = 128
+
+
+def last_reaching(line: DataFrame, limits: DataFrame) -> DataFrame:
+    """limits (line, at, limit) with found: the last place before ``at`` on the line whose value is the limit or more, or null.
+
+    line: line, at (from 0, without gaps on each line), value.  Blocks of FAN places know the places' values, blocks of FAN blocks
+    their largest values, and so on: a limit is followed upwards until a block holds an earlier part that reaches it, and down again
+    to the place.  Each step is a join on a block's number, so that no task sees a line.
+    """
+    parts = line.select("line", F.col("at").cast("long").alias("part"), "value")
+    top = parts.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+    with Scratch(line.sparkSession) as scratch:
+        levels = []
+        while True:
+            held = F.array_sort(F.collect_list(F.struct("part", "value")))
+            blocks = parts.groupBy("line", F.floor(F.col("part") / FAN).alias("block")).agg(held.alias("parts"), F.max("value").alias("value"))
+            levels.append(scratch.stored(blocks, "blocks"))
+            parts, top = levels[-1].select("line", F.col("block").alias("part"), "value"), top // FAN
+            if top == 0:
+                break
+
+        def within(rows: DataFrame, level: int, wanted: Column, before: Column) -> DataFrame:
+            """rows with seen: the last part below ``before`` of the wanted block that reaches the row's limit; no block: null."""
+            blocks = levels[level].select(F.col("line").alias("_line"), F.col("block").alias("_block"), "parts")
+            # Rows that ask for no block have keys of their own, so that they do not meet in one task.
+            asked = rows.withColumn("_asked", F.coalesce(wanted, -1 - F.col("at")))
+            joined = asked.join(blocks, (F.col("line") == F.col("_line")) & (F.col("_asked") == F.col("_block")), "left")
+            seen = F.array_max(F.transform(F.filter("parts", lambda p: (p["part"] < before) & (p["value"] >= F.col("limit"))), lambda p: p["part"]))
+            return joined.withColumn("seen", seen).drop("_line", "_block", "_asked", "parts")
+
+        rows = limits.select("line", F.col("at").cast("long").alias("at"), "limit").withColumns({"found": F.lit(None).cast("long"), "level": F.lit(None).cast("int")})
+        for level in range(len(levels)):
+            own = F.floor(F.col("at") / FAN**level)
+            rows = within(rows, level, F.when(F.col("found").isNull(), F.floor(own / FAN)), own)
+            rows = rows.withColumn("level", F.when(F.col("found").isNull() & F.col("seen").isNotNull(), level).otherwise(F.col("level"))).withColumn("found", F.coalesce("found", "seen")).drop("seen")
+        for level in range(len(levels) - 1, 0, -1):
+            rows = within(rows, level - 1, F.when(F.col("level") >= level, F.col("found")), F.lit(2**62))
+            rows = rows.withColumn("found", F.coalesce("seen", "found")).drop("seen")
+        return stored(rows.select("line", "at", "limit", "found"), "found")
+
+
 def range_conflicts(ranges: DataFrame) -> DataFrame:
     """ranges (group, pos, code, low, high; one row per code of a trip): per trip the last position before it from
     which on its code's envelope, the smallest low to the largest high of all trips in between, overlaps its own range.
 
     An envelope from q on reaches up to the trip if q is no later than the last trip with a high enough end, and down
-    to it likewise; the earlier of the two is the conflict.  Either is found on the way along the trips, by bisection
-    in the ends that no later trip exceeds.
+    to it likewise; the earlier of the two is the conflict.
     """
-
-    def last_of(trips: pd.DataFrame) -> pd.DataFrame:
-        trips = trips.sort_values("pos", ignore_index=True)
-        highs, high_at, lows, low_at, out = [], [], [], [], []  # ascending: ends as negative highs, begins as lows
-        for pos, low, high in zip(trips["pos"].tolist(), trips["low"].tolist(), trips["high"].tolist(), strict=True):
-            a, b = bisect_right(highs, -low), bisect_right(lows, high)
-            out.append(min(high_at[a - 1], low_at[b - 1]) if a and b else None)
-            while highs and highs[-1] >= -high:
-                highs.pop(), high_at.pop()
-            while lows and lows[-1] >= low:
-                lows.pop(), low_at.pop()
-            highs.append(-high), high_at.append(pos), lows.append(low), low_at.append(pos)
-        return trips[["group", "pos"]].assign(last=pd.array(out, "Int64"))
-
-    schema = T.StructType([ranges.schema["group"], T.StructField("pos", T.LongType()), T.StructField("last", T.LongType())])
-    each = ranges.select("group", F.col("pos").cast("long").alias("pos"), "code", "low", "high").groupBy("group", "code").applyInPandas(last_of, schema)
-    return each.groupBy("group", "pos").agg(F.max("last").alias("last"))
+    with Scratch(ranges.sparkSession) as scratch:
+        ranges = scratch.stored(ranges.select(F.struct("group", "code").alias("line"), "pos", "low", "high"), "ranges")
+        line = numbered(ranges, "at", "line", "pos")
+        first = line.groupBy("line").agg(F.min("at").alias("_first"))
+        placed = line.join(first, "line").select("line", (F.col("at") - F.col("_first")).alias("at"), F.col("pos").cast("long").alias("pos"), "low", "high")
+        placed = scratch.stored(placed, "placed")
+        # Both questions are one: of the ends, and of the begins with their sign turned.
+        side = lambda sign, value, limit: placed.select(F.struct("line", F.lit(sign).alias("sign")).alias("line"), "at", value.alias("value"), limit.alias("limit"))
+        both = side(1, F.col("high"), F.col("low")).unionByName(side(-1, -F.col("low"), -F.col("high")))
+        reached = last_reaching(both.select("line", "at", "value"), both.select("line", "at", "limit"))
+        either = reached.groupBy("line.line", "at").agg(F.count("found").alias("sides"), F.min("found").alias("found")).filter("sides = 2")
+        met = either.join(placed.select("line", F.col("at").alias("found"), F.col("pos").alias("last")), ["line", "found"]).select("line", "at", "last")
+        rows = placed.select("line", "at", "pos").join(met, ["line", "at"], "left")
+        return stored(rows.groupBy(F.col("line.group").alias("group"), "pos").agg(F.max("last").alias("last")), "conflicts")
 
 
 def segments(last: DataFrame) -> DataFrame:

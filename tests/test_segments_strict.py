@@ -43,6 +43,21 @@ def test_strict_segments_are_those_of_the_walk(spark):
         assert found(spark, trips) == strict_segments(trips)
 
 
+def test_limits_are_followed_up_and_down_several_levels(spark, monkeypatch):
+    r = random.Random(3)
+    values = {k: [r.randint(0, 50) for _ in range(150 // k)] for k in (1, 2, 50)}
+    limits = [(k, at, r.randint(0, 60)) for k, v in values.items() for at in range(len(v))]
+    monkeypatch.setattr(timeline, "FAN", 4)
+    line = spark.createDataFrame([(k, i, x) for k, v in values.items() for i, x in enumerate(v)], "line long, at long, value long")
+    found = timeline.last_reaching(line, spark.createDataFrame(limits, "line long, at long, limit long")).collect()
+    want = {(k, at): max((j for j in range(at) if values[k][j] >= limit), default=None) for k, at, limit in limits}
+    assert {(x.line, x.at): x.found for x in found} == want
+
+
+def test_no_trips_have_no_segments(spark):
+    assert timeline.range_conflicts(spark.createDataFrame([], "group string, pos long, code string, low long, high long")).collect() == []
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
 def test_the_query_takes_whole_ranges(spark):
     items, orders = (pd.read_parquet(f"{SF}/{n}.parquet") for n in ("lineitem", "orders"))
