@@ -14,6 +14,14 @@ CONFIDENCE_ENDING = r"^_?.+\(\d{1,3}%\)$"
 HAND_WRITTEN = r"^[A-Za-z]+-\s*[^-]*[一-鿿]"
 LABEL = r"^([^-]+)-([^-]+)-(.+)\((\d+)%\)$"
 
+# The letters that a syllable of Mandarin begins with, the sign that a collation by reading puts before its index
+# letters, and the first Han character that such a collation orders without a reading.
+SYLLABLES = "ABCDEFGHJKLMNOPQRSTWXYZ"
+INDEX_SIGN = "\ufdd0"
+UNREAD = "\U00020000"
+#: Characters of names that are read otherwise than alone: 长 (long) in names of animals.
+READINGS = {"长": "c"}
+
 
 def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
@@ -39,6 +47,34 @@ def make_label(category: Column, english: Column, native: Column, initials: Colu
     return F.when(confidence <= 0.2, F.concat(F.lit("_"), body)).otherwise(body)
 
 
+def pinyin_initials(name: Column, readings: dict[str, str] | None = None) -> Column:
+    """The first letters of the readings of a name's Han characters; what has no reading stays as it is, in lower case.
+
+    The Chinese collation orders characters by their reading, with an index letter before the first of each; the letter is found by
+    bisection.  A character with several readings has the first of them, or else its letter in ``readings`` (default: READINGS).
+    """
+    key = lambda c: F.collate(c, "zh")
+    own = F.create_map(*[F.lit(x) for pair in (READINGS if readings is None else readings).items() for x in pair] or [F.lit(""), F.lit("")])
+
+    def letter(c: Column, among: str) -> Column:
+        if len(among) == 1:
+            return F.lit(among.lower())
+        half = len(among) // 2
+        return F.when(key(c) < key(F.lit(INDEX_SIGN + among[half])), letter(c, among[:half])).otherwise(letter(c, among[half:]))
+
+    def initial(c: Column) -> Column:
+        read = c.rlike(r"\p{IsHan}") & (key(c) < key(F.lit(UNREAD)))
+        return F.coalesce(F.try_element_at(own, c), F.when(read, letter(c, SYLLABLES)), c)
+
+    return F.lower(F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"(?s)."), F.lit(0)), initial), ""))
+
+
+def initials_label(name: Column, confidence: Column) -> Column:
+    """initials (NN.NN%) of a name; a confidence up to 1 is a share, a larger one a percentage."""
+    scaled = F.when(confidence.between(0, 1), confidence * 100).otherwise(confidence)
+    return F.concat(pinyin_initials(name), F.lit(" ("), F.call_function("format_number", scaled.cast("double"), F.lit("0.00")), F.lit("%)"))
+
+
 def is_machine_keyword(word: Column, keywords: Column) -> Column:
     """Whether a keyword was written by a labelling run: a category, the marker, or a label of any generation.
 

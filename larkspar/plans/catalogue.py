@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.functions import labels as L
+from larkspar.functions import metadata
 from larkspar.functions import names as N
 from larkspar.functions.vectors import doubles, norm, normalised
 from larkspar.operators import audit, captures, claims, clusters, hierarchy, layout, merge, neighbours, order, radial, scope, spectral, timeline
@@ -129,6 +130,9 @@ def relabel_filter(t):
     return rows.filter(scope.needs_relabel(F.col("category"), F.col("confidence"), note, 0.3)).select("doc_id")
 
 
+NATIVE_NAMES = ("麻雀", "白鹭", "银喉长尾山雀", "小䴙䴘", "Great 鸻", "", "绣眼鸟", "儿", "坐")
+
+
 def part_labels(t) -> DataFrame:
     """Parts as label strings, some without confidence or with a bare category."""
     full = F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("-"), F.col("p_type"), F.lit("-"), F.col("p_name"), F.lit("("), F.col("p_size").cast("string"), F.lit("%)"))
@@ -185,6 +189,35 @@ def format_label(t):
     return t("supplier").withColumn("quarter", quarter).select("s_suppkey", made.alias("label"), L.share(F.col("s_suppkey"), F.col("s_nationkey")).alias("share"), L.tagged_digest(F.col("s_name")).alias("digest"))
 
 
+@query
+def pinyin_labels(t):
+    """Initials of native names, with a share or a percentage as confidence; some names are Latin, empty or missing."""
+    names = F.array(*[F.lit(x) for x in NATIVE_NAMES])
+    k = F.col("p_partkey")
+    native = F.when(k % 23 == 0, F.lit(None)).when(k % 23 == 1, F.concat(F.col("p_brand"), F.lit("麻雀"))).otherwise(F.get(names, (k % len(NATIVE_NAMES)).cast("int")))
+    sure = F.when(k % 2 == 0, (k % 801) / 800.0).otherwise((k % 397) / 4.0 + 1.125)
+    return t("part").select("p_partkey", L.initials_label(native, sure).alias("label"))
+
+
+def part_sidecars(t) -> DataFrame:
+    """Sidecars of parts, some without a serial number or a rating, with settings, a history and a keyword."""
+    k = F.col("p_partkey").cast("string")
+    serial = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('\n   aux:SerialNumber="'), k, F.lit('"'))).otherwise("")
+    rating = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('\n   xmp:Rating="'), F.col("p_size").cast("string"), F.lit('"'))).otherwise("")
+    text = F.concat(
+        F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/">\n <rdf:Description rdf:about=""'), serial, F.lit('\n   tiff:Make="'), F.col("p_brand"), F.lit('"\n   crs:Exposure2012="+0.10"'), rating,
+        F.lit('\n   xmpMM:DocumentID="d'), k, F.lit('">\n  <crs:ToneCurve>\n   <rdf:li>0, 0</rdf:li>\n  </crs:ToneCurve>\n  <dc:subject>'), F.col("p_name"), F.lit("</dc:subject>\n </rdf:Description>\n</x:xmpmeta>"),
+    )
+    return t("part").select("p_partkey", text.alias("text"))
+
+
+@query
+def sidecar_scrub(t):
+    """Sidecars without what identifies, and with what readers need alone."""
+    x = metadata.scrubbed(F.col("text"))
+    return part_sidecars(t).select("p_partkey", x["text"].alias("scrubbed"), F.array_join(x["removed"], ",").alias("removed"), metadata.minimal(F.col("text")).alias("minimal"))
+
+
 @query
 def frame_identity(t):
     k = F.col("p_partkey")

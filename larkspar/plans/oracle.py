@@ -81,6 +81,14 @@ ORACLE_SQL: dict[str, str] = {
     "effective_keyword": f"""WITH {LABELS}, w AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 'xs-小隼-' ELSE '' END AS front, round_even((doc_id % 100) / 100 * 100, 0) AS pct FROM r)
       SELECT doc_id, CASE WHEN applied = 'kept-existing' AND prior_category <> '' THEN CASE WHEN doc_id % 5 <> 0 THEN 'xx-yy-' || source || ' bird(' || (doc_id % 101) || '%)' END
         WHEN label IS NULL OR confidence = 'n/a' THEN NULL ELSE front || lower(label) || '(' || CAST(pct AS INTEGER) || '%)' END AS keyword FROM w""",
+    "pinyin_labels": """WITH n(i, initials) AS (VALUES (0, 'mq'), (1, 'bl'), (2, 'yhcwsq'), (3, 'xpt'), (4, 'great h'), (5, ''), (6, 'xyn'), (7, 'e'), (8, 'z')),
+      p AS (SELECT p_partkey, lower(p_brand) AS brand, p_partkey % 9 AS i, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 801) / CAST(800 AS DOUBLE) ELSE (p_partkey % 397) / CAST(4 AS DOUBLE) + 1.125 END AS c FROM part)
+      SELECT p_partkey, CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE (CASE WHEN p_partkey % 23 = 1 THEN brand || 'mq' ELSE initials END) || ' (' || printf('%.2f', CASE WHEN c <= 1 THEN c * 100 ELSE c END) || '%)' END AS label FROM p JOIN n USING (i)""",
+    "sidecar_scrub": r"""WITH p AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k, p_partkey % 3 = 0 AS serial, p_partkey % 4 = 0 AS rated, p_name,
+        '<x:xmpmeta xmlns:x="adobe:ns:meta/">' || chr(10) || ' <rdf:Description rdf:about=""' AS head, chr(10) || '   ' AS gap FROM part),
+      q AS (SELECT *, gap || 'xmpMM:DocumentID="d' || k || '">' || chr(10) AS id, '  <dc:subject>' || p_name || '</dc:subject>' || chr(10) || ' </rdf:Description>' || chr(10) || '</x:xmpmeta>' AS tail FROM p)
+      SELECT p_partkey, head || gap || 'crs:Exposure2012="+0.10"' || id || '  <crs:ToneCurve>' || gap || '<rdf:li>0, 0</rdf:li>' || chr(10) || '  </crs:ToneCurve>' || chr(10) || tail AS scrubbed,
+        CASE WHEN serial THEN 'aux:SerialNumber,' ELSE '' END || 'tiff:Make' || CASE WHEN rated THEN ',xmp:Rating' ELSE '' END AS removed, head || id || tail AS minimal FROM q""",
     "format_label": """WITH x AS (SELECT *, floor((s_acctbal + 1000) / 30) / 400 AS c FROM supplier), y AS (SELECT *, '(' || CAST(round_even(c * 100, 0) AS INTEGER) || '%)' AS pct FROM x)
       SELECT s_suppkey, CASE WHEN c <= 0.2 THEN '_' ELSE '' END || CASE WHEN s_suppkey % 3 < 2 AND s_suppkey % 4 <> 0 THEN 'c-cn-' ELSE '' END || lower(s_name) || pct AS label,
       CASE WHEN s_nationkey = 0 THEN '-' ELSE printf('%.2f', s_suppkey * 100 / s_nationkey) || '%' END AS share, 'sp-' || substr(sha256(s_name), 1, 4) AS digest FROM y""",
