@@ -50,6 +50,12 @@ def library_year(library: Column) -> Column:
     return F.when(two != "", F.concat(F.lit("20"), two))
 
 
+def year_label(folder: Column) -> Column:
+    """What a folder's name ends with after its last hyphen, two characters as a year of this century."""
+    end = F.element_at(F.split(folder, "-"), -1)
+    return F.when(F.length(end) == 2, F.concat(F.lit("20"), end)).otherwise(end)
+
+
 def normalise_datetime(text: Column) -> Column:
     """YYYY-MM-DDTHH:MM:SS without fractions and zone; other text trimmed."""
     pattern = r"^\s*(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2}).*$"

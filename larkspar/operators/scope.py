@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.functions.names import path_prefixes
+from larkspar.functions.labels import effective
+from larkspar.functions.names import library_year, path_parts, path_prefixes
 
 
 def in_scope(rows: DataFrame, key: str, include: DataFrame, exclude: DataFrame) -> DataFrame:
@@ -33,6 +34,52 @@ def funnel(rows: DataFrame, *stages: tuple[str, Column]) -> DataFrame:
     return rows.agg(*counts)
 
 
+# What becomes of a label row, in the order of the questions.
+OUTCOMES = ("no_image_path", "filtered_out", "not_selected", "below_min_confidence", "missing_image", "resolved")
+LABEL_COLUMNS = ("category", "label", "confidence", "applied", "prior_category", "prior_label")
+
+
+def select_images(rows: DataFrame, images: DataFrame, include: DataFrame, exclude: DataFrame, categories: list[str] | None, min_confidence: float) -> DataFrame:
+    """Label rows with what holds of them and their outcome: the first question of OUTCOMES that they fail, or resolved.
+
+    rows: jpg (a path) and LABEL_COLUMNS; images: the paths (path) that are there; include, exclude: see in_scope; no categories mean all.
+    Added columns: key, effective_category, species, sure (the confidence that holds), library, trip, stem, year, outcome.  Columns of these
+    names are replaced.  A row without a known confidence is not dropped for it; repeated rows stay apart, each with its outcome.
+    """
+    held = effective(*[F.col(c) for c in LABEL_COLUMNS])
+    key = F.trim(F.coalesce("jpg", F.lit("")))
+    rows = rows.withColumn("_held", held).withColumns({"key": key, "effective_category": F.coalesce("_held.category", F.lit("")), "species": F.col("_held.species"), "sure": F.col("_held.confidence")}).drop("_held")
+    parts = path_parts(F.col("key"))
+    rows = rows.withColumns({c: parts[c] for c in ("library", "trip", "stem")}).withColumn("year", library_year(F.col("library")))
+    wanted = in_scope(rows.select("key").filter("key <> ''").distinct(), "key", include, exclude).select("key", F.lit(True).alias("_wanted"))
+    there = images.select(F.col("path").alias("key"), F.lit(True).alias("_there")).distinct()
+    chosen = F.lit(True) if categories is None else F.col("effective_category").isin(*categories)
+    questions = [F.col("key") == "", F.col("_wanted").isNull(), ~chosen, F.coalesce(F.col("sure") < min_confidence, F.lit(False)), F.col("_there").isNull()]
+    outcome = F.coalesce(*[F.when(q, name) for q, name in zip(questions, OUTCOMES, strict=False)], F.lit(OUTCOMES[-1]))
+    return rows.join(wanted, "key", "left").join(there, "key", "left").withColumn("outcome", outcome).drop("_wanted", "_there")
+
+
+def selection_counts(selected: DataFrame) -> DataFrame:
+    """The report of select_images (counter, value, n): rows, each outcome, in_scope and selected, selected rows by category, resolved
+    ones by year, and how many species these have.
+
+    Rows are counted once by outcome, category, year and species; all counters are sums over that small table's rows.
+    """
+    place = {name: i for i, name in enumerate(OUTCOMES)}
+    counts = selected.groupBy("outcome", "effective_category", "year", "species").agg(F.count("*").alias("n"))
+    past = lambda name: F.col("outcome").isin(*[o for o in OUTCOMES if place[o] > place[name]])
+    entry = lambda counter, value, when: F.when(when, F.struct(F.lit(counter).alias("counter"), value.alias("value")))
+    none, resolved = F.lit(None).cast("string"), F.col("outcome") == "resolved"
+    entries = [
+        entry("rows", none, F.lit(True)), *[entry(o, none, F.col("outcome") == o) for o in OUTCOMES if o != "not_selected"],
+        entry("in_scope", none, past("filtered_out")), entry("selected", none, past("not_selected")),
+        entry("category", F.coalesce(F.nullif("effective_category", F.lit("")), F.lit("none")), past("not_selected")), entry("year", F.col("year"), resolved),
+    ]
+    summed = counts.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"), "n").groupBy("e.counter", "e.value").agg(F.sum("n").alias("n"))
+    species = counts.filter(resolved).agg(F.count_distinct("species").alias("n")).select(F.lit("species").alias("counter"), none.alias("value"), "n")
+    return summed.unionByName(species)
+
+
 def needs_relabel(category: Column, confidence: Column, note: Column, threshold: float) -> Column:
     """Animals, and whatever a model was not sure of; the category may only stand in the note, before a bracket."""
     from_note = F.when(note.contains("("), F.trim(F.split_part(note, F.lit("("), F.lit(1))))

@@ -123,6 +123,27 @@ def effective_label(t):
     return rows.select("doc_id", e["category"].alias("category"), e["species"].alias("species"), F.round(e["confidence"], 4).alias("confidence"))
 
 
+def selection(t) -> DataFrame:
+    """Documents as label rows of images: birds and animals of all libraries but one and a part of another, some paths blank, some images gone."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("Photos-"), F.lpad((k % 30).cast("string"), 2, "0"), F.lit("/"), F.col("source"), F.lit("/"), k.cast("string"), F.lit(".jpg"))
+    rows = label_rows(t).withColumn("jpg", F.when(k % 31 == 0, " ").otherwise(path))
+    images = rows.filter(k % 17 != 0).select(F.col("jpg").alias("path"))
+    libraries = t("documents").select(F.concat(F.lit("Photos-"), F.lpad((k % 30).cast("string"), 2, "0")).alias("path")).filter("path <> 'Photos-29'").distinct()
+    part = t("documents").filter(k % 30 < 15).select(F.concat(F.lit("Photos-"), F.lpad((k % 15).cast("string"), 2, "0"), F.lit("/src1/")).alias("path")).distinct()
+    return scope.select_images(rows, images, libraries, part, ["bird", "animal"], 0.25)
+
+
+@query
+def candidate_selection(t):
+    return selection(t).select("doc_id", "outcome", "effective_category", "species", F.round("sure", 4).alias("sure"), "library", "trip", "stem", "year")
+
+
+@query
+def selection_report(t):
+    return scope.selection_counts(selection(t))
+
+
 @query
 def relabel_filter(t):
     rows = label_rows(t).withColumn("category", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.trim("category")))

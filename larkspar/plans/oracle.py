@@ -10,6 +10,12 @@ LABELS = """r AS (SELECT d.doc_id, d.source, d.lang AS label, CASE WHEN coalesce
   CASE WHEN quality = 1 THEN 'kept-existing' ELSE 'written' END AS applied, CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE 'bird' END AS prior_category,
   CASE WHEN d.doc_id % 5 = 0 THEN 'no label' ELSE 'odd;xx-yy-' || d.source || ' bird(' || (d.doc_id % 101) || '%)' END AS prior_label
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
+SELECTION = rf"""{LABELS}, h AS (SELECT *, applied = 'kept-existing' AND prior_category <> '' AS kept, doc_id % 5 <> 0 AS parsed, lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') AS y FROM r),
+  e AS (SELECT doc_id, CASE WHEN kept THEN prior_category ELSE lower(trim(category)) END AS effective_category, CASE WHEN NOT kept THEN lower(label) WHEN parsed THEN source || ' bird' END AS species,
+    CASE WHEN NOT kept THEN coalesce(TRY_CAST(confidence AS DOUBLE), 0) WHEN parsed THEN (doc_id % 101) / 100 END AS sure, doc_id % 31 = 0 AS blank, source, y FROM h),
+  o AS (SELECT doc_id, CASE WHEN blank THEN 'no_image_path' WHEN y = '29' OR (doc_id % 30 < 15 AND source = 'src1') THEN 'filtered_out' WHEN effective_category NOT IN ('bird', 'animal') THEN 'not_selected'
+      WHEN sure < 0.25 THEN 'below_min_confidence' WHEN doc_id % 17 = 0 THEN 'missing_image' ELSE 'resolved' END AS outcome, effective_category, species, round(sure, 4) AS sure,
+    CASE WHEN blank THEN '' ELSE 'Photos-' || y END AS library, CASE WHEN blank THEN '' ELSE source END AS trip, CASE WHEN blank THEN '' ELSE CAST(doc_id AS VARCHAR) END AS stem, CASE WHEN NOT blank THEN '20' || y END AS year FROM e)"""
 PARTS = """p AS (SELECT *, CASE WHEN p_partkey % 13 = 0 THEN p_name WHEN p_partkey % 13 = 1 THEN 'bird'
   ELSE replace(p_brand, '#', '') || '-' || p_type || '-' || p_name || '(' || p_size || '%)' END AS text FROM part)"""
 TRIPS = """t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS captured, CASE
@@ -64,6 +70,12 @@ ORACLE_SQL: dict[str, str] = {
     "effective_label": rf"""WITH {LABELS}, x AS (SELECT *, applied = 'kept-existing' AND prior_category <> '' AS kept, doc_id % 5 <> 0 AS parsed FROM r)
       SELECT doc_id, CASE WHEN kept THEN prior_category ELSE lower(trim(category)) END AS category, CASE WHEN NOT kept THEN lower(label) WHEN parsed THEN source || ' bird' END AS species,
       round(CASE WHEN NOT kept THEN coalesce(TRY_CAST(confidence AS DOUBLE), 0) WHEN parsed THEN (doc_id % 101) / 100 END, 4) AS confidence FROM x""",
+    "candidate_selection": f"WITH {SELECTION} SELECT * FROM o",
+    "selection_report": f"""WITH {SELECTION}, x AS (SELECT *, outcome NOT IN ('no_image_path', 'filtered_out') AS inside, outcome IN ('below_min_confidence', 'missing_image', 'resolved') AS chosen FROM o)
+      SELECT 'rows' AS counter, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM x HAVING count(*) > 0 UNION ALL SELECT outcome, NULL, count(*) FROM x WHERE outcome <> 'not_selected' GROUP BY outcome
+      UNION ALL SELECT 'in_scope', NULL, count(*) FROM x WHERE inside HAVING count(*) > 0 UNION ALL SELECT 'selected', NULL, count(*) FROM x WHERE chosen HAVING count(*) > 0
+      UNION ALL SELECT 'category', effective_category, count(*) FROM x WHERE chosen GROUP BY ALL UNION ALL SELECT 'year', year, count(*) FROM x WHERE outcome = 'resolved' GROUP BY ALL
+      UNION ALL SELECT 'species', NULL, count(DISTINCT species) FROM x WHERE outcome = 'resolved'""",
     "relabel_filter": f"""WITH {LABELS}, x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE trim(category) END AS c, confidence, CASE doc_id % 7 WHEN 0 THEN 'animal' WHEN 1 THEN NULL ELSE 'bird' END AS n FROM r)
       SELECT doc_id FROM x WHERE coalesce(coalesce(nullif(c, ''), n) = 'animal', false) OR coalesce(TRY_CAST(confidence AS DOUBLE), 1) < 0.3""",
     "parse_label_strings": f"""WITH {PARTS}, x AS (SELECT *, p_partkey % 13 > 1 AS ok FROM p)
