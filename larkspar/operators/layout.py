@@ -293,13 +293,16 @@ def next_fit(groups: DataFrame, capacity: int) -> DataFrame:
 
 
 def next_known(rows: DataFrame, line: str, value: str, part: int = 50_000) -> DataFrame:
-    """rows with ``found``: the first value that is not null in line behind them, in parts and over the parts."""
+    """rows with ``found``: the first value that is not null in line behind them, in parts and over the parts.
+
+    Frames run backwards from the end: one that shrinks towards its end is read anew for each row.
+    """
     parts = rows.withColumn("_part", F.floor(F.col(line) / part))
     heads = parts.filter(F.col(value).isNotNull()).groupBy("_part").agg(F.min_by(value, line).alias("_head"))
     all_parts = parts.select("_part").distinct().join(heads, "_part", "left")
-    after = W.orderBy("_part").rowsBetween(1, W.unboundedFollowing)  # one row for each 50,000
-    all_parts = all_parts.withColumn("_after", F.first("_head", ignorenulls=True).over(after)).drop("_head")
-    inside = F.first(value, ignorenulls=True).over(W.partitionBy("_part").orderBy(line).rowsBetween(1, W.unboundedFollowing))
+    after = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)  # one row for each 50,000
+    all_parts = all_parts.withColumn("_after", F.last("_head", ignorenulls=True).over(after)).drop("_head")
+    inside = F.last(value, ignorenulls=True).over(W.partitionBy("_part").orderBy(F.desc(line)).rowsBetween(W.unboundedPreceding, -1))
     return parts.join(all_parts, "_part").withColumn("found", F.coalesce(inside, F.col("_after"))).drop("_part", "_after")
 
 
