@@ -127,13 +127,16 @@ def density_peaks(rows: DataFrame) -> DataFrame:
 
 
 def spans(rows: DataFrame) -> DataFrame:
-    """rows (position from 1, without gaps; cluster): runs of one cluster along the positions: begin, end (past the last), cluster."""
+    """rows (position from 1, without gaps; cluster): runs of one cluster along the positions: begin, end (past the last), cluster.
+
+    Rows meet by their positions in one way at every size: files of positions are so small that Spark would ship all rows whole.
+    """
     before = rows.select((F.col("position") + 1).alias("position"), F.col("cluster").alias("_before"), F.lit(True).alias("_there"))
-    heads = rows.join(before, "position", "left").filter(F.col("_there").isNull() | ~F.col("cluster").eqNullSafe(F.col("_before"))).select("position", "cluster")
+    heads = rows.join(before.hint("merge"), "position", "left").filter(F.col("_there").isNull() | ~F.col("cluster").eqNullSafe(F.col("_before"))).select("position", "cluster")
     heads = numbered(heads, "_n", "position")
     n = rows.agg(F.max("position").alias("_last"))
     after = heads.select((F.col("_n") - 1).alias("_n"), F.col("position").alias("_next"))
-    return heads.join(after, "_n", "left").join(F.broadcast(n)).select(F.col("position").alias("begin"), F.coalesce("_next", F.col("_last") + 1).alias("end"), "cluster")
+    return heads.join(after.hint("merge"), "_n", "left").join(F.broadcast(n)).select(F.col("position").alias("begin"), F.coalesce("_next", F.col("_last") + 1).alias("end"), "cluster")
 
 
 def adjusted_mutual_information(rows: DataFrame, cluster: str, label: str) -> DataFrame:

@@ -25,9 +25,12 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
 
 
 def neighbour(rows: DataFrame, position: str, columns: list[str], ahead: int = 1) -> DataFrame:
-    """rows with the columns of the row ``ahead`` positions further (null beyond the ends), by a join on the position."""
+    """rows with the columns of the row ``ahead`` positions further (null beyond the ends), by a join on the position.
+
+    It is one join at every size: files of positions are so small that Spark would ship all rows whole.
+    """
     other = rows.select((F.col(position) - ahead).alias(position), *[F.col(c).alias(f"next_{c}") for c in columns])
-    return rows.join(other, position, "left")
+    return rows.join(other.hint("merge"), position, "left")
 
 
 #: So many jumps are few MB: one task follows them.
