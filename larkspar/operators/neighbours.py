@@ -16,12 +16,27 @@ from larkspar.storage import Scratch, stored
 
 #: Vectors of a block, about, and pivots at most: what tasks hold beside their rows.
 BLOCK, MOST_PIVOTS = 4_096, 1_024
+#: Of more vectors than MANY blocks are larger instead of more, up to LARGEST vectors (68 MB of 64 components): each vector is shipped
+#: to no more of them than of few, so that what is shipped grows as the vectors do.
+MANY, BLOCKS, LARGEST = 32_768, 8, 131_072
+#: Vectors that ask one block in one task, and cosines that a task holds at once.
+ASKING, AT_ONCE = 65_536, 1_048_576
 #: What rounding may take from a distance.
 SLACK = 1e-6
 
 
-def units(column: pa.Array) -> np.ndarray:
-    v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def block_size(count: int) -> int:
+    return BLOCK if count <= MANY else max(BLOCK, min(LARGEST, -(-count // BLOCKS)))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 1)
+
+
+def units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    v = matrix(column)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
@@ -30,22 +45,44 @@ def apart(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
 
 
+def may_be_best(c: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of c that hold, among others, the n largest of each row, and what rounding may put in their place.
+
+    n of a row's entries reach the n-th largest of the maxima of its parts of ``width``; parts below that are not looked at again.
+    """
+    most = c.reshape(len(c), -1, width).max(2)
+    bound = np.partition(most, most.shape[1] - n, axis=1)[:, most.shape[1] - n] - 1e-11
+    i, part = np.nonzero(most >= bound[:, None])
+    i, j = np.repeat(i, width), (part[:, None] * width + np.arange(width)).ravel()
+    near = c[i, j] >= bound[i]
+    return i[near], j[near]
+
+
 def best_of(keys: np.ndarray, x: np.ndarray, other_keys: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
     """Of each of x the k of y with the highest cosine, ties by key, itself left out.
 
     The cosine is rounded to 12 places before ranking, so that the order of a sum does not decide a tie.
     """
-    order, out = np.argsort(other_keys, kind="stable"), []
+    order, out = np.argsort(other_keys, kind="stable"), [pd.DataFrame({"key": keys[:0], "other": other_keys[:0], "cosine": np.zeros(0)})]
     other_keys, y = other_keys[order], y[order]
-    for at in range(0, len(x), 1024):
-        c = np.round(x[at : at + 1024] @ y.T, 12)
-        own = keys[at : at + 1024]
-        c[own[:, None] == other_keys[None, :]] = -np.inf
-        n = min(k, c.shape[1])
-        top = np.argsort(-c, axis=1, kind="stable")[:, :n] if k > 1 else c.argmax(1)[:, None]
-        out.append(pd.DataFrame({"key": np.repeat(own, n), "other": other_keys[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()}))
-    found = pd.concat(out)
-    return found[found["cosine"] > -np.inf]
+    n, count, step = min(k, len(y)), len(y), max(1, AT_ONCE // max(1, len(y)))
+    width = max(1, min(64, count // (4 * max(1, n))))
+    y = np.concatenate([y, np.zeros((-count % width, y.shape[1]))])
+    for at in range(0, len(x) if n else 0, step):
+        c, own = x[at : at + step] @ y.T, keys[at : at + step]
+        c[:, count:] = -np.inf
+        low, high = np.searchsorted(other_keys, own, "left"), np.searchsorted(other_keys, own, "right")
+        for i in np.flatnonzero(low < high).tolist():
+            c[i, low[i] : high[i]] = -np.inf
+        # Only what may be among the best is rounded and ranked.
+        i, j = may_be_best(c, n, width)
+        cosine = np.round(c[i, j], 12)
+        by = np.lexsort((j, -cosine, i))
+        i, j, cosine = i[by], j[by], cosine[by]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < n
+        first &= cosine > -np.inf
+        out.append(pd.DataFrame({"key": own[i[first]], "other": other_keys[j[first]], "cosine": cosine[first]}))
+    return pd.concat(out)
 
 
 FOUND = "key long, other long, cosine double"
@@ -67,7 +104,7 @@ def celled(vectors: DataFrame, count: int) -> tuple[DataFrame, np.ndarray]:
 
     Vectors without length are in a cell of their own, -1: they are as far from all others as unlike ones are, which is no distance.
     """
-    pivots = min(MOST_PIVOTS, max(1, -(-count // BLOCK)))
+    pivots = min(MOST_PIVOTS, max(1, -(-count // block_size(count))))
     some = vectors.filter(F.exists("v", lambda c: c != 0)).orderBy(F.xxhash64("key"), "key").limit(pivots).toPandas()["v"]
     p = np.stack(some.to_numpy()) if len(some) else np.zeros((0, 1))
     p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
@@ -123,28 +160,31 @@ def nearest(vectors: DataFrame, k: int = 1) -> DataFrame:
     dealt, pivots = celled(vectors, count)
     with Scratch(vectors.sparkSession) as scratch:
         rows = scratch.stored(dealt, "celled")
-        sizes = rows.groupBy("cell").agg(F.max("d").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        sizes = rows.groupBy("cell").agg(F.max("d").alias("radius"), F.ceil(F.count("*") / block_size(count)).cast("int").alias("parts"))
         cells = [tuple(r) for r in sizes.orderBy("cell").collect()]  # MOST_PIVOTS and one
         if not cells:
             return vectors.sparkSession.createDataFrame([], "key long, other long, cosine double, rank int")
         parts = F.element_at(F.create_map(*[F.lit(x) for c, _, n in cells for x in (c, n)]), F.col("cell"))
         rows = rows.select("key", "v", "cell", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"))
 
-        def inside(t: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(t["v"].to_numpy())
-            return best_of(t["key"].to_numpy(), x, t["key"].to_numpy(), x, k)
+        def inside(t: pa.Table) -> pa.Table:
+            keys, x = t.column("key").to_numpy(), matrix(t.column("v"))
+            return pa.Table.from_pandas(best_of(keys, x, keys, x, k), preserve_index=False)
 
-        def across(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"key": [], "other": [], "cosine": []})
-            return best_of(a["key"].to_numpy(), np.stack(a["v"].to_numpy()), b["key"].to_numpy(), np.stack(b["v"].to_numpy()), k)
+        def across(a: pa.Table, b: pa.Table) -> pa.Table:
+            best = best_of(a.column("key").to_numpy(), matrix(a.column("v")), b.column("key").to_numpy(), matrix(b.column("v")), k)
+            return pa.Table.from_pandas(best, preserve_index=False)
 
-        own = stored(rows.groupBy("cell", "part").applyInPandas(inside, FOUND), "own")
+        own = stored(rows.groupBy("cell", "part").applyInArrow(inside, FOUND), "own")
         found = own
         if sum(n for *_, n in cells) > 1:
             bound = F.when(F.count("*") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("cosine"))))
             queries = routed(rows, own.groupBy("key").agg(bound.alias("bound")), cells, pivots)
-            found = own.unionByName(queries.groupBy("to_cell", "to_part").cogroup(rows.groupBy("cell", "part")).applyInPandas(across, FOUND))
+            # However many ask a block, no task has more than ASKING of them, about.
+            shares = -(-count // ASKING)
+            queries = queries.withColumn("share", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(shares)).cast("int"))
+            asked = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+            found = own.unionByName(queries.groupBy("to_cell", "to_part", "share").cogroup(asked.groupBy("cell", "part", "share")).applyInArrow(across, FOUND))
         found = found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("cosine"), "other"))).filter(F.col("rank") <= k)
         return stored(found, "nearest")
 
@@ -166,27 +206,31 @@ def within(vectors: DataFrame, radius: float) -> DataFrame:
 
     All blocks of keys meet in pairs; of the pairs of two blocks a task keeps a spanning forest only.
     """
+    nearly = 1 - radius * radius / 2 - 1e-11
 
-    def joined(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("key", ignore_index=True)
-        v = np.stack(t["v"].to_numpy())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    def joined(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key")
+        key, block, v = t.column("key").to_numpy(), t.column("block").to_numpy(), units(t.column("v"))
         label = np.arange(len(v))
-        for at in range(0, len(v), 512):
-            c = np.round(v[at : at + 512] @ v[at:].T, 12)
-            i, j = np.nonzero(np.sqrt(np.maximum(0.0, 2 - 2 * c)) <= radius)
-            a, b = label[i + at], label[j + at]
-            open_ = a != b
-            if open_.any():
+        first, second = (np.flatnonzero(block == t.column(c)[0].as_py()) for c in ("bi", "bj"))
+        y = v[second]
+        step = max(1, AT_ONCE // max(1, len(second)))
+        for at in range(0, len(first), step):
+            c = v[first[at : at + step]] @ y.T
+            i, j = np.nonzero(c >= nearly)
+            a, b = label[first[i + at]], label[second[j]]
+            open_ = np.flatnonzero(a != b)
+            open_ = open_[np.sqrt(np.maximum(0.0, 2 - 2 * np.round(c[i[open_], j[open_]], 12))) <= radius]
+            if len(open_):
                 label = forest(len(v), a[open_], b[open_])[label]
-        key = t["key"].to_numpy()
         moved = np.flatnonzero(label != np.arange(len(v)))
-        return pd.DataFrame({"u": key[moved], "v": key[label[moved]]})
+        return pa.table({"u": key[moved], "v": key[label[moved]]})
 
-    blocks = max(1, -(-vectors.count() // BLOCK))
+    count = vectors.count()
+    blocks = max(1, -(-count // block_size(count)))
     own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     met = vectors.select("key", "v", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    return met.groupBy(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).applyInPandas(joined, "u long, v long")
+    return met.select("key", "v", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).groupBy("bi", "bj").applyInArrow(joined, "u long, v long")
 
 
 def density_clusters(vectors: DataFrame, min_samples: int, radius: float, min_cluster_size: int) -> DataFrame:
