@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -75,30 +76,36 @@ def answered(items: DataFrame, key: str, connect: Callable[[], Callable[[pd.Data
 
     def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.reset_index(drop=True)
             for first in range(0, len(batch), policy.size):
-                yield batch.iloc[first : first + policy.size].reset_index(drop=True)
+                request = batch[first : first + policy.size]
+                request.index = pd.RangeIndex(len(request))
+                yield request
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask, done = None, []
+        ask, waiting, done = None, deque(), []
         with ThreadPoolExecutor(policy.concurrent) as pool:
-            waiting: list = []
             for request in requests(batches):
                 ask = ask or connect()
                 waiting.append((request, pool.submit(tried, ask, request, policy)))
                 if len(waiting) == policy.concurrent:
-                    done.append(framed(*waiting.pop(0)))
+                    request, future = waiting.popleft()
+                    done.append((request, *future.result()))
                 if len(done) == TOGETHER:
-                    yield pd.concat(done)
+                    yield framed(done)
                     done = []
-            done += [framed(*w) for w in waiting]
+            done += [(request, *future.result()) for request, future in waiting]
             if done:
-                yield pd.concat(done)
+                yield framed(done)
 
-    def framed(request: pd.DataFrame, future) -> pd.DataFrame:
-        answers, attempts, error = future.result()
-        rows = [a if a is not None else (None,) * len(fields) for a in answers]
+    def framed(done: list[tuple[pd.DataFrame, list[tuple | None], int, str | None]]) -> pd.DataFrame:
+        """The answers to some requests in one frame: a frame of each would cost more than the answers."""
+        keys = [k for request, *_ in done for k in request[key]]
+        rows = [a if a is not None else (None,) * len(fields) for _, answers, *_ in done for a in answers]
+        each = [(attempts, error) for _, answers, attempts, error in done for _ in answers]
         columns = {f.name: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(fields)}
-        return pd.DataFrame({key: request[key], **columns, "attempts": attempts, "error": pd.Series([error] * len(rows), dtype=object)})
+        kept = pd.Series(keys, dtype=done[0][0][key].dtype)
+        return pd.DataFrame({key: kept, **columns, "attempts": [a for a, _ in each], "error": pd.Series([e for _, e in each], dtype=object)})
 
     return items.mapInPandas(run, schema)
 
