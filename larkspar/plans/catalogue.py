@@ -220,8 +220,17 @@ def pinyin_labels(t):
     return t("part").select("p_partkey", L.initials_label(native, sure).alias("label"))
 
 
+#: Parts of which a task makes and cleans sidecars: some seconds.
+SIDECARS_PER_TASK = 10_000
+
+
 def part_sidecars(t) -> DataFrame:
-    """Sidecars of parts, some without a serial number or a rating, with settings, a history and a keyword."""
+    """Sidecars of parts, some without a serial number or a rating, with settings, a history and a keyword.
+
+    A file of parts is small, but their sidecars are much work: parts are dealt to tasks before their sidecars are made.
+    """
+    parts = t("part").select("p_partkey", "p_brand", "p_size", "p_name")
+    parts = parts.repartition(parts.count() // SIDECARS_PER_TASK + 1, "p_partkey")
     k = F.col("p_partkey").cast("string")
     serial = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('\n   aux:SerialNumber="'), k, F.lit('"'))).otherwise("")
     rating = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('\n   xmp:Rating="'), F.col("p_size").cast("string"), F.lit('"'))).otherwise("")
@@ -229,7 +238,7 @@ def part_sidecars(t) -> DataFrame:
         F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/">\n <rdf:Description rdf:about=""'), serial, F.lit('\n   tiff:Make="'), F.col("p_brand"), F.lit('"\n   crs:Exposure2012="+0.10"'), rating,
         F.lit('\n   xmpMM:DocumentID="d'), k, F.lit('">\n  <crs:ToneCurve>\n   <rdf:li>0, 0</rdf:li>\n  </crs:ToneCurve>\n  <dc:subject>'), F.col("p_name"), F.lit("</dc:subject>\n </rdf:Description>\n</x:xmpmeta>"),
     )
-    return t("part").select("p_partkey", text.alias("text"))
+    return parts.select("p_partkey", text.alias("text"))
 
 
 @query
