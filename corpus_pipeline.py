@@ -1,6 +1,7 @@
 """From raw documents to token counts of a training mixture, in five stages.
 
-Each stage works on all that the one before kept; its result is written as Parquet and read again.
+Each stage works on all that the one before kept; its result is written as Parquet and read again.  With it go the tables that
+the stage worked with, and the result before.
 Repeated rows after mixing are meant: a row stands as often as the mixture takes it.
 """
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm import op01_exact_dedup, op06_jaccard, op07_sentencepiece, op09_mixing, op10_language
-from larkspar.llm.common import stored, table
+from larkspar.llm.common import shared_dir, stored, table
+from larkspar.storage import delete, passing
 
 #: Near duplicates: shingles of so many words, and the percentage of shared shingles.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -53,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        folder = shared_dir(spark)
+        with passing(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, folder)
+        if before:
+            delete(spark, before)
+        before = folder
     return docs

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspar.llm.common import BASES, Scratch, blocks, fresh, mixed, range_hash, ranges, small_batches, stored, table, with_few, with_row_key, word_spans
@@ -344,17 +345,18 @@ def linked(deltas: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(products, "u long, v long, links long")
 
 
-def shingle_rows(parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The first shingles (token) of one row of each class, with size and smaller: whether a pair whose smaller set this is
-    may have it as its first common one."""
-    one = parts.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select("_row", F.col("size").cast("int").alias("size"), F.posexplode("firsts").alias("place", "token"))
+def shingle_rows(parts: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """The first shingles (token) of the rows that are no copies (_row), with size and smaller: whether a pair whose smaller set
+    this is may have it as its first common one."""
+    one = with_few(parts, copies, "_row", "left_anti").select("_row", F.col("size").cast("int").alias("size"), F.posexplode("firsts").alias("place", "token"))
     return one.select("_row", "token", "size", (F.col("place") <= F.col("size") - F.ceil(F.col("size").cast("long") * F.lit(2 * percent) / F.lit(100 + percent))).alias("smaller"))
 
 
 def worth_comparing(tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The rows of tokens whose shingle several sets have that may be similar; of shingles that stand in the same sets one."""
-    often = scratch.stored(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "often")
-    common = scratch.stored(tokens.join(often.hint("merge"), "token"), "common")  # in one way at every size
+    # Most stand once: they are dealt out once and counted there, as counts before that would hold (and spill) nearly every shingle.
+    held = tokens.withColumn("n", F.count("*").over(W.partitionBy("token")))
+    common = scratch.stored(held.filter("n > 1").drop("n"), "common")
     # The least set's size with a bit that is 0 if it can be the smaller one; sets by the sums (without carry) of their hashes.
     row = F.xxhash64("_row", "smaller")
     least = F.min(F.col("size").cast("long") * 2 + (~F.col("smaller")).cast("int")).alias("least")
@@ -396,9 +398,8 @@ def found_components(rows: DataFrame, k: int, percent: int) -> DataFrame:
         parts = scratch.stored(first_parts(rows, k, percent, frequencies(rows, k)), "parts")
         classes = scratch.stored(parts.filter("size > 0").groupBy("d1", "d2", "size").agg(F.min("_row").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "classes")
         slim = scratch.stored(parts.select("_row", "doc_id", "size", "d1", "d2"), "slim")
-        tokens = scratch.stored(shingle_rows(parts, classes, percent), "tokens")
-        clusters = clusters_of(tokens, parts, percent, scratch)
-        scratch.drop(tokens)
+        same = slim.filter("size > 0").join(classes.select("d1", "d2", "size", "node"), ["d1", "d2", "size"]).filter("_row <> node").select("_row")
+        clusters = clusters_of(shingle_rows(parts, scratch.stored(same, "copies"), percent), parts, percent, scratch)
         scratch.drop(parts)
 
         members = clusters.join(classes.select("node", "size", "copies"), "node")
