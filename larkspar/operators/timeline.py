@@ -45,9 +45,18 @@ def digest(frames: DataFrame) -> DataFrame:
     return codes.groupBy("group", "trip").agg(F.sum("files").alias("files"), F.sum("keys").alias("keys"), F.sum("repeated").alias("repeated"), ranges.alias("ranges"))
 
 
+def keys_of(frames: DataFrame) -> DataFrame:
+    """The keys that trips hold, once each: group, pos, key."""
+    return frames.select("group", "pos", "key").distinct()
+
+
 def conflicts(frames: DataFrame) -> DataFrame:
     """frames (group, pos, key): per trip the last position before it that holds one of its keys, or null."""
-    held = frames.select("group", "pos", "key").distinct()
+    return conflicts_of(keys_of(frames))
+
+
+def conflicts_of(held: DataFrame) -> DataFrame:
+    """See conflicts; held: see keys_of."""
     before = F.lag("pos").over(W.partitionBy("group", "key").orderBy("pos"))
     return held.withColumn("before", before).groupBy("group", "pos").agg(F.max("before").alias("last"))
 
@@ -124,6 +133,7 @@ def segments(last: DataFrame) -> DataFrame:
     A segment that begins at s ends before the first position whose conflict is at s or later.  That jump is
     known for every s at once, and the begins are what is reached from the group's first position.
     """
+    last = stored(last.select("group", "pos", "last"), "conflicts")  # a row for each trip: it is read four times
     starts = last.select("group", F.col("pos").alias("at"), F.col("pos").alias("value"), F.lit(None).cast("long").alias("end"))
     ends = last.filter("last IS NOT NULL").select("group", F.lit(None).cast("long").alias("at"), F.col("last").alias("value"), F.col("pos").alias("end"))
     line = W.partitionBy("group").orderBy(F.desc("value"), F.col("at").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
@@ -131,7 +141,7 @@ def segments(last: DataFrame) -> DataFrame:
     first = last.groupBy("group").agg(F.min("pos").alias("at"))
     begins = orbit(jumps, first).withColumn("begins", F.lit(1))
     running = F.sum(F.coalesce("begins", F.lit(0))).over(W.partitionBy("group").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return last.join(begins.withColumnRenamed("at", "pos"), ["group", "pos"], "left").select("group", "pos", running.alias("segment"))
+    return stored(last.join(begins.withColumnRenamed("at", "pos"), ["group", "pos"], "left").select("group", "pos", running.alias("segment")), "segments")
 
 
 def cuts(frames: DataFrame, parts: DataFrame) -> DataFrame:
@@ -140,10 +150,15 @@ def cuts(frames: DataFrame, parts: DataFrame) -> DataFrame:
 
     frames: group, pos, key; parts: see segments.
     """
-    held = frames.select("group", "pos", "key").distinct().join(parts, ["group", "pos"])
+    return cuts_of(keys_of(frames), parts)
+
+
+def cuts_of(held: DataFrame, parts: DataFrame) -> DataFrame:
+    """See cuts; held: see keys_of."""
+    held = held.join(parts, ["group", "pos"])
     first = parts.groupBy("group", "segment").agg(F.min("pos").alias("pos"))
-    owners = held.groupBy("group", "segment", "key").agg(F.min("pos").alias("owner")).withColumn("segment", F.col("segment") + 1)
-    return held.join(first, ["group", "segment", "pos"], "left_semi").join(owners, ["group", "segment", "key"]).select("group", "segment", "pos", "key", "owner")
+    owner = F.min("pos").over(W.partitionBy("group", "key").orderBy("segment").rangeBetween(-1, -1))  # of the segment before
+    return held.withColumn("owner", owner).filter("owner IS NOT NULL").join(first, ["group", "segment", "pos"], "left_semi").select("group", "segment", "pos", "key", "owner")
 
 
 def verify(frames: DataFrame, parts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from larkspar.operators import audit, captures, claims, clusters, hierarchy, lay
 from larkspar.plans import marks
 from larkspar.plans.oracle import ORACLE_SQL
 from larkspar.sources import readers
-from larkspar.storage import shared_dir
+from larkspar.storage import shared_dir, stored
 from larkspar.streaming import connectors, event_time, incremental
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -808,8 +808,8 @@ def unprocessed_worklist(t):
 
 @query
 def segment_cuts(t):
-    f = frames(t)
-    return timeline.cuts(f, timeline.segments(timeline.conflicts(f)))
+    held = stored(timeline.keys_of(frames(t)), "keys")
+    return timeline.cuts_of(held, timeline.segments(timeline.conflicts_of(held)))
 
 
 @query
