@@ -9,6 +9,8 @@ Documents with equal sets of shingles are one class at once.  Between classes:
    more than the sets' differing shingles.  What may still be similar is joined into clusters; of a
    cluster only a spanning forest leaves the task.  The sets of a hot shingle are first compared in blocks;
    only if these leave several clusters are the blocks, by ranges of sizes, compared in pairs.
+   Bitmaps are bounded, so that sets of many more shingles all look alike: large clusters of such sets are
+   told apart once more, by bitmaps that are as wide as the sets are large.
 3. A cluster's sets become a sparse incidence matrix: each set is written as its difference from one set of the
    cluster, so that copies with few edits have few entries.  Blocks of bounded size are multiplied with each
    other's transpose; the overlap of two sets follows from that of their differences.  Pairs whose overlap so
@@ -44,8 +46,8 @@ BUCKET_BLOCK, PAIRS_AT_ONCE = 1_024, 400_000
 #: Entries and sets of one block of a cluster, about; columns that are multiplied densely at once, and
 #: the holders of a column from which on that is done instead of listing its pairs.
 CLUSTER_BLOCK, CLUSTER_ROWS, COLUMNS, DENSE = 150_000, 1_000, 4_096, 24
-#: Bits of a bitmap: the power of two next to the set's size, within these.
-LEAST_BITS, MOST_BITS = 128, 4_096
+#: Bits of a bitmap: the power of two next to the set's size, within these; bytes of the wide ones of one block, about.
+LEAST_BITS, MOST_BITS, WIDE_BLOCK = 128, 4_096, 8_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -78,14 +80,14 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def bitmap_bits(sizes: np.ndarray) -> np.ndarray:
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1))), LEAST_BITS, MOST_BITS).astype(np.int64)
+def bitmap_bits(sizes: np.ndarray, most: int | None = MOST_BITS) -> np.ndarray:
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1))), LEAST_BITS, most).astype(np.int64)
 
 
-def bitmaps(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+def bitmaps(values: np.ndarray, at: np.ndarray, most: int | None = MOST_BITS) -> list[bytes]:
     """Per row the parity of the shingles that fall on each bit."""
     out = []
-    for i, bits in enumerate(bitmap_bits(np.diff(at)).tolist()):
+    for i, bits in enumerate(bitmap_bits(np.diff(at), most).tolist()):
         odd = np.bincount((values[at[i] : at[i + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
@@ -144,11 +146,12 @@ def first_parts(rows: DataFrame, k: int, percent: int, frequent: tuple[np.ndarra
     return rows.mapInArrow(run, "_row long, doc_id long, size long, d1 long, d2 long, firsts array<long>, bitmap binary")
 
 
-def maybe_similar(bucket_rows: DataFrame, percent: int, keys: tuple[str, ...]) -> DataFrame:
+def maybe_similar(bucket_rows: DataFrame, percent: int, keys: tuple[str, ...], at_once: int = 20_000) -> DataFrame:
     """Edges u, v of a spanning forest of sets that share a first shingle and may be similar.
 
     bucket_rows: the keys, side (pairs of different sides only count, or of any where it is -1), _row, label, size, smaller
     (whether it can be the smaller set of a pair here), bitmap.  Sets with one label are known to be in one cluster.
+    About ``at_once`` rows are compared at once, or those of one key.
     """
 
     def pairs_of(t: pa.Table, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +164,13 @@ def maybe_similar(bucket_rows: DataFrame, percent: int, keys: tuple[str, ...]) -
         return i, np.where(t.column("smaller").to_numpy(), more, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in key_tables(batches, keys, 20_000):
+        for t in key_tables(batches, keys, at_once):
             rows, size, side = (t.column(c).to_numpy() for c in ("_row", "size", "side"))
             maps = [np.frombuffer(b, np.uint8) for b in t.column("bitmap").to_pylist()]
-            bits = bitmap_bits(size)
+            bits = np.array([8 * len(m) for m in maps])
             levels = sorted(set(bits.tolist()))
-            folded = {w: np.stack([fold(m, w) if 8 * len(m) >= w else np.zeros(w // 8, np.uint8) for m in maps]).view(np.uint64) for w in levels}
+            folded = {w: np.stack([fold(m, w) for m in maps if 8 * len(m) >= w]).view(np.uint64) for w in levels}
+            place = {w: np.cumsum(bits >= w) - 1 for w in levels}
             i, more = pairs_of(t, size)
             name, first, number = np.unique(rows, return_index=True, return_inverse=True)
             _, head, group = np.unique(t.column("label").to_numpy()[first], return_index=True, return_inverse=True)
@@ -186,7 +190,7 @@ def maybe_similar(bucket_rows: DataFrame, percent: int, keys: tuple[str, ...]) -
                 for w in levels:
                     of = np.flatnonzero(width == w)
                     for part in np.array_split(of, max(1, len(of) * w // 64 // 2_000_000 + 1)):
-                        near[part] = np.bitwise_count(folded[w][a[part]] ^ folded[w][b[part]]).sum(1, dtype=np.int64) <= most[part]
+                        near[part] = np.bitwise_count(folded[w][place[w][a[part]]] ^ folded[w][place[w][b[part]]]).sum(1, dtype=np.int64) <= most[part]
                 a, b = number[a[near]], number[b[near]]
                 label = forest(len(name), np.r_[a, np.arange(len(name))], np.r_[b, label]) if len(a) else label
             moved = np.flatnonzero(label != known)
@@ -392,6 +396,35 @@ def clusters_of(tokens: DataFrame, parts: DataFrame, percent: int, scratch: Scra
     return components(joined.toDF("u", "v").unionByName(maybe_similar(met, percent, ("token", "band", "bi", "bj"))))
 
 
+def told_apart(clusters: DataFrame, sizes: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The clusters (node, component); those of more than one block with sets beyond MOST_BITS shingles are compared anew, by wide bitmaps.
+
+    sizes: size of the set of each node.  A wide bitmap has a quarter of a byte for each shingle at most, so that a pair of blocks
+    takes far less than the differences of its sets would.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, at in blocks(batches, BLOCK_BYTES):
+            maps = bitmaps(*shingle_sets(raw, at, k), None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "component", "size")), pa.array(maps, pa.binary())], ["_row", "component", "size", "bitmap"])
+
+    members = clusters.join(sizes, "node")
+    large = members.groupBy("component").agg(F.sum("size").alias("total"), F.max("size").alias("most"))
+    large = scratch.stored(large.filter((F.col("total") > CLUSTER_BLOCK) & (F.col("most") > MOST_BITS)).select("component"), "large")
+    if large.isEmpty():
+        return clusters
+    long = scratch.stored(with_few(members, large, "component").withColumnRenamed("node", "_row"), "long")
+    maps = scratch.stored(with_few(rows, long, "_row").select("_row", "text", "component", "size").mapInArrow(run, "_row long, component long, size long, bitmap binary"), "wide")
+    needed = F.greatest(F.count("*") / BUCKET_BLOCK, F.sum(F.octet_length("bitmap")) / WIDE_BLOCK)
+    met = with_few(maps, maps.groupBy("component").agg(F.ceil(needed).cast("int").alias("blocks")), "component")
+    met = met.withColumn("side", F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
+    side = F.when(F.col("bi") == F.col("bj"), -1).otherwise(F.col("side"))
+    met = met.select("component", "bi", "bj", side.alias("side"), "_row", F.col("_row").alias("label"), "size", F.lit(True).alias("smaller"), "bitmap")
+    edges = scratch.stored(maybe_similar(met, percent, ("component", "bi", "bj"), 1), "edges")
+    return with_few(clusters, large, "component", "left_anti").select("node", "component").unionByName(components(edges))
+
+
 def found_components(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """rows: _row, doc_id, text. Per row: _row, doc_id, n_shingles, component (a _row), component_id, n_links."""
     with Scratch(rows.sparkSession) as scratch:
@@ -401,6 +434,7 @@ def found_components(rows: DataFrame, k: int, percent: int) -> DataFrame:
         same = slim.filter("size > 0").join(classes.select("d1", "d2", "size", "node"), ["d1", "d2", "size"]).filter("_row <> node").select("_row")
         clusters = clusters_of(shingle_rows(parts, scratch.stored(same, "copies"), percent), parts, percent, scratch)
         scratch.drop(parts)
+        clusters = told_apart(clusters, classes.select("node", "size"), rows.select("_row", "text"), k, percent, scratch)
 
         members = clusters.join(classes.select("node", "size", "copies"), "node")
         weights = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("size") / CLUSTER_BLOCK, F.count("*") / CLUSTER_ROWS)).cast("int").alias("blocks"))

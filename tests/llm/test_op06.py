@@ -102,6 +102,21 @@ def test_a_long_text_and_its_near_copy(spark):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == by_hand(rows, 3, 90)
 
 
+@pytest.mark.parametrize("block", [op06_jaccard.BUCKET_BLOCK, 7])
+def test_long_texts_with_a_passage_in_common_are_told_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(op06_jaccard, "BUCKET_BLOCK", block)
+    r, met = random.Random(5), []
+    common = [f"c{i}" for i in range(60)]
+    texts = [common + [f"w{r.randint(0, 10**6)}" for _ in range(11_000)] for _ in range(18)]
+    texts.append([*texts[3][:5_000], "other", *texts[3][5_001:]])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    products = op06_jaccard.linked
+    monkeypatch.setattr(op06_jaccard, "linked", lambda deltas, percent: met.append(deltas.count()) or products(deltas, percent))
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA), 5, 80)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == by_hand(rows, 5, 80)
+    assert met == [2]  # bitmaps of 4,096 bits are as near to each other as those of similar sets of 11,000 shingles
+
+
 def test_null_ids_with_names_that_clash(spark):
     rows = [(None, "a b c d e", 1, "x", 2), (None, "a b c d e", 1, "y", 2), (7, "a b c d e", 1, "z", 2), (None, "q r s", 1, "w", 2)]
     got = one_of_each(spark.createDataFrame(rows, SCHEMA + ", component long, `row` string, _row int"), 3, 90)
