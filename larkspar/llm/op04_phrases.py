@@ -143,7 +143,7 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(waiting)
 
 
-def confirmed(contents: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
+def confirmed(contents: DataFrame, hot: DataFrame, grain: Grain, scratch: Scratch) -> DataFrame:
     """The recurring passages (key, d1, d2, passage) of contents (key, d1, d2, windows, content, n; each once).
 
     hot: keys with so many contents that their windows are counted over all tasks.
@@ -194,7 +194,7 @@ def confirmed(contents: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
 
     calm = contents.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(in_groups, passage)
     dense = contents.join(F.broadcast(hot.select("key")), "key")  # a hot key has GROUP_CONTENTS contents
-    each = dense.mapInArrow(all_windows, "key long, d1 long, d2 long, n long, place int, w1 long, w2 long")
+    each = scratch.stored(dense.mapInArrow(all_windows, "key long, d1 long, d2 long, n long, place int, w1 long, w2 long"), "windows")  # made once, read twice
     often = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
     places = each.join(often, ["w1", "w2"]).groupBy("key", "d1", "d2").agg(F.collect_set("place").alias("places"))
     found = dense.join(places, ["key", "d1", "d2"]).select("key", "d1", "d2", "windows", "content", "places").mapInArrow(by_places, passage)
@@ -326,7 +326,7 @@ def remove_phrases(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         contents = cut.filter("content IS NOT NULL").groupBy("key", "d1", "d2").agg(F.max("windows").alias("windows"), F.first("content").alias("content"), F.sum("n").alias("n"))
         contents = scratch.stored(contents, "contents")
         hot = scratch.stored(crowded(contents, F.lit(1), GROUP_CONTENTS), "hot")
-        passages = scratch.stored(confirmed(contents, hot, grain), "passages")
+        passages = scratch.stored(confirmed(contents, hot, grain, scratch), "passages")
         scratch.drop(contents)
         routed = stored(cut.select("shard", "key", "d1", "d2").distinct().join(passages, ["key", "d1", "d2"]).select("shard", "passage").distinct(), "routed")
     return streamed(rows, routed, length, rest, keep_text)

@@ -126,3 +126,19 @@ def test_passages_in_pieces(spark, monkeypatch):
     texts = corpus(7, 60)
     got = [tuple(r)[1:] for r in remove_phrases(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 12).collect()]
     assert Counter(got) == Counter(by_hand(texts, 12))
+
+
+def test_windows_of_hot_anchors_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(op04_phrases, "GROUP_CONTENTS", 2)
+    plans = []
+
+    class Recorded(op04_phrases.Scratch):
+        def stored(self, df, name):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().stored(df, name)
+
+    monkeypatch.setattr(op04_phrases, "Scratch", Recorded)
+    texts = corpus(7, 60)
+    got = [tuple(r)[1:] for r in remove_phrases(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 12).collect()]
+    assert Counter(got) == Counter(by_hand(texts, 12))
+    assert sum(p.count("MapInArrow all_windows") for p in plans) == 1
